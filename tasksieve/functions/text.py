@@ -6,7 +6,7 @@ import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The characters str.strip(), str.split() and the regex \s treat as white space.
 WHITESPACE = (
@@ -56,7 +56,7 @@ def fold_ascii_word(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), "\u017f", "s"), F.lit("\ufb01"), F.lit("fi"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold_digest(text: pd.Series) -> pd.Series:
     return text.map(
         lambda v: hashlib.sha256(" ".join(v.split()).casefold().encode()).hexdigest(),
@@ -64,7 +64,7 @@ def _casefold_digest(text: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_digest(text: pd.Series) -> pd.Series:
     return text.map(
         lambda v: hashlib.sha256(

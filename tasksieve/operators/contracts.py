@@ -27,6 +27,15 @@ def parse_json_strictly(text: Column) -> Column:
     )
 
 
+def settled(value: Column) -> Column:
+    """The value by way of a one-element explode.
+
+    The optimizer copies a projected expression into every filter and projection above it; what an explode yields it
+    has to take as a column. Costly expressions used in many places are thus evaluated once per row.
+    """
+    return F.explode(F.array(value))
+
+
 def _field(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 
@@ -62,22 +71,16 @@ def _to_case(value: Column) -> Column:
     return F.struct(*[_field(value, n, "string").alias(n) for n in CASE_FIELDS])
 
 
-def _typed_record(v: Column) -> list[Column]:
-    out = []
-    for name in TASK_FIELDS:
-        if name == "reference_tests":
-            column = F.transform(_field(v, name, "array<variant>"), _to_case)
-        elif name == "mutants":
-            column = F.transform(
-                _field(v, name, "array<variant>"),
-                lambda m: F.struct(*[_field(m, n, "string").alias(n) for n in MUTANT_FIELDS]),
-            )
-        elif name == "review_notes":
-            column = F.coalesce(_field(v, name, "string"), F.lit(""))
-        else:
-            column = _field(v, name, "string")
-        out.append(column.alias(name))
-    return out
+def _typed(name: str, value: Column) -> Column:
+    if name == "reference_tests":
+        return F.transform(F.try_variant_get(value, "$", "array<variant>"), _to_case)
+    if name == "mutants":
+        return F.transform(
+            F.try_variant_get(value, "$", "array<variant>"),
+            lambda m: F.struct(*[_field(m, n, "string").alias(n) for n in MUTANT_FIELDS]),
+        )
+    text = F.try_variant_get(value, "$", "string")
+    return F.coalesce(text, F.lit("")) if name == "review_notes" else text
 
 
 def _is_empty(value: Column) -> Column:
@@ -86,73 +89,82 @@ def _is_empty(value: Column) -> Column:
     return F.when(_is_string(value), text == "").otherwise(text.isin("", "0", "0.0", "-0.0", "false", "[]", "{}"))
 
 
-def _faults(v: Column) -> Column:
-    """All broken rules of an object, in the order in which they are looked at."""
-    missing = _missing(v, REQUIRED_FIELDS)
-    tests = _field(v, "reference_tests", "array<variant>")
-    mutants = _field(v, "mutants", "array<variant>")
-    present = F.size(missing) == 0
+def _faults(fields: Column) -> Column:
+    """All broken rules of an object, given its fields as VARIANTs, in the order in which they are looked at."""
+    missing = F.array_compact(F.array(*[F.when(fields[n].isNull(), F.lit(n)) for n in REQUIRED_FIELDS]))
+    tests = F.try_variant_get(fields["reference_tests"], "$", "array<variant>")
+    mutants = F.try_variant_get(fields["mutants"], "$", "array<variant>")
+    ids = F.transform(tests, lambda c: _field(c, "case_id", "string"))
 
-    def if_complete(condition: Column, code: str) -> Column:
-        return F.when(present & F.coalesce(condition, F.lit(False)), F.lit(code))
+    def fault(condition: Column, code: str) -> Column:
+        return F.when(F.coalesce(condition, F.lit(False)), F.lit(code))
 
-    head = F.array(
-        F.when(~present, F.concat(F.lit("missing_fields:"), F.array_join(F.array_sort(missing), ","))),
-        if_complete(~_is_list(_field(v, "reference_tests")), "tests_not_list"),
-    )
-    case_codes = F.when(
-        present & tests.isNotNull(), F.array_distinct(F.array_compact(F.transform(tests, case_fault)))
-    ).otherwise(F.array().cast("array<string>"))
     tail = [
-        if_complete(~_is_list(_field(v, "mutants")), "mutants_not_list"),
-        if_complete(
-            ~(_is_string(_field(v, "review_status"))
-              & _field(v, "review_status", "string").isin(*REVIEW_STATUSES)),
+        fault(~_is_list(fields["mutants"]), "mutants_not_list"),
+        fault(
+            ~(_is_string(fields["review_status"])
+              & F.try_variant_get(fields["review_status"], "$", "string").isin(*REVIEW_STATUSES)),
             "bad_status",
         ),
     ]
     for name in TEXT_FIELDS:
-        tail.append(if_complete(~_is_string(_field(v, name)), f"not_string:{name}"))
-        tail.append(if_complete(
-            _is_string(_field(v, name)) & is_blank(_field(v, name, "string")), f"blank:{name}"
-        ))
-    ids = F.transform(tests, lambda c: _field(c, "case_id", "string"))
+        blank = is_blank(F.try_variant_get(fields[name], "$", "string"))
+        tail.append(F.when(~_is_string(fields[name]), f"not_string:{name}").when(blank, f"blank:{name}"))
     tail += [
-        if_complete(F.size(tests) == 0, "no_tests"),
-        if_complete(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_case_ids"),
-        if_complete(
+        fault(F.size(tests) == 0, "no_tests"),
+        fault(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_case_ids"),
+        fault(
             F.exists(mutants, lambda m: ~_is_object(m) | _is_empty(_field(m, "mutant_id")) | _is_empty(_field(m, "source"))),
             "mutant_fields",
         ),
-        if_complete(
-            _field(v, "review_notes").isNotNull()
-            & ~F.schema_of_variant(_field(v, "review_notes")).isin("STRING", "VOID"),
+        fault(
+            fields["review_notes"].isNotNull() & ~F.schema_of_variant(fields["review_notes"]).isin("STRING", "VOID"),
             "not_string:review_notes",
         ),
     ]
-    return F.array_compact(F.concat(head, case_codes, F.array(*tail)))
+    no_codes = F.array().cast("array<string>")
+    complete = F.concat(
+        F.array(fault(~_is_list(fields["reference_tests"]), "tests_not_list")),
+        F.coalesce(F.array_distinct(F.array_compact(F.transform(tests, case_fault))), no_codes),
+        F.array(*tail),
+    )
+    return F.when(
+        F.size(missing) > 0, F.array(F.concat(F.lit("missing_fields:"), F.array_join(F.array_sort(missing), ",")))
+    ).otherwise(F.array_compact(complete))
 
 
 def read_records(lines: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the typed task fields, ``errors`` (all codes) and ``first_error`` to a table of JSON texts.
 
-    Blank lines are skipped. A row whose ``errors`` is empty satisfies the contract.
+    Blank lines are skipped. A row whose ``errors`` is empty satisfies the contract. Each line is parsed once, each
+    field looked up once; the typed fields are a plain projection on top, so unused ones are never built.
     """
     kept = [F.col(name) for name in lines.columns]
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(raw)
     parsed = lines.where(~is_blank(text)).select(
-        *kept, F.when(F.is_valid_utf8(text), parse_json_strictly(text)).alias("_v")
+        *kept, settled(F.when(F.is_valid_utf8(text), parse_json_strictly(text))).alias("_value")
+    )
+    value = F.col("_value")
+    # A parsed value is an object if its text opens with a brace.
+    state = (
+        F.when(~F.is_valid_utf8(text), "bad_encoding").when(value.isNull(), "json_decode")
+        .when(~text.rlike(r"^[ \t\r\n]*\{"), "not_object")
     )
-    v = F.col("_v")
-    errors = (
-        F.when(~F.is_valid_utf8(text), F.array(F.lit("bad_encoding")))
-        .when(v.isNull(), F.array(F.lit("json_decode")))
-        .when(~F.ltrim(text).rlike(r"^[\t\r\n ]*\{"), F.array(F.lit("not_object")))
-        .otherwise(_faults(v))
+    split = parsed.select(
+        *kept,
+        settled(F.struct(state.alias("state"), *[_field(value, n).alias(n) for n in TASK_FIELDS])).alias("_fields"),
     )
-    return parsed.select(*kept, *_typed_record(v), errors.alias("errors")).withColumn(
-        "first_error", F.get("errors", F.lit(0))
+    fields = F.col("_fields")
+    judged = split.select(
+        *kept, "_fields",
+        settled(
+            F.when(fields["state"].isNotNull(), F.array(fields["state"])).otherwise(_faults(fields))
+        ).alias("errors"),
+    )
+    return judged.select(
+        *kept, *[_typed(n, fields[n]).alias(n) for n in TASK_FIELDS], "errors",
+        F.get("errors", F.lit(0)).alias("first_error"),
     )
 
 
@@ -199,20 +211,22 @@ def parse_suites(outputs: DataFrame, column: str = "model_output") -> DataFrame:
     """Generated suites out of free text: adds ``cases`` and ``parse_error`` (exactly one of them is NULL)."""
     outputs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [F.col(name) for name in outputs.columns]
-    sliced = outputs.select(*kept, suite_slice(F.col(column)).alias("_slice"))
-    parsed = sliced.select(*kept, "_slice", parse_json_strictly(F.col("_slice")).alias("_v"))
-    listed = parsed.select(*kept, "_slice", "_v", _field(F.col("_v"), "cases", "array<variant>").alias("_cases"))
+    sliced = outputs.select(*kept, settled(suite_slice(F.col(column))).alias("_slice"))
+    parsed = sliced.select(*kept, "_slice", settled(parse_json_strictly(F.col("_slice"))).alias("_value"))
+    listed = parsed.select(
+        *kept, "_slice", "_value", settled(_field(F.col("_value"), "cases", "array<variant>")).alias("_cases")
+    )
     cases = F.col("_cases")
     ids = F.transform(cases, lambda c: _field(c, "case_id", "string"))
     error = F.coalesce(
         F.when(F.col("_slice").isNull(), NO_OBJECT)
-        .when(F.col("_v").isNull(), NOT_JSON)
+        .when(F.col("_value").isNull(), NOT_JSON)
         .when(cases.isNull(), NO_CASE_LIST),
         F.get(F.array_compact(F.transform(cases, _case_message)), F.lit(0)),
         F.when(F.size(cases) == 0, NO_CASES)
         .when(F.size(ids) != F.size(F.array_distinct(ids)), REPEATED_CASE),
     )
-    judged = listed.select(*kept, "_cases", error.alias("parse_error"))
+    judged = listed.select(*kept, "_cases", settled(error).alias("parse_error"))
     return judged.select(
         *kept, F.when(F.col("parse_error").isNull(), F.transform(cases, _to_case)).alias("cases"), "parse_error"
     )

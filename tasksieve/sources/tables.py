@@ -111,7 +111,12 @@ def mutant_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    return as_decisions(table(spark, folder, "events"))
+
+
+def as_decisions(events: DataFrame) -> DataFrame:
+    """Raw events, a table or a stream, as review decisions."""
+    return events.select(
         "event_id", F.expr("concat('t', cast(event_id % 1500 AS string))").alias("task_id"),
         F.expr("CASE WHEN user_id % 10 = 0 THEN ' ' ELSE concat('r', cast(user_id AS string)) END").alias("reviewer"),
         F.expr("""CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'revised'
@@ -159,3 +164,65 @@ def output_runs(spark: SparkSession, folder: str) -> DataFrame:
                   WHEN k = 1 THEN '-2' WHEN case_id = 'a' THEN cast(o_custkey AS string) ELSE '7' END)""").alias("stdout"),
         F.lit(False).alias("timed_out"),
     )
+
+
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A prediction table that any engine can compute: task_id, review_risk from the text length."""
+    return table(spark, folder, "documents").select(
+        F.expr(_PLAIN["task_id"]).alias("task_id"), ((F.col("n_chars") * 37 % 1001) / 1000).alias("review_risk")
+    )
+
+
+def per_task_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A careless split by task instead of by group, for the leakage checks to find fault with."""
+    head = F.substring(F.md5("task_id"), 1, 1)
+    return tasks(spark, folder, "task_id", "group_id", "specification").withColumn(
+        "split", F.when(head < "b", "train").when(head < "d", "validation").otherwise("test")
+    )
+
+
+def deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """All tasks delivered twice, the second time under another title."""
+    first = tasks(spark, folder)
+    again = first.withColumn("title", F.lit("again")).withColumn("seq", F.col("seq") + 1_000_000_000_000)
+    return first.unionByName(again)
+
+
+def task_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One JSON text per task (seq, raw), of which about two in three break the contract, each kind in its own way."""
+    rows = tasks(spark, folder)
+    kind = F.col("seq") % 17
+    names = (
+        "task_id", "group_id", "title", "specification", "program", "reference_program", "reference_tests", "mutants",
+        "source_url", "license_id", "review_status", "review_notes",
+    )
+
+    def line(**changed: Column | None) -> Column:
+        columns = {n: changed.get(n, F.col(n)) for n in names}
+        return F.to_json(F.struct(*[c.alias(n) for n, c in columns.items() if c is not None]))
+
+    def one_case(**fields: Column) -> Column:
+        return F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    sound = line()
+    kinds = {
+        0: line(license_id=None, mutants=None),
+        1: line(license_id=F.lit(5), program=F.lit("  \t")),
+        2: line(title=F.lit(" ")),
+        3: line(review_status=F.lit("pending")),
+        4: line(reference_tests=F.concat("reference_tests", "reference_tests")),
+        5: line(reference_tests=one_case(case_id=F.lit(1), stdin=F.lit(""), expected_stdout=F.lit("SUM=1"))),
+        6: line(mutants=F.array(F.struct(F.lit("m0").alias("mutant_id"), F.lit("").alias("source")))),
+        7: F.substring(sound, F.lit(1), F.length(sound) - 1),
+        8: F.concat(F.lit("["), sound, F.lit("]")),
+        9: F.concat(sound, F.lit(" x")),
+        10: line(task_id=F.concat(F.lit("t"), (F.col("seq") + 1).cast("string"))),
+        12: line(reference_tests=one_case(case_id=F.lit("c1"), stdin=F.lit(""), expected_stdout=F.lit(" "))),
+        13: line(reference_tests=one_case(case_id=F.lit("c1"))),
+        14: F.concat(F.lit('{"title":"first",'), F.substring(sound, F.lit(2), F.length(sound))),
+        15: line(reference_tests=F.array().cast("array<string>")),
+    }
+    raw = F
+    for number, text in kinds.items():
+        raw = raw.when(kind == number, text)
+    return rows.select("seq", raw.otherwise(sound).alias("raw"))
