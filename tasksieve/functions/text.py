@@ -6,7 +6,7 @@ import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters str.strip(), str.split() and the regex \s treat as white space.
 WHITESPACE = (
@@ -24,6 +24,15 @@ WORD = r"[\p{L}\p{N}_]"
 WORD_EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
+def settled(value: Column) -> Column:
+    """The value by way of a one-element explode.
+
+    The optimizer copies a projected expression into every filter and projection above it; what an explode yields it
+    has to take as a column. Costly expressions used in many places are thus evaluated once per row.
+    """
+    return F.explode(F.array(value))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
@@ -113,3 +122,17 @@ def json_object(pairs: list[tuple[str, Column]]) -> Column:
 
 def json_list(items: Column, encode) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, encode), ", "), F.lit("]"))
+
+
+def digest_keys(rows: DataFrame, digest: Column, *carried: str) -> DataFrame:
+    """Narrow (carried..., digest) rows behind one exchange by task_id.
+
+    Texts are read and hashed once however often the result is used: the explode keeps the digest from being copied
+    into filters, and with the NULLs already gone every use has the same plan below the exchange, which Spark then
+    runs a single time. task_id is unique, so the exchange is even whatever the texts are.
+    """
+    return (
+        rows.select("task_id", *carried, settled(digest).alias("digest"))
+        .where("task_id IS NOT NULL AND digest IS NOT NULL")
+        .repartition("task_id")
+    )

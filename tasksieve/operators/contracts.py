@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tasksieve.functions.text import is_blank
+from tasksieve.functions.text import is_blank, settled
 from tasksieve.schema import (
     CASE_FIELDS, MUTANT_FIELDS, REQUIRED_FIELDS, REVIEW_STATUSES, TASK_FIELDS, TEXT_FIELDS,
 )
@@ -27,15 +27,6 @@ def parse_json_strictly(text: Column) -> Column:
     )
 
 
-def settled(value: Column) -> Column:
-    """The value by way of a one-element explode.
-
-    The optimizer copies a projected expression into every filter and projection above it; what an explode yields it
-    has to take as a column. Costly expressions used in many places are thus evaluated once per row.
-    """
-    return F.explode(F.array(value))
-
-
 def _field(value: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{name}", kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tasksieve.functions.digests import row_digest, table_digest
-from tasksieve.functions.text import WORD_EDGE, fold_ascii_word, folded_digest, is_blank
+from tasksieve.functions.text import WORD_EDGE, digest_keys, fold_ascii_word, folded_digest, is_blank, settled
 
 # Default vague phrases (as patterns), license words without meaning, issue texts.
 VAGUE_PHRASES = (r"etc\.?", "as appropriate", "some cases", "and so on")
@@ -48,13 +48,10 @@ def _row_checks(phrases: tuple[str, ...]) -> list[Column]:
 def duplicate_programs(tasks: DataFrame, native: bool = False) -> DataFrame:
     """Tasks whose program equals an earlier one's up to case and white space: task_id, seq, canonical_id.
 
-    The texts are read and hashed once: the narrow (task_id, seq, digest) rows are exchanged by their unique id, and
-    both the aggregation and the join back start from that exchange. The aggregation combines before its shuffle,
-    so a digest shared by a third of all tasks stays one row per map task.
+    The aggregation combines before its shuffle, so a digest shared by a third of all tasks stays one row per map
+    task; in the join back only its narrow rows meet on one key, which skew splitting cuts up.
     """
-    keys = tasks.select(
-        "task_id", "seq", folded_digest(F.col("program"), native=native).alias("digest")
-    ).repartition("task_id")
+    keys = digest_keys(tasks, folded_digest(F.col("program"), native=native), "seq")
     first = (
         keys.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "task_id")).alias("first"))
@@ -106,7 +103,7 @@ def _tally(tasks: DataFrame, phrases: tuple[str, ...], native: bool) -> DataFram
     }
     by_program = (
         tasks.select(
-            folded_digest(F.col("program"), native=native).alias("digest"),
+            settled(folded_digest(F.col("program"), native=native)).alias("digest"),
             *[flag.alias(name) for name, flag in flags.items()],
         )
         .groupBy("digest")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 def build_review_queue(
     tasks: DataFrame, predictions: DataFrame, batch_size: int = 25, score: str = "review_risk"
 ) -> DataFrame:
-    """The ``batch_size`` best groups' best tasks with their texts, and ``queue_rank``-able by distance.
+    """The most uncertain task of each of the ``batch_size`` most uncertain groups, with texts, in queue order.
 
     Ranking works on (group, distance, order, id, score) only and keeps the minimum per group while aggregating, so a
-    group with a third of all tasks sends one row per map task. Texts are joined to the final rows.
+    group with a third of all tasks sends one row per map task. Texts are read last, for the final ids only.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")

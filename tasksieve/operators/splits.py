@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tasksieve.errors import SplitError
-from tasksieve.functions.text import folded_digest
+from tasksieve.functions.text import digest_keys, folded_digest
 from tasksieve.schema import SPLIT_NAMES
 
 # Leading hex digits of the order key that name a bucket: 4096 buckets, so each bucket's window stays a small part of
@@ -132,18 +132,16 @@ def group_leakage(split_tasks: DataFrame) -> DataFrame:
 
 
 def spec_leakage(split_tasks: DataFrame, native: bool = False) -> DataFrame:
-    """Tasks whose normalized specification also occurs in another split: task_id, split.
-
-    Texts are hashed once, before an exchange of narrow rows that the aggregation and the join back share.
-    """
-    keys = split_tasks.select(
-        "task_id", "split", folded_digest(F.col("specification"), compatibility=True, native=native).alias("digest")
-    ).repartition("task_id")
+    """Tasks whose normalized specification also occurs in another split: task_id, split."""
+    keys = digest_keys(
+        split_tasks, folded_digest(F.col("specification"), compatibility=True, native=native), "split"
+    )
     crossing = (
         keys.groupBy("digest").agg(F.min("split").alias("low"), F.max("split").alias("high"))
         .where("low <> high").select("digest")
     )
-    return keys.join(crossing, "digest", "left_semi").select("task_id", "split")
+    # An inner join with distinct digests: a semi join would be pushed below the shared exchange.
+    return keys.join(crossing, "digest").select("task_id", "split")
 
 
 def assert_no_leakage(split_tasks: DataFrame) -> None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tasksieve.functions.text import settled
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -225,4 +227,4 @@ def task_lines(spark: SparkSession, folder: str) -> DataFrame:
     raw = F
     for number, text in kinds.items():
         raw = raw.when(kind == number, text)
-    return rows.select("seq", raw.otherwise(sound).alias("raw"))
+    return rows.select("seq", settled(raw.otherwise(sound)).alias("raw"))
