@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from tasksieve.functions.text import WORD_EDGE, visible_line_count, word_count
+from tasksieve.functions.text import WORD_EDGE, settled, visible_line_count, word_count
 
 # Statement verbs that are counted as whole tokens.
 VERBS = (
@@ -22,15 +22,13 @@ FEATURES = (
 def extract_features(tasks: DataFrame, *keep: str) -> DataFrame:
     """task_id, the columns named in ``keep`` and the 13 features as doubles.
 
-    The token list is a projection of its own: four features read it and it must be built once per row.
+    The upper-cased source and the token list are each built once per row, though many features read them.
     """
+    kept = ("task_id", *keep, "program", "specification", "reference_tests", "mutants", "source_url", "license_id")
+    with_source = tasks.select(*kept, settled(F.upper("program")).alias("_source"))
     source = F.col("_source")
-    with_source = tasks.select(
-        "task_id", *keep, "program", "specification", "reference_tests", "mutants", "source_url", "license_id",
-        F.upper("program").alias("_source"),
-    )
-    tokenized = with_source.withColumn(
-        "_tokens", F.regexp_extract_all(source, F.lit("[A-Z][A-Z0-9-]*"), F.lit(0))
+    tokenized = with_source.select(
+        *kept, "_source", settled(F.regexp_extract_all(source, F.lit("[A-Z][A-Z0-9-]*"), F.lit(0))).alias("_tokens")
     )
     tokens = F.col("_tokens")
 

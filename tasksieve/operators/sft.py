@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tasksieve.functions.digests import table_digest
-from tasksieve.functions.text import WS, json_object
+from tasksieve.functions.text import WS, json_object, settled
 from tasksieve.sources.jsonl import case_list_json
 
 # The wording of the instruction.
@@ -66,13 +66,17 @@ def chat_tokens(chats: DataFrame, vocabulary: int = 50_000) -> DataFrame:
     messages = F.col("messages")
     before = F.slice(messages, F.lit(1), F.greatest(F.lit(0), F.size(messages) - 1))
     opening = F.array(F.concat(F.lit("<|"), F.element_at(messages, -1)["role"], F.lit("|>")))
-    words = chats.select(
-        *kept, turns(before).alias("_before"), opening.alias("_open"),
-        turns(F.slice(messages, F.size(messages), F.lit(1))).alias("_answer"),
+    words = F.struct(
+        turns(before).alias("before"), opening.alias("open"),
+        turns(F.slice(messages, F.size(messages), F.lit(1))).alias("answer"),
     )
-    numbered = words.select(*kept, *[_ids(F.col(c), vocabulary).alias(c) for c in ("_before", "_open", "_answer")])
-    return numbered.select(
-        *kept, F.concat("_before", "_open").alias("prefix_ids"), F.concat("_before", "_answer").alias("full_ids")
+    hashed = chats.select(*kept, settled(words).alias("_words")).select(
+        *kept, settled(F.struct(*[_ids(F.col(f"_words.{c}"), vocabulary).alias(c) for c in ("before", "open", "answer")]))
+        .alias("_ids")
+    )
+    return hashed.select(
+        *kept, F.concat("_ids.before", "_ids.open").alias("prefix_ids"),
+        F.concat("_ids.before", "_ids.answer").alias("full_ids"),
     )
 
 
@@ -85,10 +89,9 @@ def encode(tokens: DataFrame, max_length: int = 1024) -> DataFrame:
         F.when(F.slice(full, F.lit(1), n) != prefix, "prompt_prefix_mismatch")
         .when(n >= max_length, "prompt_exceeds_max_length")
     )
-    cut = tokens.select(
-        *kept, n.alias("prompt_tokens"), F.slice(full, 1, max_length).alias("input_ids"),
-        reason.alias("reject_reason"),
-    )
+    cut = tokens.select(*kept, settled(F.struct(
+        n.alias("prompt_tokens"), F.slice(full, 1, max_length).alias("input_ids"), reason.alias("reject_reason")
+    )).alias("_cut")).select(*kept, "_cut.*")
     ids, masked = F.col("input_ids"), F.least(F.col("prompt_tokens"), F.size("input_ids"))
     return cut.select(
         *kept, "prompt_tokens", "input_ids",
