@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tasksieve.operators.features import extract_features, feature_assembler
 
 _ROWS_PER_PARTITION = 200_000
+_MIN_PARTITIONS = 8
 
 
 def detector_labels(tasks: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def class_weights(labels: DataFrame) -> DataFrame:
 class ReviewDetector:
     """fit / predict_review_risk / save / load around an MLlib pipeline."""
 
-    def __init__(self, num_trees: int = 300, max_depth: int = 8, max_bins: int = 64, seed: int = 2026) -> None:
+    def __init__(self, num_trees: int = 300, max_depth: int = 10, max_bins: int = 32, seed: int = 2026) -> None:
         self.num_trees = num_trees
         self.max_depth = max_depth
         self.max_bins = max_bins
@@ -57,13 +59,20 @@ class ReviewDetector:
         )
         # The forest samples rows by partition and position. A partition count that follows the data, not the
         # cluster, and sorted partitions make one seed give one model anywhere.
-        rows = rows.repartition(max(1, math.ceil(total / _ROWS_PER_PARTITION)), "task_id").sortWithinPartitions("task_id")
+        rows = rows.repartition(
+            max(_MIN_PARTITIONS, math.ceil(total / _ROWS_PER_PARTITION)), "task_id"
+        ).sortWithinPartitions("task_id")
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="label", weightCol="weight", numTrees=self.num_trees,
             minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=self.max_depth, maxBins=self.max_bins,
-            seed=self.seed,
+            seed=self.seed, maxMemoryInMB=1024,
         )
-        self.model = Pipeline(stages=[feature_assembler(), forest]).fit(rows)
+        # Training passes over the rows several times before it caches its own form of them; the texts are read once.
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = Pipeline(stages=[feature_assembler(), forest]).fit(rows)
+        finally:
+            rows.unpersist()
         return self
 
     def predict_review_risk(self, tasks: DataFrame) -> DataFrame:

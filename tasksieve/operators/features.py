@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from tasksieve.functions.text import WORD_EDGE, settled, visible_line_count, word_count
+from tasksieve.functions.text import WORD, settled, visible_line_count, word_count
 
 # Statement verbs that are counted as whole tokens.
 VERBS = (
@@ -41,8 +41,9 @@ def extract_features(tasks: DataFrame, *keep: str) -> DataFrame:
         "token_count": F.size(tokens),
         "unique_token_ratio": F.size(F.array_distinct(tokens)) / F.greatest(F.lit(1), F.size(tokens)),
         "verb_count": F.size(F.filter(tokens, lambda t: t.isin(*VERBS))),
-        "copybook_count": occurrences(f"{WORD_EDGE}COPY{WORD_EDGE}"),
-        "section_count": occurrences(rf"{WORD_EDGE}SECTION\."),
+        # The letters first, then what may not stand next to them.
+        "copybook_count": occurrences(f"COPY(?<!{WORD}COPY)(?!{WORD})"),
+        "section_count": occurrences(rf"SECTION\.(?<!{WORD}SECTION\.)"),
         # (?d): only a line feed ends a line.
         "paragraph_count": occurrences(r"(?md)^[A-Z0-9-]+\.$"),
         "spec_words": word_count(F.col("specification")),

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tasksieve.functions.text import WS, WS_INLINE, strip
+from tasksieve.functions.text import WHITESPACE, WS, WS_INLINE, settled, strip
 
 REFERENCE = "reference"
 
@@ -20,12 +20,19 @@ REFERENCE = "reference"
 def normalize_output(text: Column, label: str = "SUM=") -> Column:
     """Program output without carriage returns, blank lines, line margins and blanks after a leading label.
 
-    A run of white space with a line feed in it is exactly what separates two kept lines. The look-behind lets a run be
-    tried only from its start.
+    Most outputs are one line, which needs no regular expression. In several lines, a run of white space with a line
+    feed in it is exactly what separates two kept lines; the look-behind lets a run be tried only from its start.
     """
+    whole = strip(F.replace(text, F.lit("\r"), F.lit("")))
     breaks = rf"(?<![{WS_INLINE}])[{WS_INLINE}]*+\n[{WS}]*+"
-    lines = strip(F.regexp_replace(F.replace(text, F.lit("\r"), F.lit("")), breaks, "\n"))
-    return F.regexp_replace(lines, rf"(?md)^({re.escape(label)})[{WS_INLINE}]+", "$1")
+    after_label = F.substr(whole, F.lit(len(label) + 1))
+    return (
+        F.when(F.contains(whole, F.lit("\n")), F.regexp_replace(
+            F.regexp_replace(whole, breaks, "\n"), rf"(?md)^({re.escape(label)})[{WS_INLINE}]+", "$1"
+        ))
+        .when(whole.startswith(label), F.concat(F.lit(label), F.ltrim(after_label, F.lit(WHITESPACE))))
+        .otherwise(whole)
+    )
 
 
 def check_timeout(seconds: float | None) -> None:
@@ -59,14 +66,19 @@ def _as_expected(expected: Column) -> Column:
 def oracle_validity(
     cases: DataFrame, reference_runs: DataFrame, timeout_seconds: float | None = None, label: str = "SUM="
 ) -> DataFrame:
-    """The cases with ``expected`` (normalized) and ``oracle_valid``: the reference program gives what they expect."""
+    """The cases with ``expected`` (normalized) and ``oracle_valid``: the reference program gives what they expect.
+
+    A score reads this table twice, for all cases and for the valid ones. Settling the verdict keeps the filter on it,
+    and dropping rows without ids keeps the null checks of later joins, from making two different plans out of the two
+    readings; so Spark scans and shuffles cases and reference runs once.
+    """
     runs = run_records(reference_runs, timeout_seconds, label).select(
         "task_id", "case_id", "timed_out", "return_code", "stdout"
     )
     kept = [c for c in ("task_id", "case_id", "case_ord") if c in cases.columns]
-    expected = cases.select(*kept, normalize_output(F.col("expected_stdout"), label).alias("expected"))
+    expected = cases.where("task_id IS NOT NULL AND case_id IS NOT NULL").select(*kept, normalize_output(F.col("expected_stdout"), label).alias("expected"))
     return expected.join(runs, ["task_id", "case_id"], "left").select(
-        *kept, "expected", _as_expected(F.col("expected")).alias("oracle_valid")
+        *kept, "expected", settled(_as_expected(F.col("expected"))).alias("oracle_valid")
     )
 
 

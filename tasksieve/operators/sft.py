@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tasksieve.functions.digests import table_digest
-from tasksieve.functions.text import WS, json_object, settled
+from tasksieve.functions.text import VISIBLE, json_object, settled
 from tasksieve.sources.jsonl import case_list_json
 
 # The wording of the instruction.
@@ -58,7 +58,7 @@ def chat_tokens(chats: DataFrame, vocabulary: int = 50_000) -> DataFrame:
     def turns(messages: Column) -> Column:
         return F.flatten(F.transform(messages, lambda m: F.concat(
             F.array(F.concat(F.lit("<|"), m["role"], F.lit("|>"))),
-            F.regexp_extract_all(m["content"], F.lit(f"[^{WS}]+"), F.lit(0)),
+            F.regexp_extract_all(m["content"], F.lit(f"[{VISIBLE}]+"), F.lit(0)),
             F.array(F.lit("<|end|>")),
         )))
 

@@ -15,6 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with costly text work ahead. An input with fewer scan splits than cores may even be a single row group,
+    the work of one task: such a small one is spread first. Larger inputs are not shuffled.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 _PLAIN = {
     "task_id": "concat('t', cast(doc_id AS string))",
     "group_id": "concat(source, '-', lang)",
@@ -50,7 +59,7 @@ TASK_COLUMNS = (*_PLAIN, *_FROM_PAGES, *_FROM_LABELS)
 
 def tasks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     wanted = columns or TASK_COLUMNS
-    rows = table(spark, folder, "documents")
+    rows = text_table(spark, folder, "documents")
     if set(wanted) & set(_FROM_PAGES):
         pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "url")
         rows = rows.join(pages, "doc_id", "left")
@@ -141,7 +150,7 @@ _SUITE = """CASE o_orderkey % 8
 
 def model_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """One generator output per order: one kind in eight is good, with the cases a and b."""
-    return table(spark, folder, "orders").select(
+    return text_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("task_id"), F.expr(_SUITE.replace("\\", "\\\\")).alias("model_output")
     )
 
