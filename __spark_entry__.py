@@ -177,7 +177,9 @@ def _sft_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sft_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return sft.collate(sft.usable(_encoded(spark, sf))).select(
+    # Buckets are sized by the number of all tasks, which the file footers hold; counting encoded rows would encode twice.
+    digits = sft.bucket_digits(t.table(spark, sf, "documents").count())
+    return sft.collate(sft.usable(_encoded(spark, sf)), digits=digits).select(
         "bucket", "batch_no", "row_no", "task_id", "width", F.size("input_ids").alias("n_ids"),
         F.size(F.filter("attention_mask", lambda x: x == 0)).alias("n_padding"),
     )

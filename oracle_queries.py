@@ -390,7 +390,7 @@ ORACLE: dict[str, str] = {
         FROM counted WHERE prompt_tokens >= 1024""",
     "sft_batches": f"""WITH {_ENCODED},
         digits AS (SELECT count(*) AS n, CASE WHEN count(*) <= 4096 THEN 0 WHEN count(*) <= 65536 THEN 1
-                   WHEN count(*) <= 1048576 THEN 2 ELSE 3 END AS d FROM encoded),
+                   WHEN count(*) <= 1048576 THEN 2 ELSE 3 END AS d FROM documents),
         keyed AS (SELECT task_id, n_ids, md5('2026:' || task_id) AS k, substr(md5('2026:' || task_id), 1, d) AS bucket
                   FROM encoded, digits),
         placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k, task_id) - 1 AS pos FROM keyed),

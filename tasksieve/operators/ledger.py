@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tasksieve.functions.text import is_blank
 from tasksieve.operators.contracts import duplicate_keys
 from tasksieve.schema import REVIEW_EVENTS, REVIEW_STATUSES
+from tasksieve.session import pinned
 from tasksieve.sources.jsonl import task_json
 
 EVENT_FIELDS = ("event_id", "task_id", "reviewer", "status", "rationale", "created_at")
 
 
 def new_tasks(batch: DataFrame, stored_ids: DataFrame) -> DataFrame:
-    """Rows of the batch whose task_id is not stored yet, the first by ``seq`` of each id: task_id, task_json."""
-    repeated = duplicate_keys(batch).select(F.col("task_id").alias("_id"), "first_seen")
-    fresh = batch.join(stored_ids.select("task_id"), "task_id", "left_anti")
-    return (
-        fresh.join(repeated, F.col("task_id") == F.col("_id"), "left")
-        .where(F.col("_id").isNull() | (F.col("seq") == F.col("first_seen")))
-        .select("task_id", task_json().alias("task_json"))
+    """Rows of the batch whose task_id is not stored yet, the first by ``seq`` of each id: task_id, task_json.
+
+    Copies inside the batch go first, before the join with the stored ids shuffles the rest by task_id.
+    """
+    repeated = pinned(duplicate_keys(batch).select(F.col("task_id").alias("_id"), "first_seen"))
+    single = batch.join(repeated, F.col("task_id") == F.col("_id"), "left").where(
+        F.col("_id").isNull() | (F.col("seq") == F.col("first_seen"))
+    )
+    return single.join(stored_ids.select("task_id"), "task_id", "left_anti").select(
+        "task_id", task_json().alias("task_json")
     )
 
 

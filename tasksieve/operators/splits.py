@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tasksieve.errors import SplitError
 from tasksieve.functions.text import digest_keys, folded_digest
 from tasksieve.schema import SPLIT_NAMES
+from tasksieve.session import BROADCAST_BYTES
 
 # Leading hex digits of the order key that name a bucket: 4096 buckets, so each bucket's window stays a small part of
 # the groups and the table of bucket totals has at most 4096 rows.
 _BUCKET_DIGITS = 3
-_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def group_sizes(tasks: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def make_splits(
             raise SplitError(f"duplicate task ID: {twice[0].task_id}")
     owners = assign_groups(sizes, seed, train_fraction, validation_fraction).select("group_id", "split")
     # The table of groups was measured above; a larger one is left to a shuffle join with skew splitting.
-    if facts.bytes <= _BROADCAST_BYTES:
+    if facts.bytes <= BROADCAST_BYTES:
         owners = F.broadcast(owners)
     result = tasks.join(owners, "group_id").select(*tasks.columns, "split")
     if strict:

@@ -21,18 +21,17 @@ def curate(
     """Write ``tasks`` (partitioned by split), ``quarantine``, ``issues``, ``report``, ``fingerprint``, ``manifest``,
     ``group_leakage`` and ``spec_leakage`` under ``target``; returns their paths.
 
-    The JSON is parsed into Parquet first; every later step reads only the columns it needs. ``strict`` raises on a
-    bad row and on leakage.
+    The loader has parsed the JSON into Parquet, of which every later step reads only the columns it needs. ``strict``
+    raises on a bad row and on leakage.
     """
     paths = {
         name: f"{target.rstrip('/')}/{name}" for name in (
-            "parsed", "tasks", "quarantine", "issues", "report", "fingerprint", "manifest", "group_leakage", "spec_leakage",
+            "tasks", "quarantine", "issues", "report", "fingerprint", "manifest", "group_leakage", "spec_leakage",
         )
     }
     loaded = load_tasks(spark, source, strict)
-    loaded.tasks.write.mode("overwrite").parquet(paths["parsed"])
+    parsed = loaded.tasks
     loaded.quarantine.write.mode("overwrite").parquet(paths["quarantine"])
-    parsed = spark.read.parquet(paths["parsed"])
 
     curation.curation_issues(parsed, phrases).write.mode("overwrite").parquet(paths["issues"])
     curation.curation_report(parsed, phrases).write.mode("overwrite").json(paths["report"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -30,12 +30,35 @@ def build_session(app: str = "tasksieve", master: str | None = None, **conf: str
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on to a session made elsewhere."""
+    """Apply the runtime settings the operators rely on to a session made elsewhere.
+
+    Where nobody chose a number of shuffle partitions it follows the cores of the cluster; adaptive execution merges
+    what turns out small.
+    """
     for key, value in _DEFAULTS.items():
         spark.conf.set(key, value)
+    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * spark.sparkContext.defaultParallelism))
     return spark
 
 
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def pinned(rows: DataFrame) -> DataFrame:
+    """The rows computed once into the shared checkpoint folder, marked for broadcast if they measure small enough.
+
+    For small by-products of an expensive scan that several later steps join with. A result above the bound is left to
+    a shuffle join with skew splitting.
+    """
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
+    stored = rows.checkpoint()
+    size = stored.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64), F.lit(0))).first()[0]
+    return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder.
 

@@ -10,6 +10,7 @@ from tasksieve.errors import TaskFormatError
 from tasksieve.functions.text import json_list, json_object, json_string
 from tasksieve.operators.contracts import duplicate_keys, read_records
 from tasksieve.schema import TASK_FIELDS
+from tasksieve.session import pinned, scratch_path
 
 
 class LoadedTasks(NamedTuple):
@@ -21,7 +22,7 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a file, folder or glob with ``seq``, an ordering value that follows the order of lines in the files.
 
     Spark may read the splits of a file in any order, so a row number alone would not do; within one split the row
-    number grows line by line.
+    number grows line by line. The values differ between two scans with other splits: store them before comparing.
     """
     return spark.read.text(path).select(
         F.col("value").alias("raw"),
@@ -37,28 +38,33 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
 def load_tasks(spark: SparkSession, path: str, strict: bool = False) -> LoadedTasks:
     """Valid tasks (first row of each task_id, in file order) and the quarantine of everything else.
 
-    ``strict`` runs the checks now and raises on the first bad row or an empty input.
+    The lines are parsed once, into a Parquet table in the shared scratch folder, which gives every row a lasting
+    ``seq`` and later steps columns to prune. Finding repeated ids reads ids and order values only. The repeated ones,
+    few as a rule, are stored too; with their size known they are broadcast, so that later copies are dropped where
+    they are read and no text is shuffled. ``strict`` raises on the first bad row or an empty input.
     """
-    records = read_records(scan_lines(spark, path))
-    sound = F.size("errors") == 0
-    # Only ids and order values are shuffled to find repeated ids; the texts stay where they are read.
-    repeated = duplicate_keys(records.where(sound), order=("seq",)).select(
-        F.col("task_id").alias("_id"), F.col("first_seen")
-    )
-    valid = records.where(sound).join(repeated, F.col("task_id") == F.col("_id"), "left")
+    stage = scratch_path(spark, "records")
+    bad = F.col("first_error").isNotNull()
+    read_records(scan_lines(spark, path)).select(
+        "path", F.when(bad, F.col("raw")).alias("raw"), *TASK_FIELDS, "seq", "errors", "first_error"
+    ).write.parquet(stage)
+    records = spark.read.parquet(stage)
+    repeated = pinned(duplicate_keys(records.where(~bad)).select(F.col("task_id").alias("_id"), "first_seen"))
+    valid = records.where(~bad).join(repeated, F.col("task_id") == F.col("_id"), "left")
     later = F.coalesce(F.col("seq") != F.col("first_seen"), F.lit(False))
     tasks = valid.where(~later).select(*TASK_FIELDS, "seq")
-    quarantine = records.where(~sound).select("path", "raw", "errors", "first_error").unionByName(
+    # A sound row keeps no raw text; a repeated one goes to the quarantine as canonical JSON.
+    quarantine = records.where(bad).select("path", "raw", "errors", "first_error").unionByName(
         valid.where(later).select(
-            "path", "raw",
+            "path", task_json().alias("raw"),
             F.array(F.lit("duplicate_task_id")).alias("errors"),
             F.lit("duplicate_task_id").alias("first_error"),
         )
     )
     if strict:
-        bad = quarantine.select("path", "first_error").take(1)
-        if bad:
-            raise TaskFormatError(f"{bad[0].path}: {bad[0].first_error}")
+        found = quarantine.select("path", "first_error").take(1)
+        if found:
+            raise TaskFormatError(f"{found[0].path}: {found[0].first_error}")
         if tasks.isEmpty():
             raise TaskFormatError(f"{path} contains no tasks")
     return LoadedTasks(tasks, quarantine)
