@@ -191,7 +191,7 @@ def _normalize_output(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(
         F.lit(" \r\nSUM=  "), F.col("text"), F.lit("\r\n\t\nSUM=  "), F.col("doc_id").cast("string"), F.lit(" \x1f\n")
     )
-    return t.text_table(spark, sf, "documents").select("doc_id", mutation.normalize_output(text).alias("normalized"))
+    return t.spread_table(spark, sf, "documents").select("doc_id", mutation.normalize_output(text).alias("normalized"))
 
 
 def _run_records(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tasksieve.functions.digests import row_digest, table_digest
+from tasksieve.functions.digests import row_digest, skew_ready, table_digest
 from tasksieve.functions.text import WORD_EDGE, digest_keys, fold_ascii_word, folded_digest, is_blank, settled
 
 # Default vague phrases (as patterns), license words without meaning, issue texts.
@@ -59,7 +59,7 @@ def duplicate_programs(tasks: DataFrame, native: bool = False) -> DataFrame:
         .select("digest", F.col("first.task_id").alias("canonical_id"))
     )
     return (
-        keys.join(first, "digest").where(F.col("task_id") != F.col("canonical_id"))
+        keys.join(skew_ready(first, "digest"), "digest").where(F.col("task_id") != F.col("canonical_id"))
         .select("task_id", "seq", "canonical_id")
     )
 

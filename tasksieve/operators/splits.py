@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tasksieve.errors import SplitError
+from tasksieve.functions.digests import skew_ready
 from tasksieve.functions.text import digest_keys, folded_digest
 from tasksieve.schema import SPLIT_NAMES
 from tasksieve.session import BROADCAST_BYTES
@@ -141,7 +142,7 @@ def spec_leakage(split_tasks: DataFrame, native: bool = False) -> DataFrame:
         .where("low <> high").select("digest")
     )
     # An inner join with distinct digests: a semi join would be pushed below the shared exchange.
-    return keys.join(crossing, "digest").select("task_id", "split")
+    return keys.join(skew_ready(crossing, "digest"), "digest").select("task_id", "split")
 
 
 def assert_no_leakage(split_tasks: DataFrame) -> None:

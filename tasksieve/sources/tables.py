@@ -15,8 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table with costly text work ahead. An input with fewer scan splits than cores may even be a single row group,
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with costly work per row ahead. An input with fewer scan splits than cores may even be a single row group,
     the work of one task: such a small one is spread first. Larger inputs are not shuffled.
     """
     rows = table(spark, folder, name)
@@ -59,7 +59,7 @@ TASK_COLUMNS = (*_PLAIN, *_FROM_PAGES, *_FROM_LABELS)
 
 def tasks(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     wanted = columns or TASK_COLUMNS
-    rows = text_table(spark, folder, "documents")
+    rows = spread_table(spark, folder, "documents")
     if set(wanted) & set(_FROM_PAGES):
         pages = table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "url")
         rows = rows.join(pages, "doc_id", "left")
@@ -77,7 +77,7 @@ _CASE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def cases(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").groupBy(*_CASE_KEY).agg(F.min("l_quantity").alias("q")).select(
+    return spread_table(spark, folder, "lineitem").groupBy(*_CASE_KEY).agg(F.min("l_quantity").alias("q")).select(
         F.col("l_orderkey").alias("task_id"), _case_id().alias("case_id"),
         F.col("l_linenumber").alias("case_ord"),
         F.concat(F.lit("SUM="), F.col("q").cast("bigint").cast("string")).alias("expected_stdout"),
@@ -93,9 +93,9 @@ def mutants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_runs(spark: SparkSession, folder: str) -> DataFrame:
-    facts = table(spark, folder, "lineitem").groupBy(*_CASE_KEY).agg(
+    facts = spread_table(spark, folder, "lineitem").groupBy(*_CASE_KEY).agg(
         F.min("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"),
-        F.max("l_returnflag").alias("r"), F.max("l_extendedprice").alias("p"),
+        F.chr(F.max(F.ascii("l_returnflag"))).alias("r"), F.max("l_extendedprice").alias("p"),
     )
     late = F.col("d") >= 0.1
     return facts.select(
@@ -150,7 +150,7 @@ _SUITE = """CASE o_orderkey % 8
 
 def model_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """One generator output per order: one kind in eight is good, with the cases a and b."""
-    return text_table(spark, folder, "orders").select(
+    return spread_table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("task_id"), F.expr(_SUITE.replace("\\", "\\\\")).alias("model_output")
     )
 
