@@ -156,7 +156,7 @@ def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFr
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``documents`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and link with nothing. Equal texts are linked, repeated doc_ids give
-    repeated rows; rows with a null doc_id stay alone with a null component. Other columns are not read.
+    repeated rows; rows with a null doc_id stay alone, kept, with a null component. Other columns are not read.
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -181,6 +181,7 @@ def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFr
         star_edges = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         parts = connected_components(star_edges.unionByName(late))
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(*identity, F.coalesce("component", "rep").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sketches.select("doc_id", *identity).join(named, identity, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
