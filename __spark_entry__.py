@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from types import SimpleNamespace
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -303,7 +304,7 @@ def queries() -> dict[str, Query]:
         "score_outputs": _score_outputs,
         "suite_reports": _suite_reports,
     }
-    return {name: _tuned(query) for name, query in found.items()}
+    return {name: _tuned(query) for name, query in found.items()} | _training_text().QUERIES
 
 
 def _tuned(query: Query) -> Query:
@@ -313,5 +314,19 @@ def _tuned(query: Query) -> Query:
     return run
 
 
+def _training_text():
+    """The registry of the operators for training text, an empty one where their folder is absent."""
+    try:
+        import corpus_pipeline
+        from tasksieve.llm import queries as registry
+    except ModuleNotFoundError as error:
+        if (error.name or "").split(".")[-1] not in ("corpus_pipeline", "llm"):
+            raise
+        return SimpleNamespace(QUERIES={}, ORACLE={})
+    pipeline = {"pipeline": corpus_pipeline.run}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return SimpleNamespace(QUERIES=registry.QUERIES | pipeline, ORACLE=registry.ORACLE | sql)
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(ORACLE) | _training_text().ORACLE
