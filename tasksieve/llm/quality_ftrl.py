@@ -26,7 +26,7 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class QualityModel:
-    """max_rows: at most so many labelled rows are learnt from, chosen by a hash of doc_id (the bound of the training sample)."""
+    """max_rows: the bound of the training sample. Of more labelled rows than that about max_rows are learnt from, by a hash of doc_id."""
 
     bits: int = 18
     shards: int = 8
@@ -37,7 +37,7 @@ class QualityModel:
     l1: float = 1e-4
     l2: float = 1e-4
     scale: float = 20.0
-    max_rows: int = 40_000
+    max_rows: int = 20_000
 
 
 def _features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +121,8 @@ def fit(documents: DataFrame, labels: DataFrame, op: QualityModel = QualityModel
     """
     small_batches(documents.sparkSession)
     chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
-    sample = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(op.max_rows)
+    share = min(1.0, op.max_rows / max(1, chosen.count()))
+    sample = chosen.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = documents.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(op.shards)).alias("shard"))
     models = rows.repartition(op.shards, "shard").select("text", "label").mapInArrow(_trainer(op), "slot bigint, weight double")
     weights = np.zeros((1 << op.bits) + 1)
