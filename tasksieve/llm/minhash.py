@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tasksieve.llm.components import connected_components
+from tasksieve.llm.idfilter import id_filter, passes, place
 from tasksieve.llm.stored import small_batches, stored
 from tasksieve.llm.words import find_words, mix, shingle_sets
 
@@ -92,9 +93,10 @@ def _sketches(op: NearDedup):
     return run
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(wanted.value, batch.column("place").to_numpy())))
             sets = shingle_sets(find_words(batch.column("text")), shingle)
             offsets = np.append(0, np.cumsum([len(x) for x in sets])).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64)
@@ -110,15 +112,20 @@ def _linked(op: NearDedup) -> Column:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y, ...) with both full sets, joined by id so that a partner of a third of all pairs can be split."""
+    """Pairs (x, y, ...) with both full sets, joined by id so that a partner of a third of all pairs can be split.
+
+    A doc_id that several rows share gives each of its sets; the callers' results are distinct.
+    """
     return pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("elements").alias("x_set")), "x").join(
         sets.select(F.col("doc_id").alias("y"), F.col("elements").alias("y_set")), "y"
     )
 
 
 def _full_sets(rows: DataFrame, pairs: DataFrame, op: NearDedup) -> DataFrame:
-    wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    return stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(op.shingle), "doc_id bigint, elements array<bigint>"), "sets")
+    """Sets of the documents in pairs, and of a few more; one for each doc_id."""
+    wanted = id_filter(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))), "doc_id")
+    placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
+    return stored(placed.mapInArrow(_sets(op.shingle, wanted), "doc_id bigint, elements array<bigint>"), "sets")
 
 
 def _possible(op: NearDedup) -> Column:
@@ -139,7 +146,7 @@ def _undecided(stars: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataF
         F.col("x").alias("pivot"), "y", "y_part",
         F.array_sort(F.array_except("y_set", "x_set")).alias("added"), F.array_sort(F.array_except("x_set", "y_set")).alias("lost"),
         F.size("x_set").cast("bigint").alias("pivot_n"), F.size("y_set").cast("bigint").alias("n"),
-    ).withColumn("delta", F.concat("added", "lost")).withColumn("d", F.size("delta").cast("bigint"))
+    ).dropDuplicates(["pivot", "y"]).withColumn("delta", F.concat("added", "lost")).withColumn("d", F.size("delta").cast("bigint"))
     outlier = under * F.col("d") > over * (F.col("pivot_n") + F.col("n"))
     spare = F.floor((F.col("d") * under - over * (F.col("pivot_n") - F.col("n"))) / F.lit(2 * under)).cast("int")
     deltas = stored(deltas.select(
@@ -171,8 +178,8 @@ def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFr
         buckets.withColumnRenamed("doc_id", "y").join(pivots, "bucket").where("x <> y").select("x", "y", F.col("n_shingles").alias("y_n")).distinct(), "stars"
     )
     sizes = classes.select(F.col("rep").alias("x"), F.col("n_shingles").alias("x_n"))
-    sets = _full_sets(rows, stars, op).dropDuplicates(["doc_id"])
-    links = stored(_with_sets(stars.join(sizes, "x").where(_possible(op)), sets).where(_linked(op)).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    sets = _full_sets(rows, stars, op)
+    links = stored(_with_sets(stars.join(sizes, "x").where(_possible(op)), sets).where(_linked(op)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
     parts = stored(connected_components(links), "parts")
     more = stored(_undecided(stars.select("x", "y"), parts, sets, sizes, op), "undecided")
     late = stored(_with_sets(more, sets).where(_linked(op)).select(F.col("x").alias("a"), F.col("y").alias("b")), "late-links")
