@@ -2,7 +2,7 @@
 
 1. Seeds: the k-word runs whose hash is least in some window of ``window`` consecutive runs, so any equal stretch of k + window - 1
    words has a seed in both texts. Equal texts are collapsed first; only one of each goes on.
-2. A seed's anchor is its first occurrence by doc_id. Every other document's occurrence is matched with the anchor, a star
+2. The n-th occurrence of a seed in a text counts as a seed of its own, its anchor is the one of the smallest doc_id. Every other document's occurrence is matched with the anchor, a star
    instead of all pairs, so a line in a third of all documents costs one match each.
 3. Per document the matches with one anchor document are chained: the best-scoring sequence increasing in both texts, one
    point a seed less a cost linear in the gaps, found with a Fenwick tree of prefix maxima. Chains are cut at gaps beyond ``max_gap``.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.llm.idfilter import id_filter, passes, place
 from tasksieve.llm.stored import small_batches, stored
-from tasksieve.llm.words import find_words, gram_hashes
+from tasksieve.llm.words import find_words, gram_hashes, mix
 
 _CHAIN = "doc_id bigint, source bigint, p array<int>, q array<int>"
 _PASSAGE = "doc_id bigint, source bigint, first_word bigint, n_words bigint, source_first bigint, source_words bigint, matched bigint"
@@ -48,28 +48,37 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return at[np.append(True, at[1:] != at[:-1])]
 
 
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """The hashes, the second and later occurrences of one changed by their number: a text never has the same seed twice.
+
+    So the n-th occurrence in one text meets the n-th in another, and texts that repeat a phrase many times chain as well.
+    """
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    begins = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    number = np.empty(len(hashes), np.uint64)
+    number[order] = np.arange(len(hashes)) - np.repeat(begins, np.diff(np.append(begins, len(hashes))))
+    return np.where(number == 0, hashes, mix(hashes + number * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _seeds(op: PassageDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = find_words(batch.column("text"))
             grams = gram_hashes(words.hash, op.seed)
-            hashes, ids, places, firsts = [], [], [], []
+            hashes, ids, places = [], [], []
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
                 if b - a >= op.seed:
                     own = grams[a : b - op.seed + 1]
                     at = winnow(own, op.window)
-                    found, index = np.unique(own[at], return_index=True)
-                    first = np.zeros(len(at), bool)
-                    first[index] = True
-                    hashes.append(own[at])
+                    hashes.append(numbered(own[at]))
                     places.append(at)
-                    firsts.append(first)
                     ids.append(np.full(len(at), doc_id, np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)),
-                    pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(firsts)),
-                ], ["seed", "doc_id", "pos", "first"])
+                    pa.array(np.concatenate(places).astype(np.int32)),
+                ], ["seed", "doc_id", "pos"])
 
     return run
 
@@ -241,9 +250,9 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
     """
     small_batches(documents.sparkSession)
     named = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = stored(named.mapInArrow(_seeds(op), "seed bigint, doc_id bigint, pos int, first boolean"), "seeds")
+    seeds = stored(named.mapInArrow(_seeds(op), "seed bigint, doc_id bigint, pos int"), "seeds")
     anchors = seeds.groupBy("seed").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.min_by(F.when(F.col("first"), F.col("pos")), F.when(F.col("first"), F.col("doc_id"))).alias("q")
+        F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("q")
     ).where("source <> other").select("seed", "source", "q")
     matches = seeds.join(anchors, "seed").where("doc_id <> source")
     grouped = matches.groupBy("doc_id").agg(F.collect_list(F.struct("source", "pos", "q")).alias("matches"))
