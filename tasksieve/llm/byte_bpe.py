@@ -138,8 +138,9 @@ def decode(rows: DataFrame, op: ByteBpe) -> DataFrame:
     return small_batches(rows.sparkSession) and rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
 
 
-def digests(rows: DataFrame, op: ByteBpe) -> DataFrame:
+def digests(rows: DataFrame, op: ByteBpe, keep_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for rows of (doc_id, ids): ids as little-endian 32-bit integers."""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +153,10 @@ def digests(rows: DataFrame, op: ByteBpe) -> DataFrame:
                 counts.append(b - a)
                 ids.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(decode_ids(own, op)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            columns += [lists] * keep_ids
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, schema
     )

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tasksieve.llm import (
-    byte_bpe, chat_snapshots, decontaminate, embedding_ego, minhash, oracle, quality_ftrl, token_counts, url_links,
+    byte_bpe, chat_snapshots, decontaminate, embedding_ego, html_template, minhash, oracle, quality_ftrl, substring_chain, token_counts,
+    url_links,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_template.main_text(table(spark, folder, "pages"))
+
+
+def _repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_chain.repeated_passages(table(spark, folder, "documents"))
+
+
 def quality_weights(documents: DataFrame, labels: DataFrame, op: quality_ftrl.QualityModel):
     """Learnt from the rows that are not held out."""
     return quality_ftrl.fit(documents, labels.where(~quality_ftrl.held_out()).select("doc_id", F.col("quality").alias("label")), op)
@@ -75,6 +84,8 @@ def _near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_page_text": _page_text,
+    "op2_repeated_passages": _repeated_passages,
     "op3_text_quality": _text_quality,
     "op4_token_counts": _token_counts,
     "op5_near_duplicates": _near_duplicates,
