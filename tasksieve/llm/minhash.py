@@ -10,8 +10,8 @@
 4. What a star cannot decide are two members of different components. With D(x) the difference of x's set and the pivot's,
    |x ^ y| = |D(x) ^ D(y)|, and a link between y and an x not linked to the pivot needs D(x) and D(y) to share more than half of
    D(y) (less a correction by size). A prefix of D(y) in a fixed order, elements foreign to the pivot first, must therefore
-   meet D(x): an equi-join on (pivot, element) finds every such pair without comparing all. Those pairs are confirmed on the
-   full sets as well. No bucket is capped and no partner dropped.
+   meet D(x), and where they first meet enough of both must be left: an equi-join on (pivot, element) finds every such pair
+   without comparing all. Those pairs are confirmed on the full sets as well. No bucket is capped and no partner dropped.
 """
 
 from __future__ import annotations
@@ -153,9 +153,12 @@ def _undecided(stars: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataF
         "pivot", F.col("y").alias("id"), F.col("y_part").alias("part"), "n", "d", "delta", outlier.alias("outlier"),
         F.greatest(F.lit(0), F.least(F.col("d").cast("int"), spare + 1)).alias("prefix"),
     ), "deltas")
-    left = deltas.where("outlier").select("pivot", F.col("id").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.explode("delta").alias("element"))
-    right = deltas.select("pivot", F.col("id").alias("y"), F.col("part").alias("y_part"), F.col("n").alias("y_n"), F.explode(F.slice("delta", F.lit(1), F.col("prefix"))).alias("element"))
-    met = left.join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & _possible(op))
+    left = deltas.where("outlier").select("pivot", F.col("id").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), F.posexplode("delta").alias("i", "element"))
+    right = deltas.select("pivot", F.col("id").alias("y"), F.col("part").alias("y_part"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), F.posexplode(F.slice("delta", F.lit(1), F.col("prefix"))).alias("j", "element"))
+    # A link needs 2 |D(x) & D(y)| >= d_x + d_y - d; both deltas are in one order, so from their first common element on as many must follow.
+    left_over = F.least(F.col("x_d") - F.col("i"), F.col("y_d") - F.col("j"))
+    enough = 2 * under * left_over >= under * (F.col("x_d") + F.col("y_d")) - over * (F.col("x_n") + F.col("y_n"))
+    met = left.join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & enough & _possible(op))
     return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
