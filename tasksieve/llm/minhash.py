@@ -142,23 +142,27 @@ def _undecided(stars: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataF
     mixed = named.groupBy("x").agg(F.max(F.col("x_part") != F.col("y_part")).alias("mixed")).where("mixed").select("x")
     # With s the sizes, a pair with difference d is a link iff (100 + p) d <= (100 - p) (s_x + s_y).
     over, under = 100 - op.percent, 100 + op.percent
-    deltas = _with_sets(named.join(mixed, "x", "left_semi"), sets).select(
-        F.col("x").alias("pivot"), "y", "y_part",
+    pivots = stars.groupBy("y").agg(F.collect_set("x").alias("pivots"))  # one per band at most
+    deltas = _with_sets(named.join(mixed, "x", "left_semi").join(pivots, "y"), sets).select(
+        F.col("x").alias("pivot"), "y", "y_part", "pivots",
         F.array_sort(F.array_except("y_set", "x_set")).alias("added"), F.array_sort(F.array_except("x_set", "y_set")).alias("lost"),
         F.size("x_set").cast("bigint").alias("pivot_n"), F.size("y_set").cast("bigint").alias("n"),
     ).dropDuplicates(["pivot", "y"]).withColumn("delta", F.concat("added", "lost")).withColumn("d", F.size("delta").cast("bigint"))
     outlier = under * F.col("d") > over * (F.col("pivot_n") + F.col("n"))
     spare = F.floor((F.col("d") * under - over * (F.col("pivot_n") - F.col("n"))) / F.lit(2 * under)).cast("int")
     deltas = stored(deltas.select(
-        "pivot", F.col("y").alias("id"), F.col("y_part").alias("part"), "n", "d", "delta", outlier.alias("outlier"),
+        "pivot", F.col("y").alias("id"), F.col("y_part").alias("part"), "n", "d", "delta", "pivots", outlier.alias("outlier"),
         F.greatest(F.lit(0), F.least(F.col("d").cast("int"), spare + 1)).alias("prefix"),
     ), "deltas")
-    left = deltas.where("outlier").select("pivot", F.col("id").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), F.posexplode("delta").alias("i", "element"))
-    right = deltas.select("pivot", F.col("id").alias("y"), F.col("part").alias("y_part"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), F.posexplode(F.slice("delta", F.lit(1), F.col("prefix"))).alias("j", "element"))
+    left = deltas.where("outlier").select("pivot", F.col("id").alias("x"), F.col("part").alias("x_part"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), F.col("pivots").alias("x_pivots"), F.posexplode("delta").alias("i", "element"))
+    right = deltas.select("pivot", F.col("id").alias("y"), F.col("part").alias("y_part"), F.col("n").alias("y_n"), F.col("d").alias("y_d"), F.col("pivots").alias("y_pivots"), F.posexplode(F.slice("delta", F.lit(1), F.col("prefix"))).alias("j", "element"))
     # A link needs 2 |D(x) & D(y)| >= d_x + d_y - d; both deltas are in one order, so from their first common element on as many must follow.
     left_over = F.least(F.col("x_d") - F.col("i"), F.col("y_d") - F.col("j"))
     enough = 2 * under * left_over >= under * (F.col("x_d") + F.col("y_d")) - over * (F.col("x_n") + F.col("y_n"))
-    met = left.join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & enough & _possible(op))
+    # Any shared pivot decides a pair: the smallest does. A pair with a pivot in it was compared in its star.
+    once = F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))
+    star = F.array_contains("x_pivots", F.col("y")) | F.array_contains("y_pivots", F.col("x"))
+    met = left.join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & _possible(op) & enough & once & ~star)
     return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
