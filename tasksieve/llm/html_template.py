@@ -16,6 +16,7 @@ A host with few pages has no frequent class; its pages then follow the same elem
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import re
@@ -23,13 +24,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.llm.stored import small_batches, stored
 from tasksieve.llm.url_links import host_of
-from tasksieve.llm.words import mix
 
 
 @dataclass(frozen=True)
@@ -72,7 +71,7 @@ _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset f
 @dataclass
 class _Open:
     name: str
-    label: str
+    path: tuple[str, ...]
     boilerplate: bool
 
 
@@ -105,19 +104,19 @@ def read_page(source: str) -> Page:
     while at < len(source):
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
-        dropped = bool(stack) and stack[-1].boilerplate
+        path, dropped = (stack[-1].path, stack[-1].boilerplate) if stack else ((), False)
         if text:
-            page.texts.append((block, tuple(e.label for e in stack), text, dropped))
+            page.texts.append((block, path, text, dropped))
         if not m:
             break
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            page.texts.append((block, tuple(e.label for e in stack), html.escape(m[0][9:].removesuffix("]]>"), quote=False), dropped))
+            page.texts.append((block, path, html.escape(m[0][9:].removesuffix("]]>"), quote=False), dropped))
         if m[2] is None:
             continue
         name = m[2].lower()
         if name == "br":
-            page.texts.append((block, tuple(e.label for e in stack), " ", dropped))
+            page.texts.append((block, path, " ", dropped))
         elif name not in _INLINE:
             block += 1
         if m[1]:
@@ -125,12 +124,13 @@ def read_page(source: str) -> Page:
             continue
         _close_implied(stack, name)
         label, marked = _label(name, m[3] or "")
-        page.tags["/".join((*(e.label for e in stack), label))] += 1
+        path = (*(stack[-1].path if stack else ()), label)
+        page.tags["/".join(path)] += 1
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(source, at)
             at = end.start() if end else len(source)
         if name not in _VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(_Open(name, label, _is_boilerplate(stack, name, marked)))
+            stack.append(_Open(name, path, _is_boilerplate(stack, name, marked)))
     return page
 
 
@@ -165,9 +165,13 @@ def _is_boilerplate(stack: list[_Open], name: str, marked: bool) -> bool:
 def token_counts(page: Page) -> Counter:
     """Occurrences of the page's tokens: tag paths, and words outside the main slot with their paths (fixed strings lie there)."""
     counts = Counter({f"<{path}": n for path, n in page.tags.items()})
+    outside: dict[tuple[str, ...], bool] = {}
     for _, path, text, _ in page.texts:
-        if _main_depth(path) < 0:
-            counts.update(f"={'/'.join(path)}|{w}" for w in html.unescape(text).split())
+        if path not in outside:
+            outside[path] = _main_depth(path) < 0
+        if outside[path]:
+            at = "/".join(path)
+            counts.update(f"={at}|{w}" for w in html.unescape(text).split())
     return counts
 
 
@@ -176,7 +180,7 @@ def _main_depth(path: tuple[str, ...]) -> int:
     return next((i for i, label in enumerate(path) if label.split("[")[0] in ("article", "main") or "[role=main]" in label), -1)
 
 
-@dataclass(frozen=True)
+@dataclass
 class Template:
     """Nested valid classes of a host: each a set of tag paths and fixed words (as path|word), with the class it lies in (-1: none)."""
 
@@ -203,7 +207,7 @@ class Template:
         token = f"={'/'.join(path)}|{word}"
         return any(token in c for c in self.classes)
 
-    @property
+    @functools.cached_property
     def main_slots(self) -> frozenset[str]:
         """Paths of the template's main elements: what they hold beside template tokens is the content slot."""
         return frozenset(t[1:] for c in self.classes for t in c if t[0] == "<" and _main_depth(tuple(t[1:].split("/"))) == t.count("/"))
@@ -215,8 +219,10 @@ def extract(page: Page, template: Template = Template()) -> str:
     Boilerplate elements and, outside a main slot, pieces made of the template's fixed words alone are left out.
     """
     shown = [(block, path, text) for block, path, text, dropped in page.texts if not dropped]
-    inside = [x for x in shown if (d := _main_depth(x[1])) >= 0 and (not template.main_slots or "/".join(x[1][: d + 1]) in template.main_slots)]
-    inside = inside or [x for x in shown if _main_depth(x[1]) >= 0]
+    depths = {path: _main_depth(path) for _, path, _ in shown}
+    within = [x for x in shown if depths[x[1]] >= 0]
+    slots = template.main_slots
+    inside = [x for x in within if "/".join(x[1][: depths[x[1]] + 1]) in slots] or within
     blocks: dict[int, list[str]] = {}
     for block, path, text in inside or shown:
         if not inside and template.classes:
@@ -238,7 +244,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str], list[int]] = {}
         for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
             for token, n in token_counts(read_page(source or "")).items():
-                hashed = int(mix(np.array([(key + n * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
+                hashed = (key ^ n * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+                hashed ^= hashed >> 31
                 old = found.setdefault((host, token), [0, 0, n, n, 0, 0])
                 found[host, token] = [old[0] + 1, old[1] + n, min(old[2], n), max(old[3], n), old[4] + (hashed >> 34), old[5] + (hashed & 0x3FFFFFFF)]
         rows = [(*k, *v) for k, v in found.items()]
