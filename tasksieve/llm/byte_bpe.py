@@ -67,9 +67,11 @@ def _finder(op: ByteBpe, overlap: int):
         for batch in batches:
             heads, tails = [], []
             for text, start, n in zip(*(batch.column(c).to_pylist() for c in ("text", "start", "n_chars"))):
-                found = stable_boundaries(text, op.pattern, 1, len(text) - 1)
-                heads.append([start + b for b in found if b < overlap] if start else [])
-                tails.append([start + b for b in found if b > len(text) - overlap] if start + len(text) < n else [])
+                # Pre-tokens resynchronise on their own, so each zone is scanned from the middle of its text.
+                head, tail = text[: overlap + 1], text[max(0, len(text) - 2 * overlap) :]
+                heads.append([start + b for b in stable_boundaries(head, op.pattern, 1, overlap - 1)] if start else [])
+                ahead = start + len(text) - len(tail)
+                tails.append([ahead + b for b in stable_boundaries(tail, op.pattern, len(tail) - overlap + 1, len(tail) - 1)] if start + len(text) < n else [])
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("digest"), batch.column("part"), pa.array(heads, kind), pa.array(tails, kind)
