@@ -17,10 +17,8 @@ _ARROW = {
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder of ``spark.checkpoint.dir``; without that setting the caller must set it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    """A fresh path below the shared folder of ``spark.checkpoint.dir``, or of the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
