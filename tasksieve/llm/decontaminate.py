@@ -162,9 +162,9 @@ def _merged(found: DataFrame) -> DataFrame:
 
     def joined(done, span):
         last = F.get(done, F.size(done) - 1)
-        longer = F.struct(
-            last["first"].alias("first"), F.greatest(last["stop"], span["stop"]).alias("stop"), last["start"].alias("start"),
-            F.greatest(last["end"], span["end"]).alias("end"),
+        longer = F.named_struct(
+            F.lit("first"), last["first"], F.lit("stop"), F.greatest(last["stop"], span["stop"]), F.lit("start"), last["start"],
+            F.lit("end"), F.greatest(last["end"], span["end"]),
         )
         kept = F.slice(done, F.lit(1), F.size(done) - 1)
         return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= span["first"]), F.concat(kept, F.array(longer))).otherwise(

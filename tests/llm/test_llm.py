@@ -233,7 +233,7 @@ def test_maximal_chats(spark):
 def test_url_verdicts(spark):
     pages = [
         (1, "HTTP://A.Example.NET/en/x?q#f", None), (2, "http://b.example.com/de/1", ""), (3, None, "x"), (4, "no scheme", None), (5, "http://c.org?x=/fr/", None),
-        (6, "https://c.org/fr/1", "<a href='http://friend.info/'>"), (7, "http://friend.info/a", "<a class=x href=//bad.net/>"), (8, "http://evil.info/", '<a href="http://bad.net/q">'),
+        (6, "https://c.org/fr/1", "<a href='/fr/2'>"), (7, "http://friend.info/a", "<a class=x href=//bad.net/>"), (8, "http://evil.info/", '<a href="http://bad.net/q">'),
         (9, "http://bad.net/q", ""), (10, "http://example.net", None), (10, "http://example.net", None),
     ]
     table = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("x"))
@@ -304,5 +304,5 @@ def test_page_text(spark):
     assert all(texts[i] == text for i in range(5))
     assert texts[10] == "Plain" and texts[11] == texts[12] == "" and texts[14] == "loose end" and texts[15] == "a < b & c"
     classes = html_template.templates(table).where("host = 'h.example'").first()["classes"]
-    assert any("<html/body[class=has-sidebar]/nav" in c and "=html/body[class=has-sidebar]/footer|us" in c for c in classes)
+    assert any("<html/body[class=has-sidebar]/nav" in c and "=html/body[class=has-sidebar]/nav/ul/li|Menu" in c for c in classes)
     assert html_template.main_text(table.limit(0)).count() == 0
