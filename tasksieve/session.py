@@ -35,9 +35,12 @@ def tune(spark: SparkSession) -> SparkSession:
     Where nobody chose a number of shuffle partitions it follows the cores of the cluster; adaptive execution merges
     what turns out small.
     """
+    given = spark.sparkContext.getConf()
     for key, value in _DEFAULTS.items():
-        spark.conf.set(key, value)
-    if not spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    chosen = given.contains("spark.sql.shuffle.partitions") or spark.conf.get("spark.sql.shuffle.partitions") != "200"
+    if not chosen:
         spark.conf.set("spark.sql.shuffle.partitions", str(3 * spark.sparkContext.defaultParallelism))
     return spark
 
