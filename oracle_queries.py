@@ -32,9 +32,9 @@ def _json(text: str) -> str:
 _TASKS = """
 tasks AS (
   SELECT 't' || d.doc_id AS task_id, d.source || '-' || d.lang AS group_id, 'doc ' || d.doc_id AS title,
-         substr(d.text, 1, 200) AS specification, d.text AS program, d.text AS reference_program,
+         d.text AS specification, d.text AS program, d.text AS reference_program,
          list_transform(
-           list_filter(string_split(substr(d.text, 1, 200), chr(10)), lambda line: trim(line) <> ''),
+           list_filter(string_split(d.text, chr(10)), lambda line: trim(line) <> ''),
            lambda line, i: {'case_id': 'c' || i, 'stdin': line, 'expected_stdout': 'SUM=' || length(line)}) AS reference_tests,
          list_transform(
            list_filter([0, 1, 2], lambda k: k < d.doc_id % 4),

@@ -28,7 +28,7 @@ _PLAIN = {
     "task_id": "concat('t', cast(doc_id AS string))",
     "group_id": "concat(source, '-', lang)",
     "title": "concat('doc ', cast(doc_id AS string))",
-    "specification": "substring(text, 1, 200)",
+    "specification": "text",
     "program": "text",
     "reference_program": "text",
     "seq": "doc_id",
@@ -38,7 +38,7 @@ _PLAIN = {
              ELSE 'unknown' END""",
     # One test per visible line of the specification, numbered from 1.
     "reference_tests": r"""
-        transform(filter(split(substring(text, 1, 200), '\n'), l -> trim(l) <> ''),
+        transform(filter(split(text, '\n'), l -> trim(l) <> ''),
                   (l, i) -> named_struct('case_id', concat('c', cast(i + 1 AS string)), 'stdin', l,
                                          'expected_stdout', concat('SUM=', cast(length(l) AS string))))""",
     # Up to three mutants, named by their position.
