@@ -223,8 +223,23 @@ def parse_suites(outputs: DataFrame, column: str = "model_output") -> DataFrame:
     )
 
 
-def suite_cases(suites: DataFrame, key: str = "task_id") -> DataFrame:
-    """One row per case of the suites that parsed, numbered in suite order."""
+def suite_cases(suites: DataFrame) -> DataFrame:
+    """One row per case of the suites that parsed, numbered in suite order, with ``output_id`` where suites have it."""
+    key = [c for c in ("task_id", "output_id") if c in suites.columns]
     return suites.where("parse_error IS NULL").select(
-        key, F.posexplode("cases").alias("case_ord", "_case")
-    ).select(key, "case_ord", "_case.*")
+        *key, F.posexplode("cases").alias("case_ord", "_case")
+    ).select(*key, "case_ord", "_case.*")
+
+
+def task_cases(tasks: DataFrame) -> DataFrame:
+    """The reference tests of loaded tasks as rows: task_id, case_ord, case_id, stdin, expected_stdout."""
+    return tasks.select("task_id", F.posexplode("reference_tests").alias("case_ord", "_case")).select(
+        "task_id", "case_ord", "_case.*"
+    )
+
+
+def task_mutants(tasks: DataFrame) -> DataFrame:
+    """The mutants of loaded tasks as rows: task_id, mutant_ord, mutant_id, source."""
+    return tasks.select("task_id", F.posexplode("mutants").alias("mutant_ord", "_mutant")).select(
+        "task_id", "mutant_ord", "_mutant.mutant_id", "_mutant.source"
+    )
