@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,6 +13,7 @@ from tasksieve.schema import REVIEW_EVENTS, REVIEW_STATUSES
 from tasksieve.session import pinned
 from tasksieve.sources.jsonl import task_json
 
+_NO_DAY = "none"
 EVENT_FIELDS = ("event_id", "task_id", "reviewer", "status", "rationale", "created_at")
 
 
@@ -63,9 +66,22 @@ def review_history(events: DataFrame, task_id: str | None = None) -> DataFrame:
     return rows.select(*EVENT_FIELDS).orderBy("task_id", "event_id")
 
 
+def first_deliveries(events: DataFrame) -> DataFrame:
+    """One row of each event_id: the first by created_at, then by the other fields, whatever the input order."""
+    others = [c for c in EVENT_FIELDS if c not in ("event_id", "created_at")]
+    return events.groupBy("event_id").agg(F.min(F.struct("created_at", *others)).alias("_first")).select(
+        "event_id", "_first.*"
+    ).select(*EVENT_FIELDS)
+
+
 class ReviewLedger:
     """Parquet folders ``tasks`` and ``events``. Files are sorted by task_id and carry a bloom filter on it, so a
     look-up of one task skips almost every row group without a directory per key.
+
+    ``events`` is the one log of batch and stream: every judged event lies once under ``batch=<name>/day=<date>``, with a
+    ``reject_reason`` if it was refused. An event_id is stored once, the first delivery wins. Deliveries are looked for on
+    the days of ``created_at`` that the new events name, so the cost of storing follows the batch, not the log; an event_id
+    delivered again must therefore keep its created_at.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -80,45 +96,75 @@ class ReviewLedger:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, rows: DataFrame, name: str) -> None:
-        (
-            rows.sortWithinPartitions("task_id").write.mode("append")
-            .option("parquet.bloom.filter.enabled#task_id", "true")
-            .parquet(f"{self.path}/{name}")
-        )
-
     def tasks(self) -> DataFrame:
         return self._read("tasks", "task_id string, task_json string")
 
+    def judged(self) -> DataFrame:
+        """All events of the log: their fields, reject_reason, batch and day."""
+        fields = REVIEW_EVENTS.simpleString()[len("struct<"):-1].replace(":", " ")
+        return self._read("events", f"{fields}, reject_reason string, batch string, day string")
+
     def events(self) -> DataFrame:
-        return self._read("events", REVIEW_EVENTS.simpleString()[len("struct<"):-1].replace(":", " "))
+        """The accepted decisions, from batches and streams alike."""
+        return accepted_events(self.judged())
+
+    def rejects(self) -> DataFrame:
+        return rejected_events(self.judged()).select(*EVENT_FIELDS, "reject_reason")
 
     def import_tasks(self, batch: DataFrame) -> int:
         """Insert the tasks not stored yet; returns how many were inserted."""
         before = self.tasks().count()
-        self._append(new_tasks(batch, self.tasks().select("task_id")), "tasks")
+        (
+            new_tasks(batch, self.tasks().select("task_id")).sortWithinPartitions("task_id").write.mode("append")
+            .option("parquet.bloom.filter.enabled#task_id", "true").parquet(f"{self.path}/tasks")
+        )
         return self.tasks().count() - before
 
+    def store(self, events: DataFrame, batch: str, every_day: bool = False) -> DataFrame:
+        """Judge the events that no other batch holds and write them as ``batch``; returns its stored rows.
+
+        Storing a batch again replaces it. ``every_day`` looks for earlier deliveries in the whole log.
+        """
+        dated = first_deliveries(events).withColumn("day", F.coalesce(F.col("created_at").cast("date").cast("string"), F.lit(_NO_DAY)))
+        stored = self.judged().where(F.col("batch") != batch)
+        if not every_day:
+            # One row a calendar day at most.
+            days = [row.day for row in dated.select("day").distinct().collect()]
+            stored = stored.where(F.col("day").isin(days)) if days else stored.limit(0)
+        fresh = dated.join(stored.select("event_id"), "event_id", "left_anti")
+        judged = judge_events(fresh, self.tasks().select("task_id")).withColumn(
+            "day", F.coalesce(F.col("created_at").cast("date").cast("string"), F.lit(_NO_DAY))
+        )
+        # Few files a day, a large day in several.
+        (
+            judged.hint("rebalance", "day").sortWithinPartitions("day", "task_id").write.mode("overwrite").partitionBy("day")
+            .option("parquet.bloom.filter.enabled#task_id", "true").parquet(f"{self.path}/events/batch={batch}")
+        )
+        return self.judged().where(F.col("batch") == batch)
+
     def record(self, events: DataFrame, strict: bool = False) -> DataFrame:
-        """Append the valid decisions; returns the rejected ones. ``strict`` raises on a rejected row, storing none.
+        """Store the decisions not stored yet; returns the rejected ones as stored. ``strict`` raises on a rejected row,
+        storing none.
 
         Missing ``event_id`` values are numbered after the stored ones, missing ``created_at`` values are now (UTC).
         """
+        every_day = "created_at" not in events.columns
         if "event_id" not in events.columns:
-            last = self.events().agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+            last = self.judged().agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
             events = events.withColumn("event_id", F.monotonically_increasing_id() + last + 1)
+            every_day = False
         if "created_at" not in events.columns:
-            events = events.withColumn("created_at", F.current_timestamp())
-        judged = judge_events(events, self.tasks().select("task_id"))
-        rejects = rejected_events(judged)
+            # A value, not the clock: every reading of the rows sees the same day.
+            now = self.spark.range(1).select(F.current_timestamp()).first()[0]
+            events = events.withColumn("created_at", F.lit(now))
         if strict:
-            bad = rejects.take(1)
+            bad = rejected_events(judge_events(events, self.tasks().select("task_id"))).take(1)
             if bad and bad[0].reject_reason == "unknown_task":
                 raise KeyError(bad[0].task_id)
             if bad:
                 raise ValueError(bad[0].reject_reason)
-        self._append(accepted_events(judged), "events")
-        return rejects
+        stored = self.store(events, f"record-{uuid.uuid4().hex}", every_day)
+        return rejected_events(stored).select(*EVENT_FIELDS, "reject_reason")
 
     def history(self, task_id: str) -> DataFrame:
         return review_history(self.events(), task_id).select("reviewer", "status", "rationale", "created_at")

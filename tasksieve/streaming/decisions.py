@@ -2,57 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tasksieve.operators.ledger import ReviewLedger, accepted_events, judge_events, rejected_events
+from tasksieve.operators.ledger import ReviewLedger
 
 
 class DecisionStream:
-    """Writes each micro-batch under ``events/batch=<n>`` and ``rejects/batch=<n>`` of the ledger folder.
+    """Stores each micro-batch as batch ``<name>-<n>`` of the ledger's one log, beside what ``record`` stores.
 
-    A batch that is run again after a failure overwrites its own folders, so every decision is stored once. An event
-    delivered again in a later batch is recognized by its event_id among the stored ones; with ``watermark`` (say
-    "1 day") the stream also drops repeats by bounded state, at the price of dropping events later than that.
+    A batch that is run again after a failure replaces its own rows, so every decision is stored once. An event
+    delivered again in a later batch is recognized by its event_id among the stored ones of its day; with ``watermark``
+    (say "1 day") the stream also drops repeats by bounded state, at the price of dropping events later than that.
+    ``name`` must differ between streams with checkpoints of their own.
     """
 
-    def __init__(self, ledger: ReviewLedger, checkpoint: str, watermark: str | None = None) -> None:
+    def __init__(self, ledger: ReviewLedger, checkpoint: str, watermark: str | None = None, name: str = "stream") -> None:
         self.ledger = ledger
         self.checkpoint = checkpoint
         self.watermark = watermark
-
-    def _folder(self, name: str) -> str:
-        return f"{self.ledger.path}/{name}"
-
-    def stored(self, name: str = "streamed_events") -> DataFrame:
-        """Accepted (``streamed_events``) or rejected (``streamed_rejects``) rows of all finished batches."""
-        return self.ledger.spark.read.parquet(self._folder(name))
-
-    def _stored_ids(self, batch_id: int) -> DataFrame | None:
-        from pyspark.errors import AnalysisException
-
-        try:
-            earlier = [self.stored(n).where(F.col("batch") != batch_id).select("event_id")
-                       for n in ("streamed_events", "streamed_rejects")]
-        except AnalysisException as error:
-            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
-        return earlier[0].unionByName(earlier[1])
+        self.name = name
 
     def _store(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["event_id"])
-        earlier = self._stored_ids(batch_id)
-        if earlier is not None:
-            rows = rows.join(earlier, "event_id", "left_anti")
-        judged = judge_events(rows, self.ledger.tasks().select("task_id")).persist()
+        # Read twice, for the days and for the rows.
+        rows = batch.persist()
         try:
-            for name, part in (("streamed_events", accepted_events(judged)), ("streamed_rejects", rejected_events(judged))):
-                part.sortWithinPartitions("task_id").write.mode("overwrite").parquet(
-                    f"{self._folder(name)}/batch={batch_id}"
-                )
+            self.ledger.store(rows, f"{self.name}-{batch_id}")
         finally:
-            judged.unpersist()
+            rows.unpersist()
 
     def start(self, decisions: DataFrame, available_now: bool = True, every: str = "1 minute") -> StreamingQuery:
         rows = decisions
