@@ -111,50 +111,52 @@ def rejects(encoded: DataFrame) -> DataFrame:
     return encoded.where("reject_reason IS NOT NULL").select("task_id", "prompt_tokens", "reject_reason")
 
 
-def bucket_digits(rows: int, per_bucket: int = 4096) -> int:
-    """Hex digits of the shuffle key that keep a bucket near ``per_bucket`` rows."""
-    digits = 0
-    while rows > per_bucket * 16 ** digits:
-        digits += 1
-    return digits
-
-
 def collate(
-    encoded: DataFrame, batch_size: int = 8, pad_id: int = 0, seed: int = 2026, digits: int | None = None
+    encoded: DataFrame, batch_size: int = 8, pad_id: int = 0, seed: int = 2026, digits: int = 3
 ) -> DataFrame:
-    """Shuffled batches, each padded to its longest row: bucket, batch_no, row_no, task_id and the padded lists.
+    """Shuffled batches, each padded to its longest row: batch_no, row_no, task_id, width and the padded lists.
 
-    Batches are cut inside hash buckets of the shuffle key, never in one global order; only the last batch of a
-    bucket can be short. Both windows run on the one exchange by bucket.
+    Rows have one global position in the order of the shuffle key: the total of the buckets before (16^digits of them at
+    most, so the table of totals is small) plus the place inside the bucket. Batches are cut from it, so only the very
+    last one can be short and ``digits`` changes nothing but the layout. Of the lists only the ids are shuffled; mask and
+    labels follow from the ids' number and ``prompt_tokens``.
     """
-    if digits is None:
-        digits = bucket_digits(encoded.count())
-    keyed = encoded.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), "task_id"))).withColumn(
-        "bucket", F.substring("_key", 1, digits)
+    if not 0 <= digits <= 4:
+        raise ValueError(f"0 to 4 hex digits, not {digits}")
+    keyed = encoded.select(
+        "task_id", "prompt_tokens", "input_ids", F.md5(F.concat(F.lit(f"{seed}:"), "task_id")).alias("_key")
+    ).withColumn("_bucket", F.substring("_key", 1, digits))
+    before = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    position = F.row_number().over(W.partitionBy("bucket").orderBy("_key", "task_id")) - 1
-    placed = keyed.withColumn("_pos", position).select(
-        "*", F.floor(F.col("_pos") / batch_size).cast("int").alias("batch_no"),
-        (F.col("_pos") % batch_size).cast("int").alias("row_no"),
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy("_key", "task_id")) - 1
+    placed = keyed.join(F.broadcast(offsets), "_bucket").withColumn("_pos", F.col("_offset") + inside).select(  # at most 65,536 rows
+        F.floor(F.col("_pos") / batch_size).alias("batch_no"), (F.col("_pos") % batch_size).cast("int").alias("row_no"),
+        "task_id", "prompt_tokens", "input_ids",
     )
-    width = F.max(F.size("input_ids")).over(W.partitionBy("bucket", "batch_no"))
-    wide = placed.withColumn("width", width)
+    wide = placed.withColumn("width", F.max(F.size("input_ids")).over(W.partitionBy("batch_no")))
+    n, width = F.size("input_ids"), F.col("width")
+    masked = F.least(F.col("prompt_tokens"), n)
 
-    def padded(name: str, filler: int) -> Column:
-        gap = F.col("width") - F.size(name)
-        return F.concat(F.col(name), F.array_repeat(F.lit(filler), gap)).alias(name)
+    def repeated(value: int, times: Column) -> Column:
+        return F.array_repeat(F.lit(value), times)
 
     return wide.select(
-        "bucket", "batch_no", "row_no", "task_id", "width",
-        padded("input_ids", pad_id), padded("attention_mask", 0), padded("labels", IGNORED_LABEL),
+        "batch_no", "row_no", "task_id", "width",
+        F.concat("input_ids", repeated(pad_id, width - n)).alias("input_ids"),
+        F.concat(repeated(1, n), repeated(0, width - n)).alias("attention_mask"),
+        F.concat(
+            repeated(IGNORED_LABEL, masked), F.slice("input_ids", masked + 1, n), repeated(IGNORED_LABEL, width - n)
+        ).alias("labels"),
     )
 
 
 def check_training_set(tasks: DataFrame) -> None:
     if tasks.isEmpty():
-        raise ValueError("train split is empty")
+        raise ValueError("no task to train on")
     if tasks.groupBy("task_id").count().where("count > 1").take(1):
-        raise ValueError("duplicate training task IDs")
+        raise ValueError("a task_id occurs twice among the tasks to train on")
 
 
 def training_manifest(split_tasks: DataFrame, seed: int = 2026) -> DataFrame:
