@@ -135,19 +135,18 @@ def _ledger_import(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """All events through the stream, stored by batch and read back with their verdicts."""
+    """All events through the stream, read back from the ledger with their verdicts."""
     home = scratch_path(spark, "ledger")
     book = ledger.ReviewLedger(spark, home)
     book.import_tasks(t.tasks(spark, sf))
     source = t.table(spark, sf, "events")
     decisions = (
         spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-        .transform(t.as_decisions)
+        .transform(t.as_decisions, t.table(spark, sf, "documents").count())
     )
-    stream = DecisionStream(book, f"{home}/checkpoint")
-    stream.start(decisions).awaitTermination()
-    taken = stream.stored().select("event_id", "task_id", F.lit("").alias("reject_reason"))
-    return taken.unionByName(stream.stored("streamed_rejects").select("event_id", "task_id", "reject_reason"))
+    DecisionStream(book, f"{home}/checkpoint").start(decisions).awaitTermination()
+    taken = ledger.review_history(book.events()).select("event_id", "task_id", F.lit("").alias("reject_reason"))
+    return taken.unionByName(book.rejects().select("event_id", "task_id", "reject_reason"))
 
 
 # --- fine-tuning examples --------------------------------------------------------------------------------------------
@@ -178,10 +177,8 @@ def _sft_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sft_batches(spark: SparkSession, sf: str) -> DataFrame:
-    # Buckets are sized by the number of all tasks, which the file footers hold; counting encoded rows would encode twice.
-    digits = sft.bucket_digits(t.table(spark, sf, "documents").count())
-    return sft.collate(sft.usable(_encoded(spark, sf)), digits=digits).select(
-        "bucket", "batch_no", "row_no", "task_id", "width", F.size("input_ids").alias("n_ids"),
+    return sft.collate(sft.usable(_encoded(spark, sf))).select(
+        "batch_no", "row_no", "task_id", "width", F.size("input_ids").alias("n_ids"),
         F.size(F.filter("attention_mask", lambda x: x == 0)).alias("n_padding"),
     )
 
@@ -242,11 +239,9 @@ def _score_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _suite_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Reports written as JSON lines, read back, one row per mutant."""
-    reports = mutation.suite_reports(*_output_tables(spark, sf))
+    reports = mutation.mutant_reports(*_output_tables(spark, sf))
     path = mutation.write_reports(reports, scratch_path(spark, "reports"))
-    return spark.read.schema(reports.schema).json(path).select(
-        "task_id", "mutation_score", F.inline("mutants")
-    ).withColumn("killed_by_cases", F.array_join("killed_by_cases", ","))
+    return spark.read.schema(reports.schema).json(path).withColumn("killed_by_cases", F.array_join("killed_by_cases", ","))
 
 
 def queries() -> dict[str, Query]:
@@ -303,6 +298,8 @@ def queries() -> dict[str, Query]:
         "parse_suites": _parse_suites,
         "score_outputs": _score_outputs,
         "suite_reports": _suite_reports,
+        "task_cases": lambda s, d: contracts.task_cases(tasks(s, d, "task_id", "reference_tests")),
+        "task_mutants": lambda s, d: contracts.task_mutants(tasks(s, d, "task_id", "mutants")),
     }
     return {name: _tuned(query) for name, query in found.items()} | _training_text().QUERIES
 

@@ -168,7 +168,7 @@ encoded AS (
 
 _EVENTS = f"""{_TASKS},
 events_in AS (
-  SELECT event_id, 't' || (event_id % 1500) AS task_id,
+  SELECT event_id, 't' || (event_id % (SELECT count(*) + count(*) // 4 + 1 FROM documents)) AS task_id,
          CASE WHEN user_id % 10 = 0 THEN ' ' ELSE 'r' || user_id END AS reviewer,
          CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'revised' WHEN 'error' THEN 'rejected'
               WHEN 'view' THEN 'unreviewed' ELSE 'other' END AS status,
@@ -202,46 +202,58 @@ ref_runs AS (
          CASE WHEN max(l_tax) >= 0.08 THEN 'SUM=   -1' ELSE 'SUM=   ' || CAST(min(l_quantity) AS BIGINT) END AS stdout,
          'warning ' || max(l_returnflag) AS stderr, max(l_discount) >= 0.1 AS timed_out,
          max(l_extendedprice) / 50000 AS duration_seconds
-  FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem, (VALUES (1), (2)) AS copies(copy)
+  WHERE (copy = 1 OR l_orderkey % 13 = 5) AND NOT (l_orderkey % 11 = 3 AND l_linenumber = 1)
+  GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, copy
 ),
 mutant_runs AS (
   SELECT c.task_id, c.case_id, m.mutant_id AS program_id,
          CASE WHEN length(c.case_id) % 7 = m.mutant_ord THEN 1 ELSE 0 END AS return_code,
          CASE WHEN length(c.expected_stdout) = 5 AND m.mutant_ord = 1 THEN 'SUM=  0' ELSE c.expected_stdout END AS stdout
-  FROM cases c JOIN mutants m ON m.task_id = c.task_id
+  FROM cases c JOIN mutants m ON m.task_id = c.task_id, (VALUES (1), (2)) AS copies(copy)
+  WHERE copy = 1 OR c.task_id % 17 = 2
 ),
 validity AS (
   SELECT c.task_id, c.case_id, c.case_ord, c.expected_stdout AS expected,
-         coalesce(NOT r.timed_out AND r.return_code = 0
-                  AND regexp_replace(r.stdout, '^SUM= +', 'SUM=') = c.expected_stdout, FALSE) AS oracle_valid
-  FROM cases c LEFT JOIN ref_runs r ON r.task_id = c.task_id AND r.case_id = c.case_id
+         bool_and(coalesce(NOT r.timed_out AND r.duration_seconds <= 2 AND r.return_code = 0
+                           AND regexp_replace(r.stdout, '^SUM= +', 'SUM=') = c.expected_stdout, FALSE)) AS oracle_valid,
+         count(r.case_id) AS reference_run_count
+  FROM cases c LEFT JOIN ref_runs r ON r.task_id = c.task_id AND r.case_id = c.case_id GROUP BY ALL
 ),
 matrix AS (
   SELECT v.task_id, v.case_id, v.case_ord, r.program_id AS mutant_id,
-         r.return_code <> 0 OR regexp_replace(r.stdout, '^SUM= +', 'SUM=') <> v.expected AS killed
+         bool_or(r.return_code <> 0 OR regexp_replace(r.stdout, '^SUM= +', 'SUM=') <> v.expected) AS killed,
+         count(*) AS record_count
   FROM validity v JOIN mutant_runs r ON r.task_id = v.task_id AND r.case_id = v.case_id WHERE v.oracle_valid
+  GROUP BY ALL
 ),"""
 _SCORES = """
 mutant_scores AS (
   SELECT m.task_id, m.mutant_id, m.mutant_ord, coalesce(bool_or(x.killed), FALSE) AS killed,
-         count(*) FILTER (x.killed) AS kill_count, count(x.case_id) AS run_count
+         count(*) FILTER (x.killed) AS kill_count, count(x.case_id) AS run_count,
+         CAST(coalesce(sum(x.record_count - 1), 0) AS BIGINT) AS repeated_count
   FROM mutants m LEFT JOIN matrix x ON x.task_id = m.task_id AND x.mutant_id = m.mutant_id GROUP BY ALL
 ),
 per_suite AS (
-  SELECT task_id, count(*) AS generated_case_count, count(*) FILTER (oracle_valid) AS oracle_valid_count
+  SELECT task_id, count(*) AS generated_case_count, count(*) FILTER (oracle_valid) AS oracle_valid_count,
+         count(*) FILTER (reference_run_count = 0) AS missing_reference_count,
+         sum(greatest(reference_run_count - 1, 0)) AS repeated
   FROM validity GROUP BY task_id
 ),
 per_task AS (
   SELECT task_id, count(*) AS mutant_count, count(*) FILTER (killed) AS mutants_killed,
-         CAST(sum(run_count) AS BIGINT) AS run_count
+         CAST(sum(run_count) AS BIGINT) AS run_count, sum(repeated_count) AS repeated_count
   FROM mutant_scores GROUP BY task_id
 ),
 suite_scores AS (
   SELECT s.task_id, generated_case_count, oracle_valid_count,
-         generated_case_count - oracle_valid_count AS oracle_invalid_count,
+         generated_case_count - oracle_valid_count - missing_reference_count AS oracle_invalid_count,
+         missing_reference_count,
          coalesce(mutant_count, 0) AS mutant_count, coalesce(mutants_killed, 0) AS mutants_killed,
          CAST(mutants_killed AS DOUBLE) / mutant_count AS mutation_score,
-         oracle_valid_count * coalesce(mutant_count, 0) - coalesce(run_count, 0) AS missing_run_count
+         oracle_valid_count * coalesce(mutant_count, 0) - coalesce(run_count, 0) AS missing_run_count,
+         CAST(repeated + coalesce(repeated_count, 0) AS BIGINT) AS repeated_run_count,
+         CAST(0 AS BIGINT) AS ambiguous_mutant_count
   FROM per_suite s LEFT JOIN per_task p ON p.task_id = s.task_id
 )"""
 _OUTPUT_RUNS = """
@@ -257,7 +269,8 @@ outputs AS (
   FROM orders
 ),
 validity AS (
-  SELECT o_orderkey AS task_id, c.case_id, c.case_ord, NOT (o_orderstatus = 'P' AND c.case_id = 'a') AS oracle_valid
+  SELECT o_orderkey AS task_id, c.case_id, c.case_ord, NOT (o_orderstatus = 'P' AND c.case_id = 'a') AS oracle_valid,
+         CAST(1 AS BIGINT) AS reference_run_count
   FROM orders, (VALUES ('a', 0), ('b', 1)) AS c(case_id, case_ord) WHERE o_orderkey % 8 = 7
 ),
 mutants AS (
@@ -266,7 +279,7 @@ mutants AS (
 ),
 matrix AS (
   SELECT v.task_id, v.case_id, v.case_ord, m.mutant_id,
-         (m.mutant_ord = 0 AND v.case_id = 'b') OR m.mutant_ord = 1 AS killed
+         (m.mutant_ord = 0 AND v.case_id = 'b') OR m.mutant_ord = 1 AS killed, CAST(1 AS BIGINT) AS record_count
   FROM validity v JOIN mutants m ON m.task_id = v.task_id
   WHERE v.oracle_valid AND NOT (m.mutant_ord = 1 AND v.case_id = 'b')
 ),"""
@@ -377,6 +390,12 @@ ORACLE: dict[str, str] = {
     "ledger_rejects": f"WITH {_EVENTS} SELECT event_id, reject_reason FROM judged WHERE reject_reason IS NOT NULL",
     "review_history": f"""WITH {_EVENTS} SELECT event_id, task_id, reviewer, status, rationale, created_at FROM judged
         WHERE reject_reason IS NULL ORDER BY task_id, event_id""",
+    "task_cases": f"""WITH {_TASKS}, listed AS (SELECT task_id, reference_tests, unnest(range(len(reference_tests))) AS i FROM tasks)
+        SELECT task_id, CAST(i AS INTEGER) AS case_ord, reference_tests[i + 1].case_id AS case_id,
+               reference_tests[i + 1].stdin AS stdin, reference_tests[i + 1].expected_stdout AS expected_stdout FROM listed""",
+    "task_mutants": f"""WITH {_TASKS}, listed AS (SELECT task_id, mutants, unnest(range(len(mutants))) AS i FROM tasks)
+        SELECT task_id, CAST(i AS INTEGER) AS mutant_ord, mutants[i + 1].mutant_id AS mutant_id,
+               mutants[i + 1].source AS source FROM listed""",
     "ledger_stream": f"WITH {_EVENTS} SELECT event_id, task_id, coalesce(reject_reason, '') AS reject_reason FROM judged",
     "sft_prompts": f"WITH {_TASKS} SELECT task_id, {_PROMPT} AS prompt FROM tasks",
     "sft_targets": f"WITH {_TASKS} SELECT task_id, {_TARGET} AS target FROM tasks",
@@ -389,13 +408,9 @@ ORACLE: dict[str, str] = {
         SELECT task_id, CAST(prompt_tokens AS INTEGER) AS prompt_tokens, 'prompt_exceeds_max_length' AS reject_reason
         FROM counted WHERE prompt_tokens >= 1024""",
     "sft_batches": f"""WITH {_ENCODED},
-        digits AS (SELECT count(*) AS n, CASE WHEN count(*) <= 4096 THEN 0 WHEN count(*) <= 65536 THEN 1
-                   WHEN count(*) <= 1048576 THEN 2 ELSE 3 END AS d FROM documents),
-        keyed AS (SELECT task_id, n_ids, md5('2026:' || task_id) AS k, substr(md5('2026:' || task_id), 1, d) AS bucket
-                  FROM encoded, digits),
-        placed AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY k, task_id) - 1 AS pos FROM keyed),
-        wide AS (SELECT *, max(n_ids) OVER (PARTITION BY bucket, pos // 8) AS width FROM placed)
-        SELECT bucket, CAST(pos // 8 AS INTEGER) AS batch_no, CAST(pos % 8 AS INTEGER) AS row_no, task_id, width,
+        placed AS (SELECT task_id, n_ids, row_number() OVER (ORDER BY md5('2026:' || task_id), task_id) - 1 AS pos FROM encoded),
+        wide AS (SELECT *, max(n_ids) OVER (PARTITION BY pos // 8) AS width FROM placed)
+        SELECT CAST(pos // 8 AS BIGINT) AS batch_no, CAST(pos % 8 AS INTEGER) AS row_no, task_id, width,
                width AS n_ids, width - n_ids AS n_padding FROM wide""",
     "normalize_output": f"""
         SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(replace(
@@ -410,22 +425,24 @@ ORACLE: dict[str, str] = {
                CASE WHEN is_late THEN 'timeout' ELSE substr(stderr, 1, 4000) END AS stderr,
                is_late AS timed_out, duration_seconds FROM late""",
     "oracle_validity": f"WITH {_RUNS}{_SCORES} SELECT task_id, case_id, oracle_valid FROM validity",
-    "kill_matrix": f"WITH {_RUNS}{_SCORES} SELECT task_id, case_id, case_ord, mutant_id, killed FROM matrix",
+    "kill_matrix": f"WITH {_RUNS}{_SCORES} SELECT task_id, case_id, case_ord, mutant_id, killed, record_count FROM matrix",
     "killing_cases": f"WITH {_RUNS}{_SCORES} SELECT task_id, case_id, case_ord, mutant_id FROM matrix WHERE killed",
     "mutant_scores": f"""WITH {_RUNS}{_SCORES}
-        SELECT task_id, mutant_id, killed, kill_count, run_count, FALSE AS ambiguous FROM mutant_scores""",
+        SELECT task_id, mutant_id, killed, kill_count, run_count, repeated_count, CAST(1 AS BIGINT) AS copies,
+               FALSE AS ambiguous FROM mutant_scores""",
     "suite_scores": f"WITH {_RUNS}{_SCORES} SELECT * FROM suite_scores",
     "parse_suites": f"""WITH {_OUTPUT_RUNS}{_SCORES}
         SELECT task_id, coalesce(parse_error, '') AS parse_error,
                CAST(CASE WHEN parse_error IS NULL THEN 2 ELSE 0 END AS INTEGER) AS n_cases FROM outputs""",
     "score_outputs": f"""WITH {_OUTPUT_RUNS}{_SCORES}
         SELECT o.task_id, o.parse_error, s.generated_case_count, coalesce(s.oracle_valid_count, 0) AS oracle_valid_count,
-               s.oracle_invalid_count, s.mutant_count, s.mutants_killed, s.mutation_score, s.missing_run_count
+               s.oracle_invalid_count, s.missing_reference_count, s.mutant_count, s.mutants_killed, s.mutation_score,
+               s.missing_run_count, s.repeated_run_count, s.ambiguous_mutant_count
         FROM outputs o LEFT JOIN suite_scores s ON s.task_id = o.task_id""",
     "suite_reports": f"""WITH {_OUTPUT_RUNS}{_SCORES},
         lists AS (SELECT task_id, mutant_id, string_agg(case_id, ',' ORDER BY case_ord) AS kills FROM matrix
                   WHERE killed GROUP BY ALL)
-        SELECT m.task_id, s.mutation_score, m.mutant_id, m.killed, coalesce(l.kills, '') AS killed_by_cases
+        SELECT m.task_id, m.mutant_id, m.killed, FALSE AS ambiguous, coalesce(l.kills, '') AS killed_by_cases
         FROM mutant_scores m JOIN suite_scores s ON s.task_id = m.task_id
         LEFT JOIN lists l ON l.task_id = m.task_id AND l.mutant_id = m.mutant_id""",
 }

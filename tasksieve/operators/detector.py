@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,9 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.operators.features import extract_features, feature_assembler
 
-_ROWS_PER_PARTITION = 200_000
-_MIN_PARTITIONS = 8
-
 
 def detector_labels(tasks: DataFrame) -> DataFrame:
     """task_id, label of the reviewed tasks: 0 accepted, 1 revised or rejected."""
@@ -31,13 +26,20 @@ def class_weights(labels: DataFrame) -> DataFrame:
 
 
 class ReviewDetector:
-    """fit / predict_review_risk / save / load around an MLlib pipeline."""
+    """fit / predict_review_risk / save / load around an MLlib pipeline.
+
+    ``max_depth`` 30 is the engine's limit; trees stop earlier where a node cannot be split. The bootstrap draws by
+    partition, so ``partitions`` belongs to the model like ``seed``: raise it for a training set that outgrows it.
+    """
 
-    def __init__(self, num_trees: int = 300, max_depth: int = 10, max_bins: int = 32, seed: int = 2026) -> None:
+    def __init__(
+        self, num_trees: int = 300, max_depth: int = 30, max_bins: int = 32, seed: int = 2026, partitions: int = 32
+    ) -> None:
         self.num_trees = num_trees
         self.max_depth = max_depth
         self.max_bins = max_bins
         self.seed = seed
+        self.partitions = partitions
         self.model: PipelineModel | None = None
 
     def fit(self, tasks: DataFrame) -> "ReviewDetector":
@@ -48,20 +50,18 @@ class ReviewDetector:
         }  # two rows at most
         total = sum(found.values())
         if total < 8:
-            raise ValueError("at least 8 human-reviewed tasks are required")
+            raise ValueError(f"{total} reviewed tasks are too few to learn from, 8 is the least")
         if len(found) != 2:
-            raise ValueError("training labels must include accepted and revise/reject tasks")
+            raise ValueError("all reviewed tasks have the same outcome")
         label = (F.col("review_status") != "accepted").cast("int")
         rows = extract_features(reviewed, "review_status").select(
             "*",
             label.alias("label"),
             F.when(label == 1, total / (2 * found[1])).otherwise(total / (2 * found[0])).alias("weight"),
         )
-        # The forest samples rows by partition and position. A partition count that follows the data, not the
-        # cluster, and sorted partitions make one seed give one model anywhere.
-        rows = rows.repartition(
-            max(_MIN_PARTITIONS, math.ceil(total / _ROWS_PER_PARTITION)), "task_id"
-        ).sortWithinPartitions("task_id")
+        # The forest samples rows by partition and position. A fixed partition count and sorted partitions make one
+        # seed give one model anywhere.
+        rows = rows.repartition(self.partitions, "task_id").sortWithinPartitions("task_id")
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="label", weightCol="weight", numTrees=self.num_trees,
             minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=self.max_depth, maxBins=self.max_bins,
@@ -78,14 +78,14 @@ class ReviewDetector:
     def predict_review_risk(self, tasks: DataFrame) -> DataFrame:
         """task_id, review_risk: the probability that a task will not be accepted as it is."""
         if self.model is None:
-            raise RuntimeError("detector has not been trained")
+            raise RuntimeError("call fit or load first")
         return self.model.transform(extract_features(tasks)).select(
             "task_id", vector_to_array("probability")[1].alias("review_risk")
         )
 
     def save(self, path: str) -> str:
         if self.model is None:
-            raise RuntimeError("cannot save an unfitted detector")
+            raise RuntimeError("nothing to save before fit")
         self.model.write().overwrite().save(path)
         return path
 

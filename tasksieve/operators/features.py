@@ -12,6 +12,7 @@ VERBS = (
     "ACCEPT", "ADD", "CALL", "COMPUTE", "DISPLAY", "DIVIDE", "EVALUATE", "IF", "MOVE", "MULTIPLY",
     "PERFORM", "READ", "SEARCH", "STOP", "WRITE",
 )
+# Feature names.
 FEATURES = (
     "program_chars", "program_lines", "token_count", "unique_token_ratio", "verb_count", "copybook_count",
     "section_count", "paragraph_count", "spec_words", "reference_case_count", "mutant_count", "has_source_url",

@@ -14,7 +14,7 @@ def build_review_queue(
     group with a third of all tasks sends one row per map task. Texts are read last, for the final ids only.
     """
     if batch_size < 1:
-        raise ValueError("batch_size must be positive")
+        raise ValueError(f"a queue of {batch_size} tasks")
     waiting = tasks.where(F.col("review_status") == "unreviewed").select("task_id", "group_id", "seq")
     scored = waiting.join(predictions.select("task_id", F.col(score).alias("p")), "task_id")
     best = scored.groupBy("group_id").agg(

@@ -66,14 +66,14 @@ def load_tasks(spark: SparkSession, path: str, strict: bool = False) -> LoadedTa
         if found:
             raise TaskFormatError(f"{found[0].path}: {found[0].first_error}")
         if tasks.isEmpty():
-            raise TaskFormatError(f"{path} contains no tasks")
+            raise TaskFormatError(f"not one valid record under {path}")
     return LoadedTasks(tasks, quarantine)
 
 
 def write_tasks(tasks: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write tasks as JSON lines, a folder of part files; refuses an empty collection."""
     if tasks.isEmpty():
-        raise ValueError("refusing to write an empty task collection")
+        raise ValueError("there is no task to write")
     tasks.select(*TASK_FIELDS).write.mode(mode).option("ignoreNullFields", "false").json(path)
     return path
 

@@ -84,12 +84,16 @@ def mutants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reference_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A log that lacks some runs and holds others twice."""
     facts = table(spark, folder, "lineitem").groupBy(*_CASE_KEY).agg(
         F.min("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"),
         F.chr(F.max(F.ascii("l_returnflag"))).alias("r"), F.max("l_extendedprice").alias("p"),
     )
     late = F.col("d") >= 0.1
-    return facts.select(
+    kept = facts.where("NOT (l_orderkey % 11 = 3 AND l_linenumber = 1)").withColumn(
+        "_copy", F.explode(F.expr("sequence(1, CASE WHEN l_orderkey % 13 = 5 THEN 2 ELSE 1 END)"))
+    )
+    return kept.select(
         F.col("l_orderkey").alias("task_id"), _case_id().alias("case_id"), F.lit("reference").alias("program_id"),
         F.when(~late, F.when(F.col("r") == "R", 1).otherwise(0)).alias("return_code"),
         F.when(F.col("t") >= 0.08, "SUM=   -1")
@@ -101,8 +105,10 @@ def reference_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mutant_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Each mutant run on each case of its suite; the join is on the suite, a log elsewhere."""
-    runs = cases(spark, folder).join(mutants(spark, folder), "task_id")
+    """Each mutant run on each case of its suite, once or twice; the join is on the suite, a log elsewhere."""
+    runs = cases(spark, folder).join(mutants(spark, folder), "task_id").withColumn(
+        "_copy", F.explode(F.expr("sequence(1, CASE WHEN task_id % 17 = 2 THEN 2 ELSE 1 END)"))
+    )
     return runs.select(
         "task_id", "case_id", F.col("mutant_id").alias("program_id"),
         F.when(F.length("case_id") % 7 == F.col("mutant_ord"), 1).otherwise(0).alias("return_code"),
@@ -113,13 +119,13 @@ def mutant_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_events(spark: SparkSession, folder: str) -> DataFrame:
-    return as_decisions(table(spark, folder, "events"))
+    return as_decisions(table(spark, folder, "events"), table(spark, folder, "documents").count())
 
 
-def as_decisions(events: DataFrame) -> DataFrame:
-    """Raw events, a table or a stream, as review decisions."""
+def as_decisions(events: DataFrame, n_tasks: int) -> DataFrame:
+    """Raw events, a table or a stream, as review decisions on all tasks; a fifth of the ids named does not exist."""
     return events.select(
-        "event_id", F.expr("concat('t', cast(event_id % 1500 AS string))").alias("task_id"),
+        "event_id", F.expr(f"concat('t', cast(event_id % {n_tasks + n_tasks // 4 + 1} AS string))").alias("task_id"),
         F.expr("CASE WHEN user_id % 10 = 0 THEN ' ' ELSE concat('r', cast(user_id AS string)) END").alias("reviewer"),
         F.expr("""CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'click' THEN 'revised'
                   WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'unreviewed' ELSE 'other' END""").alias("status"),

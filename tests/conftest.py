@@ -28,12 +28,12 @@ def task():
     """A valid task record; keyword arguments replace fields."""
     def make(task_id="sum-1", **changed):
         record = {
-            "task_id": task_id, "group_id": task_id, "title": f"Sum task {task_id}",
-            "specification": f"Read signed integers for task {task_id} and display their total.",
-            "program": f"PROGRAM SOURCE {task_id}", "reference_program": "REFERENCE SOURCE",
-            "reference_tests": [{"case_id": "basic", "stdin": "1\n2\n", "expected_stdout": "SUM=3"}],
-            "mutants": [], "source_url": "https://example.org/source", "license_id": "CC-BY-4.0",
-            "review_status": "accepted", "review_notes": "Reviewed against the stated behavior.",
+            "task_id": task_id, "group_id": task_id, "title": f"Add up {task_id}",
+            "specification": f"{task_id}: numbers come one per line; show what they make together.",
+            "program": f"DISPLAY TOTAL OF {task_id}", "reference_program": "DISPLAY TOTAL",
+            "reference_tests": [{"case_id": "pair", "stdin": "40\n2\n", "expected_stdout": "SUM=42"}],
+            "mutants": [], "source_url": "https://example.com/listing", "license_id": "CC-BY-4.0",
+            "review_status": "accepted", "review_notes": "Ran it by hand.",
         }
         record.update(changed)
         return record

@@ -107,13 +107,13 @@ def test_split_guards(spark, task, tasks_of):
     for bad in [(0, 0.1), (1, 0.1), (0.5, 0), (0.7, 0.3), (0.9, 0.2)]:
         with pytest.raises(SplitError):
             splits.make_splits(three, train_fraction=bad[0], validation_fraction=bad[1])
-    with pytest.raises(SplitError, match="three"):
+    with pytest.raises(SplitError, match="fill three"):
         splits.make_splits(tasks_of(task("a"), task("b")))
-    with pytest.raises(SplitError, match="empty"):
+    with pytest.raises(SplitError, match="no tasks"):
         splits.make_splits(three.limit(0))
-    with pytest.raises(SplitError, match="duplicate task ID"):
+    with pytest.raises(SplitError, match="more than one row"):
         splits.make_splits(tasks_of(task("a"), task("a", group_id="x"), task("b"), task("c")))
-    with pytest.raises(ValueError, match="unknown split"):
+    with pytest.raises(ValueError, match="none of"):
         splits.get_split(splits.make_splits(three), "dev")
 
 

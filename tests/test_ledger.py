@@ -30,7 +30,7 @@ def test_import_ignores_known_ids(spark, task, tasks_of, book):
     assert book.import_tasks(tasks_of(task("b", title="new"), task("c", title="one"), task("c", title="two"))) == 1
     stored = {r.task_id: json.loads(r.task_json) for r in book.tasks().collect()}
     assert set(stored) == {"a", "b", "c"}
-    assert stored["b"]["title"] == "Sum task b" and stored["c"]["title"] == "one"
+    assert stored["b"]["title"] == "Add up b" and stored["c"]["title"] == "one"
     assert stored["a"] == task("a")
 
 
@@ -80,16 +80,41 @@ def test_stream_equals_batch_with_replays_and_restarts(spark, book, events_of, t
     events_of(*rows).coalesce(1).write.mode("append").parquet(inbox)
     stream = DecisionStream(book, checkpoint, watermark)
     run(stream, spark, inbox)
-    assert sorted(r.event_id for r in stream.stored().collect()) == [1, 3]
-    assert {r.event_id: r.reject_reason for r in stream.stored("streamed_rejects").collect()} == {
+    assert sorted(r.event_id for r in book.events().collect()) == [1, 3]
+    assert {r.event_id: r.reject_reason for r in book.rejects().collect()} == {
         2: "missing_reviewer_or_rationale", 4: "unknown_task",
     }
     # The same batch run again, as after a crash before the commit, changes nothing.
     stream._store(events_of(*rows), 1)
-    assert sorted(r.event_id for r in stream.stored().collect()) == [1, 3]
-    book.record(events_of(*rows))
-    key = lambda r: (r.event_id, r.task_id, r.reviewer, r.status, r.rationale, r.created_at)
-    assert sorted(map(key, stream.stored().collect())) == sorted(map(key, book.events().collect()))
+    assert sorted(r.event_id for r in book.events().collect()) == [1, 3]
+    # History shows streamed decisions, and recording them again adds nothing.
+    assert [r.status for r in book.history("b").collect()] == ["revised"]
+    assert book.record(events_of(*rows)).count() == 0
+    assert sorted(r.event_id for r in book.judged().collect()) == [1, 2, 3, 4]
+    book.record(events_of(decision(9, task_id="b")).drop("event_id"))
+    assert sorted(r.event_id for r in book.events().collect())[2] > 4
+    assert [r.status for r in book.history("b").collect()] == ["revised", "accepted"]
+
+
+def test_recording_twice_stores_once_and_the_first_delivery_wins(book, events_of):
+    batch = events_of(decision(1, rationale="z"), decision(1, rationale="a"), decision(2, task_id="zz"))
+    assert book.record(batch).count() == 1
+    assert book.record(batch).count() == 0
+    assert [(r.event_id, r.rationale) for r in book.events().collect()] == [(1, "a")]
+    # The look-back reads the day of the batch only.
+    later = book.judged().where("day IN ('2024-05-02')")
+    assert "PartitionFilters: [isnotnull(day" in later._jdf.queryExecution().executedPlan().toString() and later.count() == 0
+
+
+def test_an_empty_batch_and_events_without_a_time(book, events_of):
+    assert book.record(events_of(decision(1)).limit(0)).count() == 0 and book.events().count() == 0
+    unknown_time = (7, "a", "r1", "accepted", "because", None)
+    book.record(events_of(unknown_time))
+    book.record(events_of(unknown_time))
+    assert [r.created_at for r in book.events().collect()] == [None]
+    book.record(events_of(decision(8)).drop("created_at"))
+    book.record(events_of(decision(8)).drop("created_at"))
+    assert sorted(r.event_id for r in book.events().collect()) == [7, 8]
 
 
 def test_late_events_are_kept_without_a_watermark(spark, book, events_of, tmp_path):
@@ -97,6 +122,5 @@ def test_late_events_are_kept_without_a_watermark(spark, book, events_of, tmp_pa
     events_of(decision(1, hours=100)).write.mode("append").parquet(inbox)
     run(DecisionStream(book, checkpoint), spark, inbox)
     events_of(decision(2, hours=0)).write.mode("append").parquet(inbox)
-    stream = DecisionStream(book, checkpoint)
-    run(stream, spark, inbox)
-    assert sorted(r.event_id for r in stream.stored().collect()) == [1, 2]
+    run(DecisionStream(book, checkpoint), spark, inbox)
+    assert sorted(r.event_id for r in book.events().collect()) == [1, 2]

@@ -1,5 +1,4 @@
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,21 +9,19 @@ RUN = "task_id string, case_id string, program_id string, return_code int, stdou
 CASE = "task_id string, case_ord int, case_id string, expected_stdout string"
 
 
-def python_normalize(value):
-    lines = [line.strip() for line in value.replace("\r", "").split("\n")]
-    return "\n".join(re.sub(r"^(SUM=)\s+", r"\1", line) for line in lines if line)
-
-
+# Outputs and what is left of them.
 OUTPUTS = [
-    "SUM=            7\n", "\n\n SUM=\t 7 \r\n\r\n  x SUM=  1\r", "SUM=\nfoo", "SUM=  ", "", " \n \t", "a b\x0bc\n d",
-    "a \x1c\n\x1f b\x85", "one  two", "a\rb", "SUM= 　 5\nSUM=6\n\nsum=  7", " " * 3000 + "x" + " " * 3000 + "\n" + "y",
+    ("SUM=            7\n", "SUM=7"), ("\n\n SUM=\t 7 \r\n\r\n  x SUM=  1\r", "SUM=7\nx SUM=  1"), ("SUM=\nfoo", "SUM=\nfoo"),
+    ("SUM=  ", "SUM="), ("", ""), (" \n \t", ""), ("a b\x0bc\n d", "a b\x0bc\nd"), ("a \x1c\n\x1f b\x85", "a\nb"),
+    ("one  two", "one  two"), ("a\rb", "ab"), ("SUM= \u3000 5\nSUM=6\n\nsum=  7", "SUM=5\nSUM=6\nsum=  7"),
+    (" " * 3000 + "x" + " " * 3000 + "\n" + "y", "x\ny"),
 ]
 
 
 def test_normalize_output(spark):
-    frame = spark.createDataFrame([(v,) for v in OUTPUTS], "s string")
-    for row in frame.select("s", mutation.normalize_output(F.col("s")).alias("out")).collect():
-        assert row.out == python_normalize(row.s)
+    frame = spark.createDataFrame(OUTPUTS, "s string, want string")
+    for row in frame.select("want", mutation.normalize_output(F.col("s")).alias("out")).collect():
+        assert row.out == row.want
 
 
 def test_other_output_label(spark):
@@ -34,45 +31,67 @@ def test_other_output_label(spark):
 
 @pytest.fixture
 def tables(spark):
-    """The reference sums all values, the mutant skips negative ones."""
+    """Suite t has a mutant that loses carries; the one case of suite off expects what the reference does not print."""
     cases = spark.createDataFrame([
-        ("t", 0, "positive", "SUM=7"), ("t", 1, "negative", "SUM=2"), ("bad", 0, "bad-oracle", "SUM=999"),
-        ("none", 0, "x", "SUM=1"),
+        ("t", 0, "small", "SUM=40"), ("t", 1, "carry", "SUM=105"), ("off", 0, "wrong", "SUM=8"), ("none", 0, "x", "SUM=1"),
     ], CASE)
-    mutants = spark.createDataFrame([("t", "ignores-negative", 0), ("bad", "m", 0)], "task_id string, mutant_id string, mutant_ord int")
+    mutants = spark.createDataFrame([("t", "no-carry", 0), ("off", "m", 0)], "task_id string, mutant_id string, mutant_ord int")
     log = [
-        ("t", "positive", "reference", 0, "SUM=            7\n"), ("t", "negative", "reference", 0, "SUM=            2\n"),
-        ("bad", "bad-oracle", "reference", 0, "SUM=   4"), ("none", "x", "reference", 0, "SUM=   1"),
-        ("t", "positive", "ignores-negative", 0, "SUM=  7"), ("t", "negative", "ignores-negative", 0, "SUM=  5"),
-        ("bad", "bad-oracle", "m", 1, ""),
+        ("t", "small", "reference", 0, "SUM=  40\n"), ("t", "carry", "reference", 0, "\nSUM=\t105"),
+        ("off", "wrong", "reference", 0, "SUM=80"), ("none", "x", "reference", 0, "SUM=   1"),
+        ("t", "small", "no-carry", 0, "SUM=40"), ("t", "carry", "no-carry", 0, "SUM=95"), ("off", "wrong", "m", 3, ""),
     ]
-    runs = spark.createDataFrame([(*r, "", False, 0.1) for r in log], RUN)
+    runs = spark.createDataFrame([(*r, "", False, 0.25) for r in log], RUN)
     return cases, mutants, runs.where("program_id = 'reference'"), runs.where("program_id <> 'reference'")
 
 
-def test_known_mutant_is_killed_and_wrong_expectations_kill_nothing(tables):
+def test_a_killed_mutant_and_wrong_expectations_that_kill_nothing(tables):
     scores = {r.task_id: r for r in mutation.suite_scores(*tables).collect()}
-    good, bad, none = scores["t"], scores["bad"], scores["none"]
+    good, off, none = scores["t"], scores["off"], scores["none"]
     assert (good.oracle_valid_count, good.mutants_killed, good.mutation_score, good.missing_run_count) == (2, 1, 1.0, 0)
-    assert (bad.oracle_invalid_count, bad.mutant_count, bad.mutants_killed, bad.mutation_score) == (1, 1, 0, 0.0)
+    assert (off.oracle_invalid_count, off.mutant_count, off.mutants_killed, off.mutation_score) == (1, 1, 0, 0.0)
     assert (none.mutant_count, none.mutation_score, none.oracle_valid_count) == (0, None, 1)
 
 
 def test_missing_runs_are_counted_and_kill_nothing(tables):
     cases, mutants, ref, log = tables
-    scores = {r.task_id: r for r in mutation.suite_scores(cases, mutants, ref, log.where("case_id <> 'negative'")).collect()}
+    scores = {r.task_id: r for r in mutation.suite_scores(cases, mutants, ref, log.where("case_id <> 'carry'")).collect()}
     assert (scores["t"].mutants_killed, scores["t"].missing_run_count) == (0, 1)
-    gone = {r.task_id: r for r in mutation.suite_scores(cases, mutants, ref.where("case_id <> 'positive'"), log).collect()}
-    assert (gone["t"].oracle_valid_count, gone["t"].mutants_killed) == (1, 1)
+    gone = {r.task_id: r for r in mutation.suite_scores(cases, mutants, ref.where("case_id <> 'small'"), log).collect()}["t"]
+    assert (gone.oracle_valid_count, gone.oracle_invalid_count, gone.missing_reference_count, gone.mutants_killed) == (1, 0, 1, 1)
+
+
+def test_runs_logged_twice_count_once(tables):
+    cases, mutants, ref, log = tables
+    once = {r.task_id: r.asDict() for r in mutation.suite_scores(cases, mutants, ref, log).collect()}
+    twice = {r.task_id: r.asDict() for r in mutation.suite_scores(cases, mutants, ref.unionByName(ref), log.unionByName(log)).collect()}
+    assert {t: r.pop("repeated_run_count") for t, r in once.items()} == {"t": 0, "off": 0, "none": 0}
+    assert {t: r.pop("repeated_run_count") for t, r in twice.items()} == {"t": 4, "off": 1, "none": 1}
+    assert once == twice
+    # A record that differs: the reference no longer vouches for the case.
+    torn = ref.unionByName(ref.where("case_id = 'carry'").withColumn("stdout", F.lit("SUM=0")))
+    assert {r.task_id: r.oracle_valid_count for r in mutation.suite_scores(cases, mutants, torn, log).collect()}["t"] == 1
+
+
+def test_several_outputs_of_a_task_are_scored_apart(tables):
+    cases, mutants, ref, log = tables
+    def both(frame, first, second):
+        return frame.where(first).withColumn("output_id", F.lit(1)).unionByName(frame.where(second).withColumn("output_id", F.lit(2)))
+    small, all_ = "task_id = 't' AND case_id = 'small'", "task_id = 't'"
+    parts = both(cases, small, all_), mutants, both(ref, small, all_), both(log, small, all_)
+    scores = {r.output_id: r for r in mutation.suite_scores(*parts).collect()}
+    assert {o: (r.generated_case_count, r.mutant_count, r.mutants_killed, r.missing_run_count) for o, r in scores.items()} == {
+        1: (1, 1, 0, 0), 2: (2, 1, 1, 0),
+    }
 
 
 @pytest.mark.parametrize("change, killed", [
     ("timed_out = true", 1), ("return_code = 9", 1), ("return_code = CAST(NULL AS int)", 1),
-    ("stdout = ' sum=7'", 1), ("stdout = '\\nSUM=   7 '", 0),
+    ("stdout = ' sum=40'", 1), ("stdout = '\\nSUM=   40 '", 0),
 ])
 def test_what_kills(tables, change, killed):
     cases, mutants, ref, log = tables
-    one = cases.where("case_id = 'positive'")
+    one = cases.where("case_id = 'small'")
     name, value = change.split(" = ")
     scores = mutation.suite_scores(one, mutants, ref, log.withColumn(name, F.expr(value)))
     assert scores.first().mutants_killed == killed
@@ -88,7 +107,7 @@ def test_timeout_bound(tables):
     assert scores["t"] == 1
     record = mutation.run_records(slow.withColumn("stderr", F.lit("e" * 5000)), 2.0).first()
     assert (record.return_code, record.stdout, record.stderr, record.timed_out) == (None, "", "timeout", True)
-    record = mutation.run_records(slow.withColumn("stderr", F.lit("e" * 5000))).first()
+    record = mutation.run_records(slow.withColumn("stderr", F.lit("e" * 5000)), None).first()
     assert len(record.stderr) == 4000 and record.timed_out is False
 
 
@@ -96,11 +115,11 @@ def test_equal_mutant_ids_are_ambiguous_unless_numbered(spark, tables):
     cases, mutants, ref, log = tables
     twice = mutants.unionByName(mutants.withColumn("mutant_ord", F.lit(1)))
     scores = {r.task_id: r for r in mutation.suite_scores(cases, twice, ref, log).collect()}
-    assert (scores["t"].mutant_count, scores["t"].mutation_score) == (0, None)
+    assert (scores["t"].mutant_count, scores["t"].mutation_score, scores["t"].ambiguous_mutant_count) == (0, None, 2)
     matrix = mutation.kill_matrix(mutation.oracle_validity(cases, ref), log)
     assert {r.ambiguous for r in mutation.mutant_scores(matrix, twice).collect()} == {True}
     numbered = log.withColumn("mutant_ord", F.lit(0)).unionByName(
-        log.withColumns({"mutant_ord": F.lit(1), "stdout": F.lit("SUM=7")}).where("case_id = 'positive'")
+        log.withColumns({"mutant_ord": F.lit(1), "stdout": F.lit("SUM=40")}).where("case_id = 'small'")
     )
     scores = {r.task_id: r for r in mutation.suite_scores(cases, twice, ref, numbered).collect()}
     assert (scores["t"].mutant_count, scores["t"].mutants_killed, scores["t"].missing_run_count) == (2, 1, 1)
@@ -109,16 +128,23 @@ def test_equal_mutant_ids_are_ambiguous_unless_numbered(spark, tables):
 def test_reports_from_model_output(spark, tables, tmp_path):
     _, mutants, ref, log = tables
     suite = json.dumps({"cases": [
-        {"case_id": "positive", "stdin": "2\n3\n4\n", "expected_stdout": "SUM=7"},
-        {"case_id": "negative", "stdin": "2\n5\n-3\n", "expected_stdout": "SUM=2"},
+        {"case_id": "small", "stdin": "15\n25\n", "expected_stdout": "SUM=40"},
+        {"case_id": "carry", "stdin": "99\n6\n", "expected_stdout": "SUM=105"},
     ]})
     outputs = spark.createDataFrame([("t", f"Here: {suite}."), ("u", "not JSON")], "task_id string, model_output string")
     suites = contracts.parse_suites(outputs)
-    reports = mutation.suite_reports(suites, contracts.suite_cases(suites), mutants, ref, log)
-    path = mutation.write_reports(reports, str(tmp_path / "r"))
+    # Two mutants of one id, told apart by their number: only the first is killed.
+    twice = mutants.unionByName(mutants.withColumn("mutant_ord", F.lit(1)))
+    numbered = log.withColumn("mutant_ord", F.lit(0)).unionByName(
+        log.withColumns({"mutant_ord": F.lit(1), "stdout": F.when(F.col("case_id") == "small", "SUM=40").otherwise("SUM=105")})
+    )
+    inputs = suites, contracts.suite_cases(suites), twice, ref, numbered
+    path = mutation.write_reports(mutation.mutant_reports(*inputs), str(tmp_path / "m"))
+    back = {(r["task_id"], r["mutant_ord"]): r for r in map(json.loads, (x.value for x in spark.read.text(path).collect()))}
+    assert {k: (r["killed"], r["killed_by_cases"]) for k, r in back.items()} == {("t", 0): (True, ["carry"]), ("t", 1): (False, [])}
+    path = mutation.write_reports(mutation.score_outputs(*inputs), str(tmp_path / "r"))
     back = {r["task_id"]: r for r in map(json.loads, (x.value for x in spark.read.text(path).collect()))}
-    assert back["t"]["mutants"] == [{"mutant_id": "ignores-negative", "killed": True, "killed_by_cases": ["negative"]}]
-    assert back["t"]["parse_error"] is None and back["t"]["mutation_score"] == 1.0
+    assert back["t"]["parse_error"] is None and back["t"]["mutation_score"] == 0.5
     assert back["u"]["parse_error"] == contracts.NO_OBJECT and back["u"]["oracle_valid_count"] == 0
     assert back["u"]["mutation_score"] is None and back["u"]["generated_case_count"] is None
 
@@ -159,25 +185,31 @@ def test_default_tokens_make_the_prompt_a_prefix(spark, task, tasks_of):
 
 
 def test_batches_are_padded_to_their_longest_row(spark):
-    rows = [(f"t{i}", [1] * (i % 7 + 1), [1] * (i % 7 + 1), [-100] * (i % 7 + 1)) for i in range(100)]
-    frame = spark.createDataFrame(rows, "task_id string, input_ids array<int>, attention_mask array<int>, labels array<int>")
-    for digits in (0, 1):
+    rows = [(f"t{i}", i % 5, [1] * (i % 7 + 1), [1] * (i % 7 + 1)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "task_id string, prompt_tokens int, input_ids array<int>, attention_mask array<int>")
+    seen = []
+    for digits in (0, 1, 3):
         batches = {}
         for r in sft.collate(frame, batch_size=8, pad_id=0, digits=digits).collect():
-            batches.setdefault((r.bucket, r.batch_no), []).append(r)
+            batches.setdefault(r.batch_no, []).append(r)
         assert sorted(r.task_id for b in batches.values() for r in b) == sorted(r[0] for r in rows)
+        assert [len(batches[i]) for i in range(13)] == [8] * 12 + [4]
         for batch in batches.values():
             real = [sum(r.attention_mask) for r in batch]
-            assert len(batch) <= 8 and {r.width for r in batch} == {max(real)}
+            assert sorted(r.row_no for r in batch) == list(range(len(batch))) and {r.width for r in batch} == {max(real)}
             for r, n in zip(batch, real):
                 assert len(r.input_ids) == len(r.labels) == len(r.attention_mask) == max(real)
-                assert r.input_ids[n:] == [0] * (max(real) - n) and r.labels[n:] == [-100] * (max(real) - n)
-    assert [sft.bucket_digits(n) for n in (1, 4096, 4097, 65537)] == [0, 0, 1, 2]
+                masked = min(int(r.task_id[1:]) % 5, n)
+                assert r.input_ids[n:] == [0] * (max(real) - n)
+                assert r.labels == [-100] * masked + [1] * (n - masked) + [-100] * (max(real) - n)
+        seen.append({(r.batch_no, r.row_no, r.task_id) for b in batches.values() for r in b})
+    # The number of buckets is layout only.
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_training_set_guards(spark, task, tasks_of):
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no task"):
         sft.check_training_set(tasks_of(task()).limit(0))
-    with pytest.raises(ValueError, match="duplicate"):
+    with pytest.raises(ValueError, match="twice"):
         sft.check_training_set(tasks_of(task(), task()))
     sft.check_training_set(tasks_of(task("a"), task("b")))
