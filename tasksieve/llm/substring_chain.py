@@ -1,9 +1,11 @@
 """Passages that documents share, exactly or with small changes, by seeds, collinear chains and alignment.
 
 1. Seeds: the k-word runs whose hash is least in some window of ``window`` consecutive runs, so any equal stretch of k + window - 1
-   words has a seed in both texts. Equal texts are collapsed first; only one of each goes on.
-2. The n-th occurrence of a seed in a text counts as a seed of its own, its anchor is the one of the smallest doc_id. Every other document's occurrence is matched with the anchor, a star
-   instead of all pairs, so a line in a third of all documents costs one match each.
+   words has a seed in both texts. Short seeds find passages with small changes. Long ones, drawn so that every equal stretch of
+   ``min_words`` words has one, find passages whose single lines stand in other documents too: they count as two points, the
+   short runs at their beginning and end.
+2. The n-th occurrence of a seed in a text counts as a seed of its own, its anchor is the one of the smallest doc_id. Every other
+   document's occurrence is matched with the anchor, a star instead of all pairs, so a line in a third of all documents costs one match each.
 3. Per document the matches with one anchor document are chained: the best-scoring sequence increasing in both texts, one
    point a seed less a cost linear in the gaps, found with a Fenwick tree of prefix maxima. Chains are cut at gaps beyond ``max_gap``.
 4. Chains are aligned on the words: gaps by longest common subsequence, ends extended until mismatches outweigh. What has ``min_words``
@@ -29,10 +31,12 @@ _PASSAGE = "doc_id bigint, source bigint, first_word bigint, n_words bigint, sou
 
 @dataclass(frozen=True)
 class PassageDedup:
-    """seed: words a seed; window: seeds a window; max_gap, reach: words between seeds and beyond a chain's ends."""
+    """seed: words a seed; window: seeds a window; long_seed: words a long seed, at most max_gap + seed and min_words;
+    max_gap, reach: words between seeds and beyond a chain's ends."""
 
     seed: int = 8
     window: int = 16
+    long_seed: int = 30
     min_words: int = 50
     identity: float = 0.8
     max_gap: int = 48
@@ -62,18 +66,21 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
 
 
 def _seeds(op: PassageDedup):
+    """``(seed, doc_id, pos)``: pos is twice the place of the seed's first word, one more for a long seed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = find_words(batch.column("text"))
-            grams = gram_hashes(words.hash, op.seed)
             hashes, ids, places = [], [], []
-            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
-                if b - a >= op.seed:
-                    own = grams[a : b - op.seed + 1]
-                    at = winnow(own, op.window)
-                    hashes.append(numbered(own[at]))
-                    places.append(at)
-                    ids.append(np.full(len(at), doc_id, np.int64))
+            for kind, (size, window) in enumerate(((op.seed, op.window), (op.long_seed, op.min_words - op.long_seed + 1))):
+                grams = gram_hashes(words.hash, size)
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
+                    if b - a >= size:
+                        own = grams[a : b - size + 1]
+                        at = winnow(own, window)
+                        hashes.append(numbered(own[at]))
+                        places.append(2 * at + kind)
+                        ids.append(np.full(len(at), doc_id, np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)),
@@ -136,6 +143,13 @@ def chain(points: list[tuple[int, int]], max_gap: int) -> list[list[tuple[int, i
     return chains
 
 
+def _points(p: np.ndarray, q: np.ndarray, op: PassageDedup) -> list[tuple[int, int]]:
+    """Places of the short runs that are equal: a long seed's match gives those at its beginning and end."""
+    far = (p & 1) * (op.long_seed - op.seed)
+    p, q = p >> 1, q >> 1
+    return sorted({*zip(p.tolist(), q.tolist()), *zip((p + far).tolist(), (q + far).tolist())})
+
+
 def _chains(op: PassageDedup):
     lists = pa.list_(pa.int32())
 
@@ -150,11 +164,12 @@ def _chains(op: PassageDedup):
                 own = sources[order]
                 cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
                 for low, high in zip(cuts, cuts[1:]):
-                    # One seed alone leaves an equal stretch of fewer than min_words words.
-                    if high - low < 2:
-                        continue
                     at = order[low:high]
-                    for found in chain(list(zip(ps[at].tolist(), qs[at].tolist())), op.max_gap):
+                    points = _points(ps[at], qs[at], op)
+                    # One short seed alone leaves an equal stretch of fewer than min_words words.
+                    if len(points) < 2:
+                        continue
+                    for found in chain(points, op.max_gap):
                         if len(found) > 1:
                             for column, value in zip(out, (doc_id, int(own[low]), [p for p, _ in found], [q for _, q in found])):
                                 column.append(value)

@@ -129,6 +129,24 @@ def test_repeated_passages(spark):
     assert substring_chain.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_passages_of_lines_that_others_hold_are_found_whole(spark):
+    """Every word of an exact repeat of 51 words is covered, though all its runs of eight words first stand in one of several documents."""
+    passage = prose(50, 70)
+    lines = [passage[k : k + 22] for k in range(0, 60, 12)]
+    table = {i: prose(100 + i, 30) + line + prose(200 + i, 30) for i, line in enumerate(lines)}
+    table |= {20: prose(300, 60) + passage + prose(301, 20), 21: passage + prose(302, 70), 22: prose(303, 5) + passage}
+    covered = collections.defaultdict(set)
+    for r in substring_chain.repeated_passages(documents(spark, {i: " ".join(w) for i, w in table.items()})).collect():
+        covered[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    first, repeated = {}, collections.defaultdict(set)
+    for i, words in sorted(table.items()):
+        for k in range(len(words) - 50):
+            if first.setdefault(tuple(words[k : k + 51]), i) != i:
+                repeated[i].update(range(k, k + 51))
+    assert set(repeated) == {21, 22} == set(covered)
+    assert all(covered[i] == repeated[i] for i in repeated)
+
+
 def test_chaining_is_best_by_brute_force():
     draw = random.Random(8)
     for _ in range(40):
