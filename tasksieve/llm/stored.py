@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PIECE_BYTES = 1 << 18
 _ARROW = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "250",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -30,7 +30,7 @@ def stored(rows: DataFrame, name: str = "step") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches are held to 16 MB or one row wherever the user has not chosen a size."""
+    """Arrow batches are held to 250 rows and 4 MB, or one row, wherever the user has not chosen a size."""
     given = spark.sparkContext.getConf()
     for key, value in _ARROW.items():
         if not given.contains(key):
