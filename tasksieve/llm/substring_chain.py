@@ -6,6 +6,7 @@
    short runs at their beginning and end.
 2. The n-th occurrence of a seed in a text counts as a seed of its own, its anchor is the one of the smallest doc_id. Every other
    document's occurrence is matched with the anchor, a star instead of all pairs, so a line in a third of all documents costs one match each.
+   Second and later occurrences also meet the first one's anchor: a text may hold a passage more often than the source does.
 3. Per document the matches with one anchor document are chained: the best-scoring sequence increasing in both texts, one
    point a seed less a cost linear in the gaps, found with a Fenwick tree of prefix maxima. Chains are cut at gaps beyond ``max_gap``.
 4. Chains are aligned on the words: gaps by longest common subsequence, ends extended until mismatches outweigh. What has ``min_words``
@@ -66,7 +67,10 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
 
 
 def _seeds(op: PassageDedup):
-    """``(seed, doc_id, pos)``: pos is twice the place of the seed's first word, one more for a long seed."""
+    """``(seed, doc_id, pos)``: pos is four times the place of the seed's first word, one more for a long seed.
+
+    A second or later occurrence has a row under its own number and one, with the complement of pos, under the first one's seed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,9 +82,11 @@ def _seeds(op: PassageDedup):
                     if b - a >= size:
                         own = grams[a : b - size + 1]
                         at = winnow(own, window)
-                        hashes.append(numbered(own[at]))
-                        places.append(2 * at + kind)
-                        ids.append(np.full(len(at), doc_id, np.int64))
+                        named, pos = numbered(own[at]), 4 * at + kind
+                        later = named != own[at]
+                        hashes += [named, own[at][later]]
+                        places += [pos, ~pos[later]]
+                        ids.append(np.full(len(at) + int(later.sum()), doc_id, np.int64))
             if hashes:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)),
@@ -145,11 +151,44 @@ def chain(points: list[tuple[int, int]], max_gap: int) -> list[list[tuple[int, i
 
 def _points(p: np.ndarray, q: np.ndarray, op: PassageDedup) -> list[tuple[int, int]]:
     """Places of the short runs that are equal: a long seed's match gives those at its beginning and end."""
+    p = np.where(p < 0, ~p, p)
     far = (p & 1) * (op.long_seed - op.seed)
-    p, q = p >> 1, q >> 1
+    p, q = p >> 2, q >> 2
     return sorted({*zip(p.tolist(), q.tolist()), *zip((p + far).tolist(), (q + far).tolist())})
 
 
+def wanted_matches(sources: np.ndarray, ps: np.ndarray, qs: np.ndarray, op: PassageDedup) -> np.ndarray:
+    """Places of a document's matches without later occurrences' additional ones that lie in a passage certain without them.
+
+    Certain are ``min_words`` words and more of one source that matches of one distance cover without a gap: equal word by word. A phrase
+    repeated through a long text else makes a chain of each repeat, besides the one over all.
+    """
+    later = ps < 0
+    if not later.any():
+        return np.arange(len(ps))
+    begin = np.where(later, ~ps, ps)
+    end = (begin >> 2) + np.where(begin & 1, op.long_seed, op.seed)
+    begin = begin >> 2
+    own = np.flatnonzero(~later)
+    own = own[np.lexsort((begin[own], (begin - (qs >> 2))[own], sources[own]))]
+    stretches = []
+    if len(own):
+        distance = (begin - (qs >> 2))[own]
+        other = np.append(True, (sources[own][1:] != sources[own][:-1]) | (distance[1:] != distance[:-1]))
+        base = np.cumsum(other) * (int(end.max()) + 2)
+        reached = np.maximum.accumulate(end[own] + base)
+        cuts = np.flatnonzero(np.append(True, (begin[own] + base)[1:] > reached[:-1]))
+        last = np.append(cuts[1:], len(own)) - 1
+        stretches = np.stack([begin[own][cuts], reached[last] - base[last]], axis=1)
+        stretches = stretches[stretches[:, 1] - stretches[:, 0] >= op.min_words]
+    if not len(stretches):
+        return np.arange(len(ps))
+    stretches = stretches[np.argsort(stretches[:, 0], kind="stable")]
+    farthest = np.maximum.accumulate(stretches[:, 1])
+    at = np.searchsorted(stretches[:, 0], begin, side="right") - 1
+    return np.flatnonzero(~(later & (at >= 0) & (farthest[at] >= end)))
+
+
 def _chains(op: PassageDedup):
     lists = pa.list_(pa.int32())
 
@@ -160,7 +199,8 @@ def _chains(op: PassageDedup):
             sources, ps, qs = (matches.values.field(i).to_numpy() for i in range(3))
             offsets = matches.offsets.to_numpy()
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
-                order = np.argsort(sources[a:b], kind="stable") + a
+                order = wanted_matches(sources[a:b], ps[a:b].astype(np.int64), qs[a:b].astype(np.int64), op) + a
+                order = order[np.argsort(sources[order], kind="stable")]
                 own = sources[order]
                 cuts = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own))
                 for low, high in zip(cuts, cuts[1:]):
@@ -266,7 +306,7 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
     small_batches(documents.sparkSession)
     named = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seeds = stored(named.mapInArrow(_seeds(op), "seed bigint, doc_id bigint, pos int"), "seeds")
-    anchors = seeds.groupBy("seed").agg(
+    anchors = seeds.where("pos >= 0").groupBy("seed").agg(
         F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("q")
     ).where("source <> other").select("seed", "source", "q")
     matches = seeds.join(anchors, "seed").where("doc_id <> source")

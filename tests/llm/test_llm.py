@@ -147,6 +147,39 @@ def test_passages_of_lines_that_others_hold_are_found_whole(spark):
     assert all(covered[i] == repeated[i] for i in repeated)
 
 
+def test_passages_that_a_document_repeats_within_are_found_each_time(spark):
+    """Every word of an exact repeat of 51 words is covered, though the source holds the passage less often than the later documents."""
+    passage, other, page = prose(60, 120), prose(61, 55), prose(62, 30)
+    table = {
+        1: prose(400, 40) + passage + prose(401, 40), 2: prose(402, 30) + passage + prose(403, 70) + passage + prose(404, 10),
+        3: passage + passage + prose(405, 20) + passage, 4: prose(406, 20) + other + prose(407, 60) + other, 5: prose(408, 60),
+        6: other + prose(409, 9) + other + prose(410, 90) + other, 7: prose(411, 9) + page * 4, 8: page * 3 + prose(412, 80) + page * 9,
+    }
+    covered = collections.defaultdict(set)
+    for r in substring_chain.repeated_passages(documents(spark, {i: " ".join(w) for i, w in table.items()})).collect():
+        assert r["source"] < r["doc_id"]
+        covered[r["doc_id"]].update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    first, repeated = {}, collections.defaultdict(set)
+    for i, words in sorted(table.items()):
+        for k in range(len(words) - 50):
+            if first.setdefault(tuple(words[k : k + 51]), i) != i:
+                repeated[i].update(range(k, k + 51))
+    assert set(repeated) == {2, 3, 6, 8} == set(covered)
+    assert all(covered[i] >= repeated[i] and len(covered[i] - repeated[i]) < 10 for i in repeated)
+
+
+def test_later_occurrences_match_again_only_outside_certain_passages():
+    op = substring_chain.PassageDedup(seed=8, long_seed=30)
+    p = np.array([0, 81, 160, *(~np.array([120, 200, 801, 40]))])
+    q, source = np.array([0, 81, 160, 0, 0, 0, 0]), np.array([7, 7, 7, 7, 9, 9, 9])
+    assert substring_chain.wanted_matches(source, p, q, op).tolist() == [0, 1, 2, 3, 4, 5, 6]  # 20 to 49 and two short runs apart
+    p, q = np.append(p, [1, 181]), np.append(q, [1, 181])
+    source = np.append(source, [7, 7])
+    assert substring_chain.wanted_matches(source, p, q, op).tolist() == [0, 1, 2, 5, 7, 8]
+    source[-1] = 8
+    assert substring_chain.wanted_matches(source, p, q, op).tolist() == [0, 1, 2, 4, 5, 7, 8]
+
+
 def test_chaining_is_best_by_brute_force():
     draw = random.Random(8)
     for _ in range(40):
