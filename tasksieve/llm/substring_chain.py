@@ -1,7 +1,8 @@
 """Passages that documents share, exactly or with small changes, by seeds, collinear chains and alignment.
 
 1. Seeds: the k-word runs whose hash is least in some window of ``window`` consecutive runs, so any equal stretch of k + window - 1
-   words has a seed in both texts. Short seeds find passages with small changes. Long ones, drawn so that every equal stretch of
+   words has a seed in both texts. Short and dense seeds find passages with words changed all over, middle ones those whose short runs stand in
+   many documents. Long ones, drawn so that every equal stretch of
    ``min_words`` words has one, find passages whose single lines stand in other documents too: they count as two points, the
    short runs at their beginning and end.
 2. The n-th occurrence of a seed in a text counts as a seed of its own, its anchor is the one of the smallest doc_id. Every other
@@ -32,11 +33,13 @@ _PASSAGE = "doc_id bigint, source bigint, first_word bigint, n_words bigint, sou
 
 @dataclass(frozen=True)
 class PassageDedup:
-    """seed: words a seed; window: seeds a window; long_seed: words a long seed, at most max_gap + seed and min_words;
-    max_gap, reach: words between seeds and beyond a chain's ends."""
+    """seed: words a seed; window: seeds a window; middle_seed, middle_window: the same of longer, sparser ones; long_seed: words a long
+    seed, at most max_gap + seed and min_words; max_gap, reach: words between seeds and beyond a chain's ends."""
 
-    seed: int = 8
-    window: int = 16
+    seed: int = 5
+    window: int = 4
+    middle_seed: int = 8
+    middle_window: int = 16
     long_seed: int = 30
     min_words: int = 50
     identity: float = 0.8
@@ -44,6 +47,11 @@ class PassageDedup:
     reach: int = 64
 
 
+def _kinds(op: PassageDedup) -> tuple[tuple[int, int], ...]:
+    """Words a seed and seeds a window of each kind, by the number that pos has: short, long, middle."""
+    return (op.seed, op.window), (op.long_seed, op.min_words - op.long_seed + 1), (op.middle_seed, op.middle_window)
+
+
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places of the first least hash of every window, all of them for one window or less."""
     if len(hashes) <= window:
@@ -67,7 +75,7 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
 
 
 def _seeds(op: PassageDedup):
-    """``(seed, doc_id, pos)``: pos is four times the place of the seed's first word, one more for a long seed.
+    """``(seed, doc_id, pos)``: pos is four times the place of the seed's first word, and the seed's kind.
 
     A second or later occurrence has a row under its own number and one, with the complement of pos, under the first one's seed.
     """
@@ -76,7 +84,7 @@ def _seeds(op: PassageDedup):
         for batch in batches:
             words = find_words(batch.column("text"))
             hashes, ids, places = [], [], []
-            for kind, (size, window) in enumerate(((op.seed, op.window), (op.long_seed, op.min_words - op.long_seed + 1))):
+            for kind, (size, window) in enumerate(_kinds(op)):
                 grams = gram_hashes(words.hash, size)
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
                     if b - a >= size:
@@ -150,7 +158,7 @@ def chain(points: list[tuple[int, int]], max_gap: int) -> list[list[tuple[int, i
 
 
 def _points(p: np.ndarray, q: np.ndarray, op: PassageDedup) -> list[tuple[int, int]]:
-    """Places of the short runs that are equal: a long seed's match gives those at its beginning and end."""
+    """Places of the short runs that are equal: a long seed's match gives those at its beginning and end, a middle one's that at its beginning."""
     p = np.where(p < 0, ~p, p)
     far = (p & 1) * (op.long_seed - op.seed)
     p, q = p >> 2, q >> 2
@@ -167,7 +175,7 @@ def wanted_matches(sources: np.ndarray, ps: np.ndarray, qs: np.ndarray, op: Pass
     if not later.any():
         return np.arange(len(ps))
     begin = np.where(later, ~ps, ps)
-    end = (begin >> 2) + np.where(begin & 1, op.long_seed, op.seed)
+    end = (begin >> 2) + np.array([size for size, _ in _kinds(op)])[begin & 3]
     begin = begin >> 2
     own = np.flatnonzero(~later)
     own = own[np.lexsort((begin[own], (begin - (qs >> 2))[own], sources[own]))]
@@ -206,7 +214,7 @@ def _chains(op: PassageDedup):
                 for low, high in zip(cuts, cuts[1:]):
                     at = order[low:high]
                     points = _points(ps[at], qs[at], op)
-                    # One short seed alone leaves an equal stretch of fewer than min_words words.
+                    # One seed alone is no chain.
                     if len(points) < 2:
                         continue
                     for found in chain(points, op.max_gap):
@@ -277,6 +285,22 @@ def align(x: list[int], y: list[int], points: list[tuple[int, int]], seed: int)
     return p - left, end_p + right, q - left, end_q + right, matched + left_equal + right_equal
 
 
+def passage(x: list[int], y: list[int], points: list[tuple[int, int]], op: PassageDedup) -> tuple[int, int, int, int, int] | None:
+    """The longest alignment of the chain that is long and equal enough, with both ends extended, one or none."""
+    whole = align(x, y, points, op.seed)
+    if min(whole[1] - whole[0], whole[3] - whole[2]) < op.min_words:
+        return None
+    if whole[4] >= op.identity * max(whole[1] - whole[0], whole[3] - whole[2]):
+        return whole
+    (p, q), (last_p, last_q) = points[0], points[-1]
+    found = []
+    for i, j, m, n in ((0, 0, last_p + op.seed, last_q + op.seed), (p, q, len(x), len(y)), (p, q, last_p + op.seed, last_q + op.seed)):
+        a, b, c, d, matched = align(x[i:m], y[j:n], [(u - i, v - j) for u, v in points], op.seed)
+        if min(b - a, d - c) >= op.min_words and matched >= op.identity * max(b - a, d - c):
+            found.append((a + i, b + i, c + j, d + j, matched))
+    return max(found, key=lambda f: f[1] - f[0], default=None)
+
+
 def _aligner(op: PassageDedup):
     names = [c.split()[0] for c in _PASSAGE.split(", ")]
 
@@ -286,8 +310,9 @@ def _aligner(op: PassageDedup):
             columns = ("doc_id", "source", "p", "q", "x_low", "y_low", "x", "y")
             for doc_id, source, p, q, x_low, y_low, x, y in zip(*(batch.column(c).to_pylist() for c in columns)):
                 points = [(a - x_low, b - y_low) for a, b in zip(p, q)]
-                a, b, c, d, matched = align(x, y, points, op.seed)
-                if min(b - a, d - c) >= op.min_words and matched >= op.identity * max(b - a, d - c):
+                found = passage(x, y, points, op)
+                if found:
+                    a, b, c, d, matched = found
                     rows.append((doc_id, source, a + x_low, b - a, c + y_low, d - c, matched))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
 

@@ -168,6 +168,26 @@ def test_passages_that_a_document_repeats_within_are_found_each_time(spark):
     assert all(covered[i] >= repeated[i] and len(covered[i] - repeated[i]) < 10 for i in repeated)
 
 
+def test_passages_with_words_changed_all_over_are_found(spark):
+    """Of 60 planted passages a length and share of changed words, changed at places drawn at random, at most the given number is missed."""
+    allowed = {(60, 4): 0, (60, 6): 1, (60, 9): 9, (100, 10): 1, (100, 15): 2}
+    table, of = {}, {}
+    for k, (n, edits) in enumerate(allowed):
+        for i in range(60):
+            at, draw = 2 * (60 * k + i), random.Random(9000 + 60 * k + i)
+            words = [f"{draw.getrandbits(40):x}" for _ in range(n)]
+            changed = list(words)
+            for place in draw.sample(range(n), edits):
+                changed[place] = f"{draw.getrandbits(40):x}"
+            around = [[f"{draw.getrandbits(40):x}" for _ in range(40)] for _ in range(4)]
+            table[at], table[at + 1] = around[0] + words + around[1], around[2] + changed + around[3]
+            of[at + 1] = n, edits
+    found = {r["doc_id"] for r in substring_chain.repeated_passages(documents(spark, {i: " ".join(w) for i, w in table.items()})).collect()}
+    missed = collections.Counter(of[i] for i in of if i not in found)
+    print("missed of 60:", {k: missed[k] for k in allowed})
+    assert found <= set(of) and all(missed[k] <= n for k, n in allowed.items())
+
+
 def test_later_occurrences_match_again_only_outside_certain_passages():
     op = substring_chain.PassageDedup(seed=8, long_seed=30)
     p = np.array([0, 81, 160, *(~np.array([120, 200, 801, 40]))])
