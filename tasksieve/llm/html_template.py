@@ -83,9 +83,13 @@ class Page:
     tags: Counter = field(default_factory=Counter)
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """The element as the path has it, and whether it is marked as boilerplate."""
-    found, marked = [], False
+def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """The element as the path has it, whether it is marked as boilerplate, and whether it is so inside main text too.
+
+    There ids are often made of headings and classes name what is the article's own: only attributes that hide, roles and class names of
+    nothing but marks count, and no ``header``.
+    """
+    found, marked, inside = [], False, False
     if attributes.strip():
         for m in _ATTRIBUTE.finditer(attributes):
             key = (m[1] or m[5] or "").lower()
@@ -93,9 +97,12 @@ def _label(name: str, attributes: str) -> tuple[str, bool]:
             if key in ("class", "id", "role"):
                 found.append(f"{key}={value}")
                 marked |= any(part.lower() in _MARKS for part in _NAME_PARTS.findall(value))
+                if marked and key != "id":
+                    names = ([p.lower() for p in _NAME_PARTS.findall(n)] for n in value.split())
+                    inside |= any(parts and parts != ["header"] and all(p in _MARKS for p in parts) for parts in names)
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                marked = True
-    return name + "".join(f"[{x}]" for x in found), marked
+                marked = inside = True
+    return name + "".join(f"[{x}]" for x in found), marked, inside
 
 
 def read_page(source: str) -> Page:
@@ -123,14 +130,14 @@ def read_page(source: str) -> Page:
             _close(stack, name)
             continue
         _close_implied(stack, name)
-        label, marked = _label(name, m[3] or "")
+        label, *marked = _label(name, m[3] or "")
         path = (*(stack[-1].path if stack else ()), label)
         page.tags["/".join(path)] += 1
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(source, at)
             at = end.start() if end else len(source)
         if name not in _VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(_Open(name, path, _is_boilerplate(stack, name, marked)))
+            stack.append(_Open(name, path, _is_boilerplate(stack, path, *marked)))
     return page
 
 
@@ -153,13 +160,15 @@ def _close_implied(stack: list[_Open], name: str) -> None:
             del stack[k:]
 
 
-def _is_boilerplate(stack: list[_Open], name: str, marked: bool) -> bool:
-    outer = {e.name for e in stack}
-    if name in ("article", "main") and not marked and not outer & {"article", "main"}:
-        # A wrapper with a telling class may hold the whole page; only elements that never hold main text keep it out.
-        return bool(outer & _NEVER)
-    own = name in _NEVER or name == "header" and not outer & {"article", "main"} or marked and name not in ("html", "body")
-    return own or bool(stack) and stack[-1].boilerplate
+def _is_boilerplate(stack: list[_Open], path: tuple[str, ...], marked: bool, marked_inside: bool) -> bool:
+    name, depth, above = path[-1].split("[")[0], _main_depth(path), bool(stack) and stack[-1].boilerplate
+    if depth == len(path) - 1 and not marked_inside:
+        # A wrapper with a telling class, or a form, may hold the whole page; only other elements that never hold main text keep it out.
+        # A telling id or part of a class decides in a marked wrapper only, as of a comment among comments.
+        return bool({e.name for e in stack} & (_NEVER - {"form"})) or name == "article" and marked and above
+    if depth >= 0:
+        return name in _NEVER or marked_inside or above
+    return name in _NEVER or name == "header" or marked and name not in ("html", "body") or above
 
 
 def token_counts(page: Page) -> Counter:

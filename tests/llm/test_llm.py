@@ -356,6 +356,21 @@ def test_near_vectors_equal_all_pairs(spark):
     assert embedding_ego.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_marks_drop_nothing_of_an_article():
+    """Ids made of headings, parts of class names and a form around the page do not empty an article."""
+    def text(source):
+        return html_template.extract(html_template.read_page(source))
+
+    assert text("<article><h1>A</h1><section id=related-work><p>B</p></section><section id=search><p>C</p></section></article>") == "A\nB\nC"
+    assert text("<article><header class=entry-header><h1>A</h1></header><p>B</p></article>") == "A\nB"
+    assert text("<article><header class=header><h1>A</h1></header><p>B</p></article>") == "A\nB"
+    assert text("<nav>M</nav><article id=notice-12><p>A</p></article>") == "A"
+    assert text("<nav>M</nav><main class=search-page><p>A</p></main>") == "A"
+    assert text("<body><form action=x><div>M</div><article><p>A</p><form>F</form></article></form>") == "A"
+    assert text("<article><p>A</p><div class='ad'>B</div><div class='x social-share'>C</div><p hidden>D</p><nav>E</nav></article>") == "A"
+    assert text("<article>A</article><section id=comments><article id=comment-5>B</article><article class=comment>C</article></section>") == "A"
+
+
 def test_page_text(spark):
     shell = (
         "<!DOCTYPE html><html><head><title>T</title><script>var a='<article>no</article>';</script><style>p{{}}</style></head><body class=has-sidebar>"
