@@ -1,9 +1,9 @@
 """Byte-level BPE ids of whole texts and back, huge texts in pieces.
 
-A text of at most ``chunk`` code points is encoded as it is. Longer ones are pre-tokenised in overlapping chunks, each in its own
-task; neighbours are stitched at a pre-token boundary that both found and that no context can change: it lies between a letter
+A text of at most ``chunk`` code points is encoded as it is. Longer ones are cut into overlapping chunks, of which only the
+zones that neighbours share are pre-tokenised to find boundaries; neighbours are stitched at a pre-token boundary that both found and that no context can change: it lies between a letter
 and a character that is none, or between a digit and one that is none, so no pattern match covers both sides, and no white space before it
-can look beyond it. The pieces between such boundaries are encoded in parallel and their ids joined. Where two chunks share no such
+can look beyond it. The pieces between such boundaries are pre-tokenised and encoded by the library, in parallel, and their ids joined. Where two chunks share no such
 boundary, the text is tried again with twice the overlap. Decoding joins the bytes of the ids.
 """
 
