@@ -86,3 +86,97 @@ ids AS (SELECT vec_id AS a FROM embeddings),
 SELECT v.vec_id, coalesce(n, 0) AS n_links, component AS component_id, component = v.vec_id AS kept
 FROM embeddings v LEFT JOIN counts c ON c.id = v.vec_id JOIN parts p ON p.id = v.vec_id
 """
+
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(
+  list_transform(string_split({key}, ''), lambda c: CAST(ord(c) AS BIGINT)),
+  lambda crc, byte: list_reduce(range(8), lambda bits, i: CASE WHEN bits & 1 = 1 THEN xor(bits >> 1, 3988292384) ELSE bits >> 1 END, xor(crc, byte)),
+  CAST(4294967295 AS BIGINT)
+), 4294967295)"""
+
+REPAIRED_CHATS = f"""
+WITH RECURSIVE faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_CRC.format(key="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+  FROM conversations
+),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM faults, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+         trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+  FROM rows
+),
+faulty AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+  FROM placed
+),
+inserts(state, letters, lines, reached) AS (
+  VALUES (0, '', '', 0), (1, '', '', 1), (2, '', '', 2), (3, '', '', 3), (0, 'I', 'u', 2), (1, 'I', 'u', 2), (2, 'I', 'a', 3), (3, 'I', 'u', 2),
+         (0, 'II', 'ua', 3), (1, 'II', 'ua', 3), (2, 'II', 'au', 2), (3, 'II', 'ua', 3)
+),
+steps(initial, state, reached) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+edits AS (
+  SELECT f.conv_id, f.i, s.state, s.reached AS state_after, 2 * len(s.letters) + 3 AS cost, s.letters || 'D' AS letters, s.lines, NULL AS line
+  FROM faulty f, inserts s
+  UNION ALL
+  SELECT f.conv_id, f.i, s.state, p.reached, 2 * len(s.letters) + (f.fault = 'truncated')::INT, s.letters || 'K', s.lines, f.role || ':' || f.text
+  FROM faulty f, inserts s JOIN steps p ON p.state = s.reached WHERE left(f.role, 1) = p.initial AND f.fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT f.conv_id, f.i, s.state, p.reached, 2 * len(s.letters) + 2 + (f.fault = 'truncated')::INT, s.letters || 'R', s.lines,
+         CASE p.initial WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text
+  FROM faulty f, inserts s JOIN steps p ON p.state = s.reached AND p.initial <> 's' WHERE f.fault NOT IN ('blank', 'duplicate')
+),
+edges AS (
+  SELECT conv_id, i, state, state_after, cost, letters,
+         list_concat(list_transform(string_split(lines, ''), lambda c: CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END),
+                     CASE WHEN line IS NULL THEN [] ELSE [line] END) AS lines
+  FROM (SELECT * REPLACE (CASE lines WHEN '' THEN NULL ELSE lines END AS lines) FROM edits)
+),
+paths(conv_id, i, state, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} FROM rows
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, e.state_after, min({{
+    'cost': CAST(p.best.cost + e.cost AS BIGINT), 'audit': p.best.audit || e.letters, 'lines': list_concat(p.best.lines, coalesce(e.lines, []))
+  }})
+  FROM paths p JOIN edges e ON p.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = p.i + 1 AND e.state = p.state GROUP BY ALL
+),
+sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+),
+ends AS (
+  SELECT p.conv_id, min({{
+    'cost': CAST(p.best.cost + 2 * len(s.letters) AS BIGINT), 'audit': p.best.audit || s.letters,
+    'lines': list_concat(p.best.lines, CASE s.lines WHEN '' THEN [] WHEN 'a' THEN ['assistant:'] ELSE ['user:', 'assistant:'] END)
+  }}) AS best
+  FROM paths p JOIN sizes z ON p.conv_id IS NOT DISTINCT FROM z.conv_id AND p.i = z.n JOIN inserts s ON p.state = s.state
+  WHERE s.reached = 3 OR (s.reached = 0 AND p.state = 0) GROUP BY p.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sizes z ON c.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+TOP_VECTORS = """
+WITH vectors AS (
+  SELECT vec_id, row_number() OVER () AS place, list_transform(CAST(embedding AS DOUBLE[]), lambda c: CAST(floor(256 * c) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, q.place, v.vec_id, v.place AS other,
+         CAST(coalesce(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * v.x[i])), 0) AS BIGINT) AS score
+  FROM vectors q JOIN vectors v ON q.place <> v.place AND len(q.x) = len(v.x) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST, other) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST, other) <= 5
+"""

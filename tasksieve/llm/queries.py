@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tasksieve.llm import (
-    byte_bpe, chat_snapshots, decontaminate, embedding_ego, html_template, minhash, oracle, quality_ftrl, substring_chain, token_counts,
-    url_links,
+    byte_bpe, chat_repair, chat_snapshots, decontaminate, embedding_ego, html_template, minhash, oracle, pivot_search, quality_ftrl, substring_chain,
+    token_counts, url_links, whitening_feast,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,28 @@ def _near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_ego.near_duplicate_vectors(table(spark, folder, "embeddings"), embedding_ego.EgoJoin(cosine=0.9))
 
 
+def _whitened_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening_feast.whitened(table(spark, folder, "embeddings"), whitening_feast.Whitening(components=4, scale=256))
+
+
+def _repaired_chats(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    found = chat_repair.repair(chat_repair.damaged(conversations))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    digests = chat_repair.repaired_digests(found.parts).withColumnRenamed("conv_id", "_d")
+    audits = found.audits.withColumnRenamed("conv_id", "_a")
+    every = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct()
+    named = every.join(audits, F.col("conv_id").eqNullSafe(F.col("_a")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    return named.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def _top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return pivot_search.top_products(table(spark, folder, "embeddings"), "vec_id % 50 = 0", pivot_search.PivotSearch(k=5, scale=256))
+
+
 QUERIES: dict[str, Query] = {
     "op1_page_text": _page_text,
     "op2_repeated_passages": _repeated_passages,
@@ -94,6 +116,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_verdicts": _url_verdicts,
     "op9_byte_bpe": _byte_bpe,
     "op10_near_vectors": _near_vectors,
+    "op11_whitened_vectors": _whitened_vectors,
+    "op12_repaired_chats": _repaired_chats,
+    "op13_top_vectors": _top_vectors,
 }
 
 ORACLE: dict[str, str] = {
@@ -101,4 +126,6 @@ ORACLE: dict[str, str] = {
     "op6_benchmark_overlap": oracle.BENCHMARK_OVERLAP,
     "op7_maximal_chats": oracle.MAXIMAL_CHATS,
     "op10_near_vectors": oracle.NEAR_VECTORS,
+    "op12_repaired_chats": oracle.REPAIRED_CHATS,
+    "op13_top_vectors": oracle.TOP_VECTORS,
 }
