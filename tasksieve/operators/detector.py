@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import asdict
 
-from tasksieve.operators.features import extract_features, feature_assembler
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tasksieve.operators import forest
+from tasksieve.operators.features import FEATURES, extract_features
+from tasksieve.session import scratch_path
 
 
 def detector_labels(tasks: DataFrame) -> DataFrame:
@@ -25,72 +25,57 @@ def class_weights(labels: DataFrame) -> DataFrame:
     return counts.select("label", "n", (total / (F.lit(2) * F.col("n"))).cast("double").alias("weight"))
 
 
+def _vector() -> Column:
+    """The features in sorted name order; a missing one is 0."""
+    return F.array(*[F.coalesce(F.col(name), F.lit(0.0)) for name in sorted(FEATURES)]).alias("x")
+
+
 class ReviewDetector:
-    """fit / predict_review_risk / save / load around an MLlib pipeline.
+    """fit / predict_review_risk / save / load around a random forest whose trees have no depth limit.
 
-    ``max_depth`` 30 is the engine's limit; trees stop earlier where a node cannot be split. The bootstrap draws by
-    partition, so ``partitions`` belongs to the model like ``seed``: raise it for a training set that outgrows it.
+    ``settings`` are further ones of ``forest.Forest``. Rows are drawn by a hash of task_id, so one seed gives one model
+    whatever the partitions.
     """
 
-    def __init__(
-        self, num_trees: int = 300, max_depth: int = 30, max_bins: int = 32, seed: int = 2026, partitions: int = 32
-    ) -> None:
-        self.num_trees = num_trees
-        self.max_depth = max_depth
-        self.max_bins = max_bins
-        self.seed = seed
-        self.partitions = partitions
-        self.model: PipelineModel | None = None
+    def __init__(self, num_trees: int = 300, seed: int = 2026, **settings: int) -> None:
+        self.forest = forest.Forest(trees=num_trees, seed=seed, **settings)
+        self.pieces: DataFrame | None = None
 
     def fit(self, tasks: DataFrame) -> "ReviewDetector":
         reviewed = tasks.where(F.col("review_status") != "unreviewed")
-        found = {
-            row.label: row.n
-            for row in detector_labels(reviewed).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-        }  # two rows at most
+        label = (F.col("review_status") != "accepted").cast("int")
+        # The texts are read once, for a table of numbers.
+        path = scratch_path(tasks.sparkSession, "training-rows")
+        extract_features(reviewed, "review_status").select(F.xxhash64("task_id").alias("row"), label.alias("label"), _vector()).write.parquet(path)
+        rows = tasks.sparkSession.read.parquet(path)
+        found = {row.label: row.n for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
         total = sum(found.values())
         if total < 8:
             raise ValueError(f"{total} reviewed tasks are too few to learn from, 8 is the least")
         if len(found) != 2:
             raise ValueError("all reviewed tasks have the same outcome")
-        label = (F.col("review_status") != "accepted").cast("int")
-        rows = extract_features(reviewed, "review_status").select(
-            "*",
-            label.alias("label"),
-            F.when(label == 1, total / (2 * found[1])).otherwise(total / (2 * found[0])).alias("weight"),
-        )
-        # The forest samples rows by partition and position. A fixed partition count and sorted partitions make one
-        # seed give one model anywhere.
-        rows = rows.repartition(self.partitions, "task_id").sortWithinPartitions("task_id")
-        forest = RandomForestClassifier(
-            featuresCol="features", labelCol="label", weightCol="weight", numTrees=self.num_trees,
-            minInstancesPerNode=2, featureSubsetStrategy="sqrt", maxDepth=self.max_depth, maxBins=self.max_bins,
-            seed=self.seed, maxMemoryInMB=1024,
-        )
-        # Training passes over the rows several times before it caches its own form of them; the texts are read once.
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self.model = Pipeline(stages=[feature_assembler(), forest]).fit(rows)
-        finally:
-            rows.unpersist()
+        self.pieces = forest.train(rows, (total / (2 * found[0]), total / (2 * found[1])), self.forest)
         return self
 
     def predict_review_risk(self, tasks: DataFrame) -> DataFrame:
         """task_id, review_risk: the probability that a task will not be accepted as it is."""
-        if self.model is None:
+        if self.pieces is None:
             raise RuntimeError("call fit or load first")
-        return self.model.transform(extract_features(tasks)).select(
-            "task_id", vector_to_array("probability")[1].alias("review_risk")
-        )
+        rows = extract_features(tasks).select("task_id", _vector())
+        return forest.probabilities(rows, self.pieces, self.forest.trees, "task_id").withColumnRenamed("probability", "review_risk")
 
     def save(self, path: str) -> str:
-        if self.model is None:
+        if self.pieces is None:
             raise RuntimeError("nothing to save before fit")
-        self.model.write().overwrite().save(path)
+        session = self.pieces.sparkSession
+        self.pieces.write.mode("overwrite").parquet(f"{path}/pieces")
+        session.createDataFrame([asdict(self.forest)]).coalesce(1).write.mode("overwrite").json(f"{path}/settings")
         return path
 
     @classmethod
-    def load(cls, path: str) -> "ReviewDetector":
-        detector = cls()
-        detector.model = PipelineModel.load(path)
+    def load(cls, path: str, session: SparkSession | None = None) -> "ReviewDetector":
+        session = session or SparkSession.active()
+        settings = session.read.json(f"{path}/settings").first().asDict()
+        detector = cls(settings.pop("trees"), settings.pop("seed"), **settings)
+        detector.pieces = session.read.parquet(f"{path}/pieces")
         return detector
