@@ -43,6 +43,17 @@ def _load_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return kept.unionByName(bad)
 
 
+def _quarantine_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """File and line of each refused record; every fifth record follows a blank line, 500 records lie in a file."""
+    path = scratch_path(spark, "task-files")
+    lines = t.task_lines(spark, sf).select("seq", "raw", F.floor(F.col("seq") / 500).cast("bigint").alias("file"))
+    spaced = lines.withColumn("raw", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("\n"), "raw")).otherwise(F.col("raw")))
+    spaced.repartition("file").sortWithinPartitions("file", "seq").select("raw", "file").write.partitionBy("file").text(path)
+    return jsonl.load_tasks(spark, path).quarantine.select(
+        F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "line_number", "first_error"
+    )
+
+
 def _write_tasks_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = jsonl.write_tasks(t.tasks(spark, sf), scratch_path(spark, "tasks"))
     back = jsonl.load_tasks(spark, path).tasks
@@ -248,6 +259,7 @@ def queries() -> dict[str, Query]:
     tasks = t.tasks
     found: dict[str, Query] = {
         "load_tasks": _load_tasks,
+        "quarantine_lines": _quarantine_lines,
         "write_tasks_roundtrip": _write_tasks_roundtrip,
         "task_json": _task_json,
         "validate_tasks": _validate_tasks,

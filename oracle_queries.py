@@ -293,6 +293,13 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT 'quarantine', CASE WHEN kind = 11 THEN 'duplicate_task_id' ELSE string_split(errors, '|')[1] END, '', count(*)
         FROM lines WHERE errors <> '' OR kind = 11 GROUP BY ALL""",
+    "quarantine_lines": f"""WITH {_LINES},
+        placed AS (
+          SELECT *, seq // 500 AS file,
+                 sum(CASE WHEN seq % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY seq // 500 ORDER BY seq) AS line_number FROM lines)
+        SELECT CAST(file AS BIGINT) AS file, CAST(line_number AS BIGINT) AS line_number,
+               CASE WHEN kind = 11 THEN 'duplicate_task_id' ELSE string_split(errors, '|')[1] END AS first_error
+        FROM placed WHERE errors <> '' OR kind = 11""",
     "write_tasks_roundtrip": f"""WITH {_TASKS}
         SELECT task_id, group_id, title, specification, program, source_url, license_id, review_status, review_notes,
                CAST(len(reference_tests) AS INTEGER) AS n_tests, reference_tests[-1].expected_stdout AS last_expected,

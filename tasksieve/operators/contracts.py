@@ -124,22 +124,25 @@ def _faults(fields: Column) -> Column:
     ).otherwise(F.array_compact(complete))
 
 
-def read_records(lines: DataFrame, raw: str = "raw") -> DataFrame:
+BLANK_LINE = "blank_line"
+
+
+def read_records(lines: DataFrame, raw: str = "raw", blank_lines: bool = False) -> DataFrame:
     """Add the typed task fields, ``errors`` (all codes) and ``first_error`` to a table of JSON texts.
 
-    Blank lines are skipped. A row whose ``errors`` is empty satisfies the contract. Each line is parsed once, each
+    Blank lines are skipped, or, where ``blank_lines`` asks for them, kept with the one code ``BLANK_LINE``. A row whose ``errors`` is empty satisfies the contract. Each line is parsed once, each
     field looked up once; the typed fields are a plain projection on top, so unused ones are never built.
     """
     kept = [F.col(name) for name in lines.columns]
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(raw)
-    parsed = lines.where(~is_blank(text)).select(
+    parsed = (lines if blank_lines else lines.where(~is_blank(text))).select(
         *kept, settled(F.when(F.is_valid_utf8(text), parse_json_strictly(text))).alias("_value")
     )
     value = F.col("_value")
     # A parsed value is an object if its text opens with a brace.
     state = (
-        F.when(~F.is_valid_utf8(text), "bad_encoding").when(value.isNull(), "json_decode")
+        F.when(is_blank(text), BLANK_LINE).when(~F.is_valid_utf8(text), "bad_encoding").when(value.isNull(), "json_decode")
         .when(~text.rlike(r"^[ \t\r\n]*\{"), "not_object")
     )
     split = parsed.select(

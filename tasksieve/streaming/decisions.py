@@ -11,8 +11,8 @@ from tasksieve.operators.ledger import ReviewLedger
 class DecisionStream:
     """Stores each micro-batch as batch ``<name>-<n>`` of the ledger's one log, beside what ``record`` stores.
 
-    A batch that is run again after a failure replaces its own rows, so every decision is stored once. An event
-    delivered again in a later batch is recognized by its event_id among the stored ones of its day; with ``watermark``
+    A batch that is run again after a failure changes nothing, so every decision is stored once. An event delivered again in
+    a later batch is recognized by its event_id in the ledger's index, whatever its other fields; with ``watermark``
     (say "1 day") the stream also drops repeats by bounded state, at the price of dropping events later than that.
     ``name`` must differ between streams with checkpoints of their own.
     """
@@ -24,7 +24,7 @@ class DecisionStream:
         self.name = name
 
     def _store(self, batch: DataFrame, batch_id: int) -> None:
-        # Read twice, for the days and for the rows.
+        # Read twice, for the ids' prefixes and for the rows.
         rows = batch.persist()
         try:
             self.ledger.store(rows, f"{self.name}-{batch_id}")

@@ -112,6 +112,37 @@ def test_first_of_equal_ids_over_many_splits(spark, task, tmp_path):
     assert loaded.quarantine.count() == 360
 
 
+def test_line_numbers_equal_a_sequential_count(spark, task, tmp_path):
+    """Several files of several splits, blank lines and all line ends, against reading them one after the other."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    expected = set()
+    for k, end in enumerate(("\n", "\r\n", "\n", "\r")):
+        lines = []
+        for i in range(150):
+            lines += [[json.dumps(task(f"f{k}-{i}"))], ["oops"], ["", "[]"], [" \t", "", "{}"], [""]][(7 * i + k) % 5]
+        if k == 2:
+            lines = ["", "", "", *lines]
+        (folder / f"part-{k}.jsonl").write_bytes((end.join(lines) + (end if k % 2 else "")).encode())
+        for number, line in enumerate(open(folder / f"part-{k}.jsonl", encoding="utf-8"), 1):
+            if line.strip() in ("oops", "[]", "{}"):
+                expected.add((f"part-{k}.jsonl", number, line.strip()))
+    conf = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}
+    old = {key: spark.conf.get(key) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        loaded = jsonl.load_tasks(spark, str(folder))
+        assert jsonl.split_starts(jsonl.scan_lines(spark, str(folder))).count() > 12
+        found = {(r.path.rsplit("/", 1)[1], r.line_number, r.raw) for r in loaded.quarantine.collect()}
+        with pytest.raises(TaskFormatError, match=f"part-0.jsonl:{min(n for p, n, _ in expected if p == 'part-0.jsonl')}: json_decode"):
+            jsonl.load_tasks(spark, str(folder), strict=True)
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert found == expected and loaded.tasks.count() > 100
+
+
 def test_strict_load_refuses_an_empty_file(spark, tmp_path):
     path = tmp_path / "none.jsonl"
     path.write_text("\n\n")

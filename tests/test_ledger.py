@@ -3,7 +3,7 @@ import json
 
 import pytest
 
-from tasksieve.operators.ledger import ReviewLedger
+from tasksieve.operators.ledger import ReviewLedger, id_prefix
 from tasksieve.schema import REVIEW_EVENTS
 from tasksieve.streaming.decisions import DecisionStream
 
@@ -101,9 +101,78 @@ def test_recording_twice_stores_once_and_the_first_delivery_wins(book, events_of
     assert book.record(batch).count() == 1
     assert book.record(batch).count() == 0
     assert [(r.event_id, r.rationale) for r in book.events().collect()] == [(1, "a")]
-    # The look-back reads the day of the batch only.
-    later = book.judged().where("day IN ('2024-05-02')")
-    assert "PartitionFilters: [isnotnull(day" in later._jdf.queryExecution().executedPlan().toString() and later.count() == 0
+
+
+def test_an_id_delivered_again_under_another_day_is_the_same_event(book, events_of):
+    book.record(events_of(decision(1), decision(2)))
+    assert book.record(events_of(decision(1, hours=300, rationale="later"), decision(2, task_id="zz", hours=-90))).count() == 0
+    assert sorted((r.event_id, r.rationale, r.created_at) for r in book.judged().collect()) == [(1, "because", DAY), (2, "because", DAY)]
+
+
+def test_events_without_an_id_are_rejected_one_by_one(book, events_of):
+    rows = events_of(decision(None), decision(None), decision(None, reviewer=""), decision(5))
+    assert sorted(r.reject_reason for r in book.record(rows).collect()) == ["missing_event_id"] * 2 + ["missing_reviewer_or_rationale"]
+    assert [r.event_id for r in book.events().collect()] == [5]
+
+
+def input_files(frame):
+    return {name.rsplit("/", 1)[1] for name in frame.inputFiles()}
+
+
+def test_a_batch_reads_only_the_index_files_its_ids_can_be_in(spark, task, tasks_of, tmp_path, events_of):
+    ledger = ReviewLedger(spark, str(tmp_path / "ledger"), file_rows=100)
+    ledger.import_tasks(tasks_of(task("a")))
+    ledger.store(events_of(*(decision(i) for i in range(8000))), "load-0")
+    manifest = ledger.runs.manifest()
+    index = manifest.runs[0]["files"]["ids"]
+    assert len(index) == 10 and all(a["high"] <= b["low"] for a, b in zip(index, index[1:]))
+    prefixes = [r.prefix for r in events_of(decision(17), decision(4711)).select(id_prefix()).collect()]
+    known = ledger._known_ids(manifest, prefixes)
+    assert len(input_files(known)) <= 2 and known.where("event_id IN (17, 4711)").count() == 2
+    assert ledger.record(events_of(decision(17, hours=5), decision(4711, hours=9))).count() == 0
+    assert ledger.judged().count() == 8000
+
+
+def test_many_small_batches_leave_few_files(spark, task, tasks_of, tmp_path, events_of):
+    """There are at most fan_in runs a tier, and a look-up opens at most one file of each."""
+    ledger = ReviewLedger(spark, str(tmp_path / "ledger"), fan_in=3, grace_seconds=0)
+    ledger.import_tasks(tasks_of(*(task(f"t{i}") for i in range(5))))
+    for n in range(14):
+        ledger.store(events_of(*(decision(10 * n + i, task_id=f"t{i}") for i in range(5))), f"s-{n}")
+    runs = ledger.runs.manifest().runs
+    tiers = [r["tier"] for r in runs]
+    assert max(tiers.count(t) for t in tiers) <= 3 and max(tiers) == 2
+    assert len(list((tmp_path / "ledger/log").rglob("*.parquet"))) <= 2 * len(runs)
+    assert len(list((tmp_path / "ledger/log/manifests").glob("0*"))) <= ledger.runs.keep_manifests
+    opened = ledger.runs.read(ledger.runs.manifest(), "events", keys=["t3"])
+    assert len(input_files(opened)) <= len(runs)
+    assert ledger.history("t3").count() == 14 and ledger.judged().count() == 70
+    assert ledger.store(events_of(decision(3, task_id="t1")), "s-14").count() == 0
+
+
+def test_of_two_writers_the_second_sees_the_ids_of_the_first(spark, book, events_of, monkeypatch):
+    other = ReviewLedger(spark, book.path)
+    commit, done = book.runs.commit, []
+
+    def overtaken(base, *rest):
+        if not done:
+            done.append(other.store(events_of(decision(1, rationale="first")), "other-0"))
+        return commit(base, *rest)
+
+    monkeypatch.setattr(book.runs, "commit", overtaken)
+    assert [r.event_id for r in book.store(events_of(decision(1, rationale="second"), decision(2)), "own-0").collect()] == [2]
+    assert sorted((r.event_id, r.rationale) for r in book.events().collect()) == [(1, "first"), (2, "because")]
+
+
+def test_readers_of_an_older_manifest_can_finish(spark, task, tasks_of, tmp_path, events_of):
+    ledger = ReviewLedger(spark, str(tmp_path / "ledger"), fan_in=2)
+    ledger.import_tasks(tasks_of(task("a")))
+    ledger.store(events_of(decision(1)), "s-0")
+    before = ledger.judged()
+    ledger.store(events_of(decision(2)), "s-1")
+    assert ledger.runs.compact() == 1
+    assert [r["tier"] for r in ledger.runs.manifest().runs] == [1]
+    assert [r.event_id for r in before.collect()] == [1]
 
 
 def test_an_empty_batch_and_events_without_a_time(book, events_of):

@@ -18,7 +18,9 @@ def test_equals_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"review_risk"}
+    # What SQL cannot express is held against brute force: the forest in test_forest, training text in tests/llm.
+    own = {name for name in set(QUERIES) - set(ORACLE) if name != "pipeline" and not name.startswith("op")}
+    assert own == {"review_risk"}
 
 
 def test_entry(spark):
