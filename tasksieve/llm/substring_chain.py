@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.llm.idfilter import id_filter, passes, place
@@ -34,7 +35,8 @@ _PASSAGE = "doc_id bigint, source bigint, first_word bigint, n_words bigint, sou
 @dataclass(frozen=True)
 class PassageDedup:
     """seed: words a seed; window: seeds a window; middle_seed, middle_window: the same of longer, sparser ones; long_seed: words a long
-    seed, at most max_gap + seed and min_words; max_gap, reach: words between seeds and beyond a chain's ends."""
+    seed, at most max_gap + seed and min_words; max_gap, reach: words between seeds and beyond a chain's ends. bucket_seeds,
+    packed_seeds: seeds meant for a bucket, and packed at a time; hot_documents: documents of one pack that make a seed hot."""
 
     seed: int = 5
     window: int = 4
@@ -45,6 +47,9 @@ class PassageDedup:
     identity: float = 0.8
     max_gap: int = 48
     reach: int = 64
+    bucket_seeds: int = 500_000
+    packed_seeds: int = 1 << 20
+    hot_documents: int = 64
 
 
 def _kinds(op: PassageDedup) -> tuple[tuple[int, int], ...]:
@@ -74,36 +79,190 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return np.where(number == 0, hashes, mix(hashes + number * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _seeds(op: PassageDedup):
-    """``(seed, doc_id, pos)``: pos is four times the place of the seed's first word, and the seed's kind.
+def _seeds(batch: pa.RecordBatch, op: PassageDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, doc_ids and places of the seeds of a batch: a place is four times that of the seed's first word, and the seed's kind.
 
-    A second or later occurrence has a row under its own number and one, with the complement of pos, under the first one's seed.
+    A second or later occurrence has an entry under its own number and one, with the complement of its place, under the first one's seed.
     """
+    words = find_words(batch.column("text"))
+    hashes, ids, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for kind, (size, window) in enumerate(_kinds(op)):
+        grams = gram_hashes(words.hash, size)
+        for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
+            if b - a >= size:
+                own = grams[a : b - size + 1]
+                at = winnow(own, window)
+                named, pos = numbered(own[at]), 4 * at + kind
+                later = named != own[at]
+                hashes += [named, own[at][later]]
+                places += [pos.astype(np.int32), ~pos[later].astype(np.int32)]
+                ids.append(np.full(len(at) + int(later.sum()), doc_id, np.int64))
+    return np.concatenate(hashes), np.concatenate(ids), np.concatenate(places)
+
+
+_PACKED = "bucket bigint, seed bigint, n int, payload binary"
+_MATCHES = "kind int, seed bigint, source bigint, q int, n int, payload binary"
+_COLD, _ANCHOR, _HOT = range(3)
+#: Marks the place of a hot seed's anchor; places are smaller.
+_MARK = 1 << 40
+
+
+def _pack(first: np.ndarray, *others: np.ndarray) -> tuple[int, bytes]:
+    """Number and bytes of entries sorted by the first column: bytes of like weight lie together, so that small numbers hardly cost anything."""
+    columns = np.stack([np.diff(first, prepend=0), *others]).astype("<i8")
+    planes = columns.view(np.uint8).reshape(len(columns), len(first), 8).transpose(0, 2, 1)
+    return len(first), pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(n: int, payload: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(payload, 8 * n * columns, codec="zstd", asbytes=True), np.uint8)
+    deltas, *others = np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view("<i8").reshape(columns, n)
+    return [np.cumsum(deltas), *others]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """Seeds are cut to ``bits`` and dealt to ``buckets`` by range; both follow the size of the input."""
+
+    buckets: int
+    bits: int
+
+    @classmethod
+    def of(cls, text_bytes: int, op: PassageDedup) -> "_Layout":
+        seeds = max(1, text_bytes // 5)
+        # A cut hash meets another one by chance once in 4096 seeds; the words decide later.
+        return cls(max(64, seeds // op.bucket_seeds), min(62, seeds.bit_length() + 12))
+
+    def bucket(self, seeds: np.ndarray) -> np.ndarray:
+        """By range: sorted seeds have sorted buckets."""
+        spare = max(0, self.bits + self.buckets.bit_length() - 62)
+        return ((seeds >> spare) * self.buckets) >> (self.bits - spare)
+
+
+def _packer(op: PassageDedup, layout: _Layout):
+    """Seeds sorted and packed by bucket. Those of many documents in one go are hot: their bucket gets the one of the smallest
+    doc_id, the occurrences of each travel apart as one row, to a bucket of the task's own."""
+
+    def flush(held: list[tuple], apart: int) -> Iterator[pa.RecordBatch]:
+        hashes, ids, places = (np.concatenate(c) for c in zip(*held))
+        hashes = (hashes >> np.uint64(64 - layout.bits)).astype(np.int64)
+        order = np.lexsort((ids, hashes))
+        hashes, ids, places = hashes[order], ids[order], places[order].astype(np.int64)
+        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
+        first = places >= 0
+        hot = (np.bincount(group, first, len(starts)) >= op.hot_documents)[group]
+        # Entries of a group are sorted by doc_id: its first one with a place of its own stays in the bucket, marked.
+        least = np.zeros(len(hashes), bool)
+        at = np.flatnonzero(hot & first)
+        least[at[np.append(True, group[at][1:] != group[at][:-1])[: len(at)]]] = True
+        stay = ~hot | least
+        columns = hashes[stay], ids[stay], np.where(least, places | _MARK, places)[stay]
+        bucket = layout.bucket(columns[0])
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rows = [(int(bucket[a]), None, *_pack(*(c[a:b] for c in columns))) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
+        for g in np.unique(group[hot]):
+            a, b = starts[g], starts[g + 1] if g + 1 < len(starts) else len(hashes)
+            rows.append((layout.buckets + apart % layout.buckets, int(hashes[a]), *_pack(ids[a:b], places[a:b])))
+        yield _rows(rows, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, apart = [], 0, TaskContext.get().partitionId()
         for batch in batches:
-            words = find_words(batch.column("text"))
-            hashes, ids, places = [], [], []
-            for kind, (size, window) in enumerate(_kinds(op)):
-                grams = gram_hashes(words.hash, size)
-                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), words.first, words.first[1:]):
-                    if b - a >= size:
-                        own = grams[a : b - size + 1]
-                        at = winnow(own, window)
-                        named, pos = numbered(own[at]), 4 * at + kind
-                        later = named != own[at]
-                        hashes += [named, own[at][later]]
-                        places += [pos, ~pos[later]]
-                        ids.append(np.full(len(at) + int(later.sum()), doc_id, np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)),
-                    pa.array(np.concatenate(places).astype(np.int32)),
-                ], ["seed", "doc_id", "pos"])
+            found = _seeds(batch, op)
+            held.append(found)
+            size += len(found[0])
+            if size >= op.packed_seeds:
+                yield from flush(held, apart)
+                held, size, apart = [], 0, apart + 1
+        if size:
+            yield from flush(held, apart)
 
     return run
 
 
+def _matched(seeds: np.ndarray, ids: np.ndarray, places: np.ndarray) -> list[tuple]:
+    """Rows of _MATCHES for the entries of one bucket: all its matches in one, and the anchors of hot seeds."""
+    marked = places >= _MARK
+    places = np.where(marked, places & (_MARK - 1), places)
+    order = np.lexsort((places < 0, ids, seeds))
+    seeds, ids, places, marked = seeds[order], ids[order], places[order], marked[order]
+    starts = np.flatnonzero(np.append(True, seeds[1:] != seeds[:-1]))
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(seeds))))
+    at = np.flatnonzero(places >= 0)
+    begins = np.append(True, group[at][1:] != group[at][:-1]) if len(at) else np.zeros(0, bool)
+    source, q = np.full(len(starts), -1, np.int64), np.zeros(len(starts), np.int64)
+    known = np.zeros(len(starts), bool)
+    source[group[at[begins]]], q[group[at[begins]]], known[group[at[begins]]] = ids[at[begins]], places[at[begins]], True
+    shared = known & (np.bincount(group[at], ids[at] != source[group[at]], len(starts)) > 0)
+    hot = np.bincount(group, marked, len(starts)) > 0
+    cold = np.flatnonzero((shared | hot)[group] & known[group] & ~marked & (ids != source[group]))
+    cold = cold[np.argsort(ids[cold], kind="stable")]
+    rows = [(_COLD, None, None, None, *_pack(ids[cold], source[group[cold]], places[cold], q[group[cold]]))] if len(cold) else []
+    return rows + [(_ANCHOR, int(seeds[starts[g]]), int(source[g]), int(q[g]), 0, None) for g in np.flatnonzero(hot)]
+
+
+def _matcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every entry of a bucket with the one of the smallest doc_id that has its seed. Hot occurrences pass through."""
+    held, now = [], None
+
+    def bucket() -> list[tuple]:
+        return _matched(*(np.concatenate(c) for c in zip(*held)))
+
+    for batch in batches:
+        for number, seed, n, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "seed", "n", "payload"))):
+            if seed is not None:
+                yield _rows([(_HOT, seed, None, None, n, payload)], _MATCHES)
+                continue
+            if held and number != now:
+                yield _rows(bucket(), _MATCHES)
+                held = []
+            now = number
+            held.append(_unpack(n, payload, 3))
+    if held:
+        yield _rows(bucket(), _MATCHES)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The matches row by row; a hot seed's occurrences have one source and place."""
+    for batch in batches:
+        for source, q, n, payload in zip(*(batch.column(c).to_pylist() for c in ("source", "q", "n", "payload"))):
+            if source is None:
+                ids, sources, places, qs = _unpack(n, payload, 4)
+            else:
+                ids, places = _unpack(n, payload, 2)
+                ids, places = ids[ids != source], places[ids != source]
+                sources, qs = np.full(len(ids), source), np.full(len(ids), q)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(sources), pa.array(places.astype(np.int32)), pa.array(qs.astype(np.int32))], ["doc_id", "source", "pos", "q"]
+            )
+
+
+def _matches(named: DataFrame, op: PassageDedup) -> DataFrame:
+    """``(doc_id, source, pos, q)``: one row for each seed of a document that one with a smaller doc_id has too.
+
+    Seeds cross one exchange, packed by ranges of their hashes; what only one document has ends there. The occurrences of hot seeds, a row
+    for each seed and pack, find their anchors by a join, which broadcasts these or splits a skewed seed: no task holds a seed of
+    very many documents.
+    """
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    layout = _Layout.of(size, op)
+    session = named.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), layout.buckets // 4)
+    packed = named.mapInArrow(_packer(op, layout), _PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = stored(packed.mapInArrow(_matcher, _MATCHES), "matches")
+    anchors = found.where(F.col("kind") == _ANCHOR).select("seed", "source", "q")
+    hot = found.where(F.col("kind") == _HOT).select("seed", "n", "payload").join(anchors, "seed")
+    cold = found.where(F.col("kind") == _COLD).select("source", "q", "n", "payload")
+    return cold.unionByName(hot.select("source", "q", "n", "payload")).mapInArrow(_expand, "doc_id bigint, source bigint, pos int, q int")
+
+
 def chain(points: list[tuple[int, int]], max_gap: int) -> list[list[tuple[int, int]]]:
     """Disjoint chains of points (p, q), increasing in both, cut at gaps over ``max_gap``; best chain first.
 
@@ -330,11 +489,7 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
     """
     small_batches(documents.sparkSession)
     named = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = stored(named.mapInArrow(_seeds(op), "seed bigint, doc_id bigint, pos int"), "seeds")
-    anchors = seeds.where("pos >= 0").groupBy("seed").agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.min_by("pos", "doc_id").alias("q")
-    ).where("source <> other").select("seed", "source", "q")
-    matches = seeds.join(anchors, "seed").where("doc_id <> source")
+    matches = _matches(named, op)
     grouped = matches.groupBy("doc_id").agg(F.collect_list(F.struct("source", "pos", "q")).alias("matches"))
     chains = stored(grouped.mapInArrow(_chains(op), _CHAIN), "chains")
     involved = id_filter(chains.select("doc_id").unionByName(chains.select(F.col("source").alias("doc_id"))), "doc_id")
@@ -350,13 +505,13 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
     return both.mapInArrow(_aligner(op), _PASSAGE).distinct()
 
 
-def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """``documents`` with the words of ``passages`` (doc_id, first_word, n_words) cut out of ``text``; all columns stay.
+def without_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``documents`` with the words of ``passages`` (key, first_word, n_words) cut out of ``text``; all columns stay.
 
     What stands between the first cut word and the next kept one goes too. A document may become empty; it stays. Null texts stay null.
     """
-    spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts"))
-    rows = documents.join(spans, "doc_id", "left")
+    spans = passages.groupBy(key).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_cuts"))
+    rows = documents.join(spans, key, "left")
     place_of = rows.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
