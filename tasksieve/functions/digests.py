@@ -18,6 +18,11 @@ def row_digest(*columns: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def tree_over_nodes() -> Column:
+    """The digest of a node from those of its children, an aggregate of the column ``node``."""
+    return F.sha2(F.array_join(F.array_sort(F.collect_list("node")), ","), 256).alias("tree")
+
+
 def table_digest(rows: DataFrame, digest: Column, name: str = "fingerprint") -> DataFrame:
     """One row: the root of a hash tree over the digests, the same for any order and partitioning.
 
@@ -31,8 +36,7 @@ def table_digest(rows: DataFrame, digest: Column, name: str = "fingerprint") ->
         nodes = (
             nodes.select(F.substring("key", 1, digits).alias("key"), "node")
             .groupBy("key")
-            .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), ","), 256).alias("tree"))
-            .select("key", F.concat_ws(":", "key", "tree").alias("node"), "tree")
+            .agg(tree_over_nodes()).select("key", F.concat_ws(":", "key", "tree").alias("node"), "tree")
         )
     return nodes.select(F.col("tree").alias(name))
 

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters str.strip(), str.split() and the regex \s treat as white space.
 WHITESPACE = (
@@ -82,35 +78,32 @@ def fold_ascii_word(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), "\u017f", "s"), F.lit("\ufb01"), F.lit("fi"))
 
 
-@F.pandas_udf(T.StringType())
-def _casefold_digest(text: pd.Series) -> pd.Series:
-    return text.map(
-        lambda v: hashlib.sha256(" ".join(v.split()).casefold().encode()).hexdigest(),
-        na_action="ignore",
-    )
+def _icu(owner: str, function: str, text: Column) -> Column:
+    """A function of the Unicode library that Spark carries, with its one switch on. It takes no NULL."""
+    return F.reflect(F.lit(f"com.ibm.icu.{owner}"), F.lit(function), F.coalesce(text, F.lit("")), F.lit(True))
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc_digest(text: pd.Series) -> pd.Series:
-    return text.map(
-        lambda v: hashlib.sha256(
-            " ".join(unicodedata.normalize("NFKC", v).casefold().split()).encode()
-        ).hexdigest(),
-        na_action="ignore",
-    )
+def case_folded(text: Column) -> Column:
+    """Full case folding, one character to several where that is its folding; like str.casefold()."""
+    return F.when(text.isNotNull(), _icu("lang.UCharacter", "foldCase", text))
+
+
+def compatible(text: Column) -> Column:
+    """The text in normal form NFKC."""
+    return F.when(text.isNotNull(), _icu("text.Normalizer", "compose", text))
 
 
 def folded_digest(text: Column, compatibility: bool = False, native: bool = False) -> Column:
-    """SHA-256 of the squeezed, case-folded text (NFKC-normalized first if ``compatibility``).
+    """SHA-256 of the squeezed, case-folded text (NFKC-normalized first if ``compatibility``), all on the JVM.
 
-    ASCII text, where folding is plain lower-casing and NFKC changes nothing, never leaves the JVM: the Arrow
-    function gets NULL for those rows, and only digests come back. ``native`` uses lower() for every row.
+    ASCII text, where folding is plain lower-casing and NFKC changes nothing, takes the short way. ``native`` uses lower()
+    for every row.
     """
     plain = F.sha2(F.lower(squeeze(text)), 256)
     if native:
         return plain
-    fold = _nfkc_digest if compatibility else _casefold_digest
-    return F.when(is_ascii(text), plain).otherwise(fold(F.when(~is_ascii(text), text)))
+    folded = squeeze(case_folded(compatible(text))) if compatibility else case_folded(squeeze(text))
+    return F.when(is_ascii(text), plain).otherwise(F.sha2(folded, 256))
 
 
 # Control characters whose JSON escape has a letter in it (written in lower case).

@@ -136,7 +136,11 @@ def curation_report(
     )
 
 
+def task_digest() -> Column:
+    """What identifies a task in a fingerprint: id, program, reference program and specification."""
+    return row_digest(*[F.col(c) for c in ("task_id", "program", "reference_program", "specification")])
+
+
 def dataset_fingerprint(tasks: DataFrame) -> DataFrame:
-    """One row identifying the task set by id, program, reference program and specification."""
-    digest = row_digest(*[F.col(c) for c in ("task_id", "program", "reference_program", "specification")])
-    return table_digest(tasks, digest)
+    """One row identifying the task set, over all rows; ``sources.fingerprints`` keeps it up to date."""
+    return table_digest(tasks, task_digest())

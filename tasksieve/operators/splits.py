@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tasksieve.errors import SplitError
 from tasksieve.functions.digests import skew_ready
 from tasksieve.functions.text import digest_keys, folded_digest
+from tasksieve.operators.deficit import assign_by_deficit, deficit_targets
 from tasksieve.schema import SPLIT_NAMES
 from tasksieve.session import BROADCAST_BYTES
 
@@ -92,14 +93,27 @@ def assign_groups(
     return placed.select("group_id", "n_tasks", split.alias("split"))
 
 
+def assign_groups_in_turn(
+    sizes: DataFrame, seed: int = 2026, train_fraction: float = 0.70, validation_fraction: float = 0.15
+) -> DataFrame:
+    """group_id, n_tasks, split by the sequential rule: each group, in seeded order, to the split that lacks most (``operators.deficit``)."""
+    check_fractions(train_fraction, validation_fraction)
+    total = sizes.agg(F.sum("n_tasks")).first()[0]
+    return assign_by_deficit(_ranked_groups(sizes, seed), deficit_targets(total, train_fraction, validation_fraction))
+
+
 def make_splits(
     tasks: DataFrame,
     seed: int = 2026,
     train_fraction: float = 0.70,
     validation_fraction: float = 0.15,
     strict: bool = True,
+    in_turn: bool = False,
 ) -> DataFrame:
-    """The tasks with a ``split`` column; whole groups only. ``strict`` raises on repeated ids and on leakage."""
+    """The tasks with a ``split`` column; whole groups only. ``strict`` raises on repeated ids and on leakage.
+
+    Splits are filled one after the other, or, ``in_turn``, by the sequential rule that gives each group to the one that lacks most.
+    """
     check_fractions(train_fraction, validation_fraction)
     sizes = group_sizes(tasks)
     facts = sizes.agg(
@@ -114,7 +128,8 @@ def make_splits(
         twice = tasks.groupBy("task_id").count().where("count > 1").take(1)
         if twice:
             raise SplitError(f"more than one row has the task_id {twice[0].task_id}")
-    owners = assign_groups(sizes, seed, train_fraction, validation_fraction).select("group_id", "split")
+    assign = assign_groups_in_turn if in_turn else assign_groups
+    owners = assign(sizes, seed, train_fraction, validation_fraction).select("group_id", "split")
     # The table of groups was measured above; a larger one is left to a shuffle join with skew splitting.
     if facts.bytes <= BROADCAST_BYTES:
         owners = F.broadcast(owners)
