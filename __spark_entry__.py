@@ -17,7 +17,10 @@ from tasksieve.operators import (  # noqa: E402
 )
 from tasksieve.session import scratch_path, tune  # noqa: E402
 from tasksieve.sources import jsonl, tables as t  # noqa: E402
+from tasksieve.sources.fingerprints import FingerprintTree  # noqa: E402
+from tasksieve.sources.task_store import TaskStore  # noqa: E402
 from tasksieve.streaming.decisions import DecisionStream  # noqa: E402
+from tasksieve.streaming.scores import SuiteScores  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +163,48 @@ def _ledger_stream(spark: SparkSession, sf: str) -> DataFrame:
     return taken.unionByName(book.rejects().select("event_id", "task_id", "reject_reason"))
 
 
+def _review_queue_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue with its texts from a store sorted by id instead of a scan of all tasks."""
+    store = TaskStore(spark, scratch_path(spark, "task-store"))
+    store.add(t.tasks(spark, sf))
+    narrow = t.tasks(spark, sf, "task_id", "group_id", "seq", "review_status")
+    return review_queue.build_review_queue(narrow, t.scores(spark, sf), texts=store)
+
+
+def _fingerprint_tree(spark: SparkSession, sf: str, offset: int = 0) -> FingerprintTree:
+    """Two thirds of the tasks, then the others and some wrong ones, which then go again, but for ``offset`` of each hundred."""
+    rows, digest = t.tasks(spark, sf), curation.task_digest()
+    tree = FingerprintTree(spark, scratch_path(spark, "fingerprints"))
+    wrong = rows.where("seq % 10 = 0").withColumn("program", F.concat("program", F.lit("!")))
+    tree.apply(digest, added=rows.where("seq % 3 < 2"))
+    tree.apply(digest, added=rows.where("seq % 3 = 2").unionByName(wrong))
+    tree.apply(digest, removed=wrong.where(F.col("seq") % 100 >= offset))
+    return tree
+
+
+def _fingerprint_root(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(_fingerprint_tree(spark, sf).root(),)], "fingerprint string")
+
+
+def _fingerprint_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return _fingerprint_tree(spark, sf, 50).difference(_fingerprint_tree(spark, sf))
+
+
+def _suite_scores_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs through a stream of files, mutants' runs before their references'."""
+    home = scratch_path(spark, "scores")
+    book = SuiteScores(spark, home, t.cases(spark, sf), t.mutants(spark, sf))
+    columns = ("task_id", "case_id", "program_id", "return_code", "stdout", "timed_out")
+    for order, log in enumerate((
+        t.mutant_runs(spark, sf).select(*columns, F.lit(None).cast("double").alias("duration_seconds")),
+        t.reference_runs(spark, sf).select(*columns, "duration_seconds"),
+    )):
+        log.write.parquet(f"{home}/inbox/log={order}")
+        arrived = spark.readStream.schema(log.schema).parquet(f"{home}/inbox/log=*")
+        book.start(arrived, f"{home}/checkpoint").awaitTermination()
+    return book.scores()
+
+
 # --- fine-tuning examples --------------------------------------------------------------------------------------------
 
 def _sft_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,6 +334,12 @@ def queries() -> dict[str, Query]:
         "review_risk": _review_risk,
         "detector_roundtrip": _detector_roundtrip,
         "review_queue": lambda s, d: review_queue.build_review_queue(tasks(s, d), t.scores(s, d)),
+        "review_queue_by_index": _review_queue_by_index,
+        "fingerprint_tree": _fingerprint_root,
+        "fingerprint_difference": _fingerprint_difference,
+        "suite_scores_stream": _suite_scores_stream,
+        "deficit_splits": lambda s, d: splits.make_splits(tasks(s, d, "task_id", "group_id"), strict=False, in_turn=True),
+        "feature_matrix": lambda s, d: features.feature_matrix(tasks(s, d)).select("task_id", F.posexplode("features").alias("place", "value")),
         "ledger_import": _ledger_import,
         "ledger_record": lambda s, d: ledger.accepted_events(_judged(s, d)),
         "ledger_rejects": lambda s, d: ledger.rejected_events(_judged(s, d)).select("event_id", "reject_reason"),

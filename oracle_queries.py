@@ -93,13 +93,14 @@ issues AS (
 
 _DEFAULT_PHRASES = (r"etc\.?", "as appropriate", "some cases", "and so on")
 
-_SPLITS = f"""{_TASKS},
+_RANKED = f"""{_TASKS},
 sizes AS (SELECT group_id, count(*) AS n, md5('2026:' || group_id) AS k FROM tasks GROUP BY group_id),
 ranked AS (
   SELECT group_id, n, row_number() OVER w AS rk,
          coalesce(sum(n) OVER (ORDER BY k, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sizes WINDOW w AS (ORDER BY k, group_id)
-),
+)"""
+_SPLITS = f"""{_RANKED},
 plan AS (
   SELECT sum(n) FILTER (rk <= 3) AS pinned,
          greatest(1, floor(sum(n) * CAST(0.7 AS DOUBLE))) - max(n) FILTER (rk = 1) AS train_room,
@@ -338,6 +339,21 @@ ORACLE: dict[str, str] = {
         SELECT fingerprint FROM root""",
     "group_sizes": f"WITH {_TASKS} SELECT group_id, count(*) AS n_tasks FROM tasks GROUP BY group_id",
     "make_splits": f"WITH {_SPLITS} SELECT task_id, group_id, split FROM split_tasks",
+    "deficit_splits": f"""WITH RECURSIVE {_RANKED},
+        lacking(rk, train, validation) AS (
+          SELECT CAST(3 AS BIGINT), greatest(1, floor(sum(n) * CAST(0.7 AS DOUBLE))) - max(n) FILTER (rk = 1),
+                 greatest(1, floor(sum(n) * CAST(0.15 AS DOUBLE))) - max(n) FILTER (rk = 2) FROM ranked
+          UNION ALL
+          SELECT r.rk, train - CASE WHEN train >= validation AND train > 0 THEN n ELSE 0 END,
+                 validation - CASE WHEN NOT (train >= validation AND train > 0) AND validation > 0 THEN n ELSE 0 END
+          FROM lacking l JOIN ranked r ON r.rk = l.rk + 1
+        ),
+        owners AS (
+          SELECT group_id, CASE WHEN r.rk = 1 THEN 'train' WHEN r.rk = 2 THEN 'validation' WHEN r.rk = 3 THEN 'test'
+                                WHEN train >= validation AND train > 0 THEN 'train' WHEN validation > 0 THEN 'validation' ELSE 'test' END AS split
+          FROM ranked r LEFT JOIN lacking l ON l.rk = r.rk - 1
+        )
+        SELECT task_id, t.group_id, split FROM tasks t JOIN owners o ON o.group_id = t.group_id""",
     "split_counts": f"""WITH {_SPLITS} SELECT split, count(*) AS n_tasks, count(DISTINCT group_id) AS n_groups
         FROM split_tasks GROUP BY split""",
     "split_manifest": f"""WITH {_SPLITS}
@@ -453,3 +469,15 @@ ORACLE: dict[str, str] = {
         FROM mutant_scores m JOIN suite_scores s ON s.task_id = m.task_id
         LEFT JOIN lists l ON l.task_id = m.task_id AND l.mutant_id = m.mutant_id""",
 }
+
+# The same results by other ways.
+ORACLE["review_queue_by_index"] = ORACLE["review_queue"]
+ORACLE["fingerprint_tree"] = ORACLE["dataset_fingerprint"]
+ORACLE["fingerprint_difference"] = f"""WITH {_TASKS}
+    SELECT task_id, CAST(1 AS BIGINT) AS mine, CAST(0 AS BIGINT) AS theirs FROM tasks WHERE seq % 10 = 0 AND seq % 100 < 50"""
+ORACLE["suite_scores_stream"] = ORACLE["suite_scores"]
+ORACLE["feature_matrix"] = f"""WITH features AS ({ORACLE["features"]}),
+    listed AS (
+      SELECT task_id, [copybook_count, has_known_license, has_source_url, mutant_count, paragraph_count, program_chars, program_lines,
+                       reference_case_count, section_count, spec_words, token_count, unique_token_ratio, verb_count] AS f FROM features)
+    SELECT task_id, CAST(i AS INTEGER) AS place, f[i + 1] AS value FROM listed, unnest(range(13)) AS t(i)"""

@@ -56,6 +56,11 @@ def extract_features(tasks: DataFrame, *keep: str) -> DataFrame:
     return tokenized.select("task_id", *keep, *[values[n].cast("double").alias(n) for n in FEATURES])
 
 
+def feature_matrix(tasks: DataFrame) -> DataFrame:
+    """``(task_id, features)``: the features as a list in sorted name order; no tasks, no rows."""
+    return extract_features(tasks).select("task_id", F.array(*[F.col(n) for n in sorted(FEATURES)]).alias("features"))
+
+
 def feature_assembler(output: str = "features") -> VectorAssembler:
     """Feature vector in sorted name order."""
     return VectorAssembler(inputCols=sorted(FEATURES), outputCol=output)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tasksieve.functions.digests import table_digest
 from tasksieve.functions.text import VISIBLE, json_object, settled
+from tasksieve.session import scratch_path
 from tasksieve.sources.jsonl import case_list_json
 
 # The wording of the instruction.
@@ -118,14 +119,16 @@ def collate(
 
     Rows have one global position in the order of the shuffle key: the total of the buckets before (16^digits of them at
     most, so the table of totals is small) plus the place inside the bucket. Batches are cut from it, so only the very
-    last one can be short and ``digits`` changes nothing but the layout. Of the lists only the ids are shuffled; mask and
-    labels follow from the ids' number and ``prompt_tokens``.
+    last one can be short and ``digits`` changes nothing but the layout. The ids are stored once, for counting and placing; of the
+    lists only they are shuffled, mask and labels follow from the ids' number and ``prompt_tokens``.
     """
     if not 0 <= digits <= 4:
         raise ValueError(f"0 to 4 hex digits, not {digits}")
-    keyed = encoded.select(
+    session, path = encoded.sparkSession, scratch_path(encoded.sparkSession, "encoded")
+    encoded.select(
         "task_id", "prompt_tokens", "input_ids", F.md5(F.concat(F.lit(f"{seed}:"), "task_id")).alias("_key")
-    ).withColumn("_bucket", F.substring("_key", 1, digits))
+    ).withColumn("_bucket", F.substring("_key", 1, digits)).write.parquet(path)
+    keyed = session.read.parquet(path)
     before = W.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")).select(
         "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
