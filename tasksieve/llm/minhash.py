@@ -162,15 +162,23 @@ def _undecided(stars: DataFrame, parts: DataFrame, sets: DataFrame, sizes: DataF
     # Any shared pivot decides a pair: the smallest does. A pair with a pivot in it was compared in its star.
     once = F.col("pivot") == F.array_min(F.array_intersect("x_pivots", "y_pivots"))
     star = F.array_contains("x_pivots", F.col("y")) | F.array_contains("y_pivots", F.col("x"))
-    met = left.join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & _possible(op) & enough & once & ~star)
+    several = _of_several_parts(left, right)
+    met = left.join(several, ["pivot", "element"]).join(right, ["pivot", "element"]).where((F.col("x_part") != F.col("y_part")) & _possible(op) & enough & once & ~star)
     return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
 
 
+def _of_several_parts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(pivot, element) that members of two components hold: a group of one component has nothing to decide, however much its members share."""
+    held = left.select("pivot", "element", F.col("x_part").alias("part")).unionByName(right.select("pivot", "element", F.col("y_part").alias("part")))
+    return held.groupBy("pivot", "element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("pivot", "element")
+
+
 def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``documents`` (doc_id, text).
 
     Null, empty and blank texts have no shingles and link with nothing. Equal texts are linked, repeated doc_ids give
-    repeated rows; rows with a null doc_id stay alone, kept, with a null component. Other columns are not read.
+    repeated rows; rows with a null doc_id stay alone, kept, with a null component. Rows that share a doc_id but not the text are judged
+    each by its text, and the links of all of them are links of that doc_id. Other columns are not read.
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -178,7 +186,7 @@ def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFr
     identity = ["n_shingles", "set_sum", "set_xor"]
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy(*identity).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", *identity])
     buckets = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     pivots = buckets.groupBy("bucket").agg(F.min("doc_id").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "x")
     stars = stored(
