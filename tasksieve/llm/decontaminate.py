@@ -1,12 +1,12 @@
 """Benchmark passages in documents: one Aho-Corasick automaton over the normalised windows of all items.
 
 Words are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased. A window is 13 consecutive words of an
-item, or the whole of a shorter one. The windows, written with a space around each word, make the automaton; a text written the same
-way is scanned once, and each find gives words whose places in the original text are known.
+item, or the whole of a shorter one. The windows, as sequences of word numbers, make the automaton: one node a word, about ``NODE_BYTES`` each. A text's words are turned into
+numbers (0 for a word in no window) and scanned once; each find gives words whose places in the original text are known.
 
-Test sets do not grow with the corpus. Their windows are measured in Spark first: up to ``automaton_bytes`` they form one
-automaton, which each Python worker builds once and keeps; beyond that they are dealt by hash into shards of that size and the texts
-are scanned once per shard, so nothing is left out.
+Test sets do not grow with the corpus. Their windows are measured in Spark first: as long as the automaton stays within
+``automaton_bytes`` there is one, which each Python worker builds once and keeps; beyond that windows are dealt by hash into shards of that
+size and the texts are scanned once per shard, so nothing is left out.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class Decontamination:
 
     window: int = 13
     share: int = 20
-    automaton_bytes: int = 32 << 20
+    automaton_bytes: int = 192 << 20
 
 
 def normalised(text: str | None) -> str:
@@ -46,7 +46,7 @@ def normalised(text: str | None) -> str:
 
 
 def windows(benchmark: DataFrame, op: Decontamination) -> DataFrame:
-    """Distinct ``(window, items)``: the normalised window and the sorted ids of the items that hold it."""
+    """Distinct ``(window, items)``: the normalised window and the sorted ids of the items that hold it; an item without an id adds none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,28 +58,33 @@ def windows(benchmark: DataFrame, op: Decontamination) -> DataFrame:
                 ids += [item] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["item_id", "window"])
 
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(run, "item_id string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_BUILT: dict[str, tuple[dict[bytes, int], ahocorasick.Automaton]] = {}
+#: What a word of a window takes in a built automaton and in its list of numbers, rounded up (a test measures it).
+NODE_BYTES = 96
 
 
-def _automaton(key: str, patterns: list[tuple[str, tuple[str, ...]]]) -> ahocorasick.Automaton:
-    """Built once per Python worker."""
+def _automaton(key: str, patterns: list[tuple[str, tuple[str, ...]]]) -> tuple[dict[bytes, int], ahocorasick.Automaton]:
+    """The numbers of the windows' words and the automaton over them, built once per Python worker."""
     if key not in _BUILT:
         _BUILT.clear()
-        built = ahocorasick.Automaton()
+        numbers: dict[bytes, int] = {}
+        built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, items in patterns:
-            built.add_word(window, (len(window), items))
-        built.make_automaton()
-        _BUILT[key] = built
+            words = window.encode("utf-8", "surrogatepass").split()
+            built.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words), (len(words), items))
+        if len(built):
+            built.make_automaton()
+        _BUILT[key] = numbers, built
     return _BUILT[key]
 
 
 def _scanner(held, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, held.value)
+        numbers, automaton = _automaton(key, held.value)
         for batch in batches:
             texts = batch.column("text")
             data, offsets = text_bytes(texts)
@@ -88,18 +93,14 @@ def _scanner(held, key: str):
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
                 tokens = raw.translate(_SPACED).split()
-                line = b" " + b" ".join(tokens) + b" "
-                text = line.decode("utf-8", "surrogatepass")
-                found = list(automaton.iter(text)) if tokens and len(automaton) else []
+                found = list(automaton.iter(tuple(numbers.get(w, 0) for w in tokens))) if tokens and len(automaton) else []
                 items: set[str] = set()
                 spans = []
                 if found:
-                    # Places of the spaces in the scanned line: a find from space s to space e covers words s to e - 1.
-                    spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+                    # A find is the place of its last word and the number of its words.
                     hit = np.zeros(len(tokens) + 1, np.int64)
-                    ends = np.searchsorted(spaces, [e for e, _ in found])
-                    starts = np.searchsorted(spaces, [e - n + 1 for e, (n, _) in found])
-                    np.add.at(hit, starts, 1)
+                    ends = np.array([e for e, _ in found]) + 1
+                    np.add.at(hit, ends - [n for _, (n, _) in found], 1)
                     np.add.at(hit, ends, -1)
                     covered = np.cumsum(hit)[:-1] > 0
                     for _, (_, own) in found:
@@ -130,12 +131,13 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, op: Decontaminati
     """``(doc_id, n_words, n_hit, items, spans, contaminated)`` for each row of ``documents`` (doc_id, text).
 
     ``spans`` are code-point places [start, end) in the original text; ``items`` the sorted ids (as text) of the items with a
-    window in it. Null and empty texts have no words and are clean, as are all without benchmark rows; items without words
-    or id match nothing, repeated items count once. With several shards, rows that share a doc_id are merged and must be equal.
+    window in it; a window of an item without an id counts as any other, but names none. Null and empty texts have no words and are clean, as
+    are all without benchmark rows; items without words match nothing, repeated items count once. With several shards, rows that share a doc_id are merged and must be equal.
     """
     small_batches(documents.sparkSession)
     patterns = windows(benchmark, op).persist()
-    size = patterns.agg(F.coalesce(F.sum(F.octet_length("window") + F.octet_length(F.to_json("items"))), F.lit(0))).first()[0]
+    words = F.length("window") - F.length(F.replace("window", F.lit(" "))) - 1
+    size = patterns.agg(F.coalesce(F.sum(words * NODE_BYTES + F.octet_length("window") + F.octet_length(F.to_json("items"))), F.lit(0))).first()[0]
     shards = max(1, -(-size // op.automaton_bytes))
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if shards > 1 else F.lit(None).cast("string")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), digest.alias("digest"))
