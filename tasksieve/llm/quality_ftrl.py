@@ -64,9 +64,13 @@ def _features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _raw_scores(slots: np.ndarray, first: np.ndarray, weights: np.ndarray, bias: float, scale: float) -> np.ndarray:
-    total = np.append(0.0, np.cumsum(weights[slots]))
+    """Each text's sum is its own, so that equal texts have equal scores whatever stands beside them."""
     counts = np.diff(first)
-    return bias + scale * (total[first[1:]] - total[first[:-1]]) / np.maximum(counts, 1)
+    total = np.zeros(len(counts))
+    full = np.flatnonzero(counts)
+    if len(full):
+        total[full] = np.add.reduceat(weights[slots], first[:-1][full])
+    return bias + scale * total / np.maximum(counts, 1)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -106,9 +110,10 @@ def _trainer(op: QualityModel):
                 slots, first = _features(find_words(part.column("text"), WORDS_AND_MARKS, SAME), op.bits)
                 texts += [(slots[a:b], y) for a, b, y in zip(first, first[1:], part.column("label").to_pylist())]
         if texts:
-            w = fit_ftrl(texts, op)
+            # Weighed by its rows; slot -1 counts them.
+            w = fit_ftrl(texts, op) * len(texts)
             used = np.flatnonzero(w)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], ["slot", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(w[used], len(texts)))], ["slot", "weight"])
 
     return run
 
@@ -116,26 +121,29 @@ def _trainer(op: QualityModel):
 def fit(documents: DataFrame, labels: DataFrame, op: QualityModel = QualityModel()) -> np.ndarray:
     """Weights from ``documents`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1), the bias last.
 
-    Null labels and labels of absent documents teach nothing; a doc_id labelled twice teaches its larger label. Without any
-    label all weights are zero and every score is 0.5.
+    Null labels and labels of absent documents teach nothing; a doc_id labelled twice teaches its larger label, one of
+    several rows its least text. Without any label all weights are zero and every score is 0.5.
     """
     small_batches(documents.sparkSession)
     chosen = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = min(1.0, op.max_rows / max(1, chosen.count()))
     sample = chosen.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = documents.select("doc_id", "text").join(sample, "doc_id").select("text", "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(op.shards)).alias("shard"))
+    # ``max_rows`` bounds the sample, so it goes to the texts instead of all texts to it.
+    # A doc_id that very many rows share is one row of the sample.
+    once = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    rows = once.select("text", "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(op.shards)).alias("shard"))
     models = rows.repartition(op.shards, "shard").select("text", "label").mapInArrow(_trainer(op), "slot bigint, weight double")
     weights = np.zeros((1 << op.bits) + 1)
-    summed = models.groupBy("slot").agg(F.sum("weight").alias("weight")).where("abs(weight) > 1e-9").collect()
-    for slot, weight in summed:
-        weights[slot] = weight
-    return weights / op.shards
+    summed = dict(models.groupBy("slot").agg(F.sum("weight").alias("weight")).where("abs(weight) > 1e-9").collect())
+    taught = summed.pop(-1, 1.0)
+    weights[list(summed)] = list(summed.values())
+    return weights / taught
 
 
 def score(documents: DataFrame, weights: np.ndarray, op: QualityModel = QualityModel()) -> DataFrame:
     """``(doc_id, score)`` for each row; null and empty texts get the bias alone. Repeated rows get equal scores."""
     small_batches(documents.sparkSession)
-    held = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    held = documents.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value
