@@ -127,6 +127,10 @@ def _joined(left: Matrix, right: Matrix, n_left: int, n_right: int) -> Matrix:
     return found
 
 
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+
 # --- segments ------------------------------------------------------------------------------------------------------------
 
 _SEGMENT = (
@@ -135,37 +139,43 @@ _SEGMENT = (
 )
 
 
-def _segmenter(op: ChatRepair):
-    kinds = [
-        pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()),
-        pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.binary()),
-    ]
+_SEGMENT_ARROW = [
+    ("key", pa.string()), ("conv_id", pa.int64()), ("seg", pa.int64()), ("opens", pa.bool_()), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())),
+    ("texts", pa.list_(pa.string())), ("blank", pa.list_(pa.bool_())), ("truncated", pa.list_(pa.bool_())), ("digests", pa.list_(pa.binary())),
+]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 24
-        held, size, opens, before = [], 0, False, None
 
-        def segment() -> pa.RecordBatch:
-            shown = [t.strip(_SPACE) for _, _, _, _, t in held]
-            digests = [hashlib.blake2b(f"{len(r)}:{r}{t}".encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, _, r, t in held]
-            row = [
-                held[0][0], held[0][1], number, opens, [r[2] for r in held], [r[3] for r in held], [r[4] for r in held],
-                [not t for t in shown], [t[-1:] not in (".", "!", "?") for t in shown], digests,
-            ]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in _SEGMENT.split(", ")])
+def _segment(number: int, opens: bool, held: list[tuple]) -> tuple:
+    shown = [t.strip(_SPACE) for _, _, _, _, t in held]
+    digests = [hashlib.blake2b(f"{len(r)}:{r}{t}".encode("utf-8", "surrogatepass"), digest_size=16).digest() for _, _, _, r, t in held]
+    return (
+        held[0][0], held[0][1], number, opens, [r[2] for r in held], [r[3] for r in held], [r[4] for r in held],
+        [not t for t in shown], [t[-1:] not in (".", "!", "?") for t in shown], digests,
+    )
 
+
+def _segmenter(op: ChatRepair):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held, size, opens, before, done, waiting = [], 0, False, None, [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "conv_id", "turn", "role", "text"))):
                 if held and (held[0][0] != row[0] or len(held) == op.segment_rows or size + len(row[4]) > op.segment_bytes):
-                    yield segment()
+                    done.append(_segment(number, opens, held))
+                    waiting += size
                     before, held, size, number = held[0][0], [], 0, number + 1
+                    if len(done) == 200 or waiting > op.segment_bytes:
+                        yield _batch(done, _SEGMENT_ARROW)
+                        done, waiting = [], 0
                 if not held:
                     # Whether the first segment of a task opens its conversation is not known there.
                     opens = before is not None and before != row[0]
                 held.append(row)
                 size += len(row[4])
         if held:
-            yield segment()
+            done.append(_segment(number, opens, held))
+        if done:
+            yield _batch(done, _SEGMENT_ARROW)
 
     return run
 
@@ -230,10 +240,10 @@ _SUMMARY = (
 _FIELDS = [name for name, _ in _SUMMARY_ARROW]
 
 
-def _as_row(key: str, conv_id: int | None, seg: int, s: _Summary) -> pa.RecordBatch:
+def _as_row(key: str, conv_id: int | None, seg: int, s: _Summary) -> tuple:
     weights = [{"a": a, "b": b, "weight": w.to_bytes((w.bit_length() + 7) // 8, "big")} for (a, b), w in s.matrix.items()]
-    row = [key, conv_id, seg, s.rows, s.blank, s.duplicate, s.truncated, s.illegal, s.initials, s.turns and list(s.turns), weights, [{"seg": p, "rows": n} for p, n in s.parts]]
-    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, (_, kind) in zip(row, _SUMMARY_ARROW)], _FIELDS)
+    parts = [{"seg": p, "rows": n} for p, n in s.parts]
+    return key, conv_id, seg, s.rows, s.blank, s.duplicate, s.truncated, s.illegal, s.initials, s.turns and list(s.turns), weights, parts
 
 
 def _from_row(row: dict) -> _Summary:
@@ -247,6 +257,7 @@ def _summarizer(op: ChatRepair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
+            rows = []
             for row in batch.to_pylist():
                 again = set(row["again"] or ())
                 initials = "".join(r[0] if r[:1] in ("s", "u", "a") else "-" for r in row["initials"])
@@ -260,7 +271,9 @@ def _summarizer(op: ChatRepair):
                     (turns[0], turns[-1], len(set(turns))) if turns else None,
                     _least_weights(facts, (0,) if row["opens"] else (0, 1, 2, 3), op, known), [(row["seg"], len(facts))],
                 )
-                yield _as_row(row["key"], row["conv_id"], row["seg"], summary)
+                rows.append(_as_row(row["key"], row["conv_id"], row["seg"], summary))
+            if rows:
+                yield _batch(rows, _SUMMARY_ARROW)
 
     return run
 
@@ -271,7 +284,7 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for member in row["members"]:
                 total = _from_row(member) if total is None else total.then(_from_row(member))
-            yield _as_row(row["key"], row["members"][0]["conv_id"], row["members"][0]["seg"], total)
+            yield _batch([_as_row(row["key"], row["members"][0]["conv_id"], row["members"][0]["seg"], total)], _SUMMARY_ARROW)
 
 
 def _by_conversation(summaries: DataFrame, op: ChatRepair) -> DataFrame:
@@ -323,6 +336,7 @@ def _decided(s: _Summary, op: ChatRepair) -> tuple[int, list[str]]:
 def _decider(op: ChatRepair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for row in batch.to_pylist():
                 s = _from_row(row)
                 cost, fields = _decided(s, op)
@@ -334,20 +348,23 @@ def _decider(op: ChatRepair):
                         state = _moved(state, letters, initial)
                     at += n
                 gaps = s.turns[1] - s.turns[0] + 1 - s.turns[2] if s.turns else 0
-                values = [row["conv_id"], gaps, s.blank, s.duplicate, s.truncated, s.illegal, cost, "".join(fields), len(plan), plan]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], kind) for v, (_, kind) in zip(values, _DECIDED_ARROW)], [c for c, _ in _DECIDED_ARROW]
-                )
+                rows.append((row["conv_id"], gaps, s.blank, s.duplicate, s.truncated, s.illegal, cost, "".join(fields), len(plan), plan))
+            if rows:
+                yield _batch(rows, _DECIDED_ARROW)
 
     return run
 
 
 _REPAIRED = "conv_id bigint, part bigint, n_parts bigint, turns array<struct<edit:string,role:string,text:string>>"
-_TURNS_ARROW = pa.list_(pa.struct([("edit", pa.string()), ("role", pa.string()), ("text", pa.string())]))
+_REPAIRED_ARROW = [
+    ("conv_id", pa.int64()), ("part", pa.int64()), ("n_parts", pa.int64()),
+    ("turns", pa.list_(pa.struct([("edit", pa.string()), ("role", pa.string()), ("text", pa.string())]))),
+]
 
 
 def _renderer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        done = []
         for row in batch.to_pylist():
             state, turns = row["state"], []
             rows = [*zip(row["roles"], row["texts"]), ("", "")]  # the end of the conversation has inserts only
@@ -358,10 +375,9 @@ def _renderer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     now = role if letter == "K" else _ROLE[_NEXT[state]]
                     turns.append({"edit": letter, "role": now, "text": "" if letter == "I" else text})
                     state = _moved(state, letter, now[:1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["conv_id"]], pa.int64()), pa.array([row["part"]], pa.int64()), pa.array([row["n_parts"]], pa.int64()), pa.array([turns], _TURNS_ARROW)],
-                [c.split()[0] for c in _REPAIRED.split(", ")[:4]],
-            )
+            done.append((row["conv_id"], row["part"], row["n_parts"], turns))
+        if done:
+            yield _batch(done, _REPAIRED_ARROW)
 
 
 def repair(conversations: DataFrame, op: ChatRepair = ChatRepair()) -> Repair:
