@@ -1,28 +1,32 @@
 """Main text of web pages by deduction of the template that pages of one host share.
 
-1. A page is read into tokens: a tag by its path of open elements (with class, id and role), a word of text by its path and itself. Per page
-   every token has a number of occurrences.
+1. A page is read into tokens: each tag by its path of open elements (with class, id and role), each text block by its path and words.
+   Per page every token has a number of occurrences.
 2. Over the pages of a host a token's occurrence vector says how often each page has it. Tokens with one vector form an
    equivalence class. Vectors are as long as a host has pages, so they are compared by a sum of hashes of (page, count), which Spark
    adds up before the shuffle: a host with a third of all pages costs each task its distinct tokens.
 3. A class is valid if it is frequent (in at least ``support`` of the host's pages) and its tokens occur equally often in each, once or more.
-   Valid classes nest by the paths of their tags: a class whose tags lie below another's is inside one of its slots. Together they are the
-   host's template. What the template fixes is no content: its words (fixed strings), and the slots of its boilerplate elements.
-4. What is left between template tokens is content. If the template has a main slot (``article`` or ``main``, or else the body), the
-   text blocks of a page inside it are extracted, without boilerplate elements at any depth.
-
-A host with few pages has no frequent class; its pages then follow the same element rules without a template.
+   Valid classes nest: a class lies in the slot of the class that has the deepest tag around all its own tags. Together they
+   are the host's template; what stands between its tags is in its slots.
+4. Of the slots, one is followed down from the page's root as long as it holds most of the words that vary: the main slot. On pages with
+   ``article`` or ``main`` these are it. What is left in it after removing the template's own blocks is the page's text: blocks that a host repeats on
+   (nearly) every page are no content, in articles and outside.
+
+Element rules (scripts, menus, forms, marked adverts and comments) hold in every page; on hosts with few pages, which have no frequent
+class, they decide alone.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,22 +37,25 @@ from tasksieve.llm.url_links import host_of
 
 @dataclass(frozen=True)
 class TemplateDeduction:
-    """min_pages: fewest pages of a host with a template; support: least share of them that has a class's tokens; templates of all
-    hosts up to broadcast_bytes are sent to every task."""
+    """min_pages: fewest pages of a host with a template; support: least share of them that has a class's tokens; main_share: of the varying
+    words that the main slot holds; repeats: pages a host must have for repeated blocks within an article to go (headings stay, and a
+    page's text keeps at least half its words); templates of all hosts up to broadcast_bytes are sent to every task."""
 
     min_pages: int = 3
     support: float = 0.9
+    main_share: float = 0.6
+    repeats: int = 8
     broadcast_bytes: int = 16 << 20
 
 
 #: Elements whose content is never main text.
-_NEVER = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map head title nav footer aside form "
+_NEVER = frozenset("script style noscript template svg iframe object embed applet canvas audio video map head title nav footer aside form "
                    "button select option textarea input label fieldset dialog menu".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
 #: Elements that stand in a line of text; all others begin and end a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike "
-                    "strong sub sup time tt u var wbr".split())
+                    "strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt msup msub msubsup".split())
 #: Words of class, id or role that mark boilerplate.
 _MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu menubar "
@@ -57,9 +64,13 @@ _MARKS = frozenset(
     "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations trending "
     "copyright legal disclaimer skip hidden noprint".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))|([^\s=/>\"']+)", re.S)
-_SPACE = re.compile(r"\s+")
+#: A quote opens a value only behind "="; elsewhere it is an ordinary character.
+_VALUE = r"""=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s"'>][^\s>]*)?"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{_VALUE})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+))|([^\s=/>]+)""", re.S)
+#: Words of layout that a marked name can hold besides.
+_LAYOUT = frozenset("site main top bottom left right global primary secondary container wrapper wrap box block inner outer area section bar list item items "
+                    "link links icon icons button buttons panel column col row group holder first last left right".split())
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: An end tag or a start tag of these closes an open element of the listed kinds.
 _CLOSES = {
@@ -68,26 +79,42 @@ _CLOSES = {
 _CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
-@dataclass
-class _Open:
+#: Ids of comment sections, in articles too, where other ids are often made of headings.
+_COMMENT_IDS = frozenset("comments respond comment-list commentlist comment-section disqus_thread".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Deeper elements are read as the others but are no tokens; longer labels are cut.
+_DEEPEST, _LONGEST = 64, 200
+
+
+class _Open(NamedTuple):
+    """An open element: its path as a template has it (None if too deep), the path of its outermost article or main element."""
+
     name: str
-    path: tuple[str, ...]
+    path: str | None
+    depth: int
+    main: str | None
     boilerplate: bool
+    never: bool
+    heading: bool
+
+
+_OUTSIDE = _Open("", "", 0, None, False, False, False)
 
 
 @dataclass
 class Page:
-    """Text pieces as (place of the block, path, text, below boilerplate), tag paths with counts."""
+    """Text pieces as (place of the block, innermost element, text), tag paths with counts."""
 
-    texts: list[tuple[int, tuple[str, ...], str, bool]] = field(default_factory=list)
+    texts: list[tuple[int, _Open, str]] = field(default_factory=list)
     tags: Counter = field(default_factory=Counter)
 
 
+@functools.lru_cache(maxsize=4096)
 def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
     """The element as the path has it, whether it is marked as boilerplate, and whether it is so inside main text too.
 
-    There ids are often made of headings and classes name what is the article's own: only attributes that hide, roles and class names of
-    nothing but marks count, and no ``header``.
+    Ids are often made of headings and classes name what is the article's own: only attributes that hide, and names of marks and words
+    of layout count; inside main text names of nothing but marks, no ``header``, and of ids those of comment sections alone.
     """
     found, marked, inside = [], False, False
     if attributes.strip():
@@ -96,151 +123,243 @@ def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
             value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
             if key in ("class", "id", "role"):
                 found.append(f"{key}={value}")
-                marked |= any(part.lower() in _MARKS for part in _NAME_PARTS.findall(value))
-                if marked and key != "id":
-                    names = ([p.lower() for p in _NAME_PARTS.findall(n)] for n in value.split())
-                    inside |= any(parts and parts != ["header"] and all(p in _MARKS for p in parts) for parts in names)
+                names = [[p.lower() for p in _NAME_PARTS.findall(n)] for n in value.split()]
+                telling = [parts for parts in names if any(p in _MARKS for p in parts) and all(p in _MARKS or p in _LAYOUT for p in parts)]
+                marked |= bool(telling)
+                if key == "id":
+                    inside |= value.strip().lower() in _COMMENT_IDS
+                else:
+                    inside |= any(parts != ["header"] and all(p in _MARKS for p in parts) for parts in telling)
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 marked = inside = True
-    return name + "".join(f"[{x}]" for x in found), marked, inside
+    return (name + "".join(f"[{x}]" for x in found))[:_LONGEST].replace("/", "%"), marked or inside, inside
+
 
+def read_page(source: str, forms: bool = False) -> Page:
+    """Tolerant of what pages do: unclosed and stray tags, cut off ends, tags inside scripts and comments.
 
-def read_page(source: str) -> Page:
-    """Tolerant of what pages do: unclosed and stray tags, cut off ends, tags inside scripts and comments."""
-    page, stack, block, at = Page(), [], 0, 0
+    ``forms``: forms hold text like other elements.
+    """
+    page, stack, names, alike, block, at = Page(), [], Counter(), {}, 0, 0
     while at < len(source):
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
-        path, dropped = (stack[-1].path, stack[-1].boilerplate) if stack else ((), False)
+        inner = stack[-1] if stack else _OUTSIDE
         if text:
-            page.texts.append((block, path, text, dropped))
+            page.texts.append((block, inner, text))
         if not m:
             break
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            page.texts.append((block, path, html.escape(m[0][9:].removesuffix("]]>"), quote=False), dropped))
+            page.texts.append((block, inner, html.escape(m[0][9:].removesuffix("]]>"), quote=False)))
         if m[2] is None:
             continue
         name = m[2].lower()
         if name == "br":
-            page.texts.append((block, path, " ", dropped))
+            page.texts.append((block, inner, " "))
         elif name not in _INLINE:
             block += 1
         if m[1]:
-            _close(stack, name)
+            _close(stack, names, name)
             continue
-        _close_implied(stack, name)
-        label, *marked = _label(name, m[3] or "")
-        path = (*(stack[-1].path if stack else ()), label)
-        page.tags["/".join(path)] += 1
+        _close_implied(stack, names, name)
+        attributes = m[3] or ""
+        inner = stack[-1] if stack else _OUTSIDE
+        # Elements that open alike in the same place are one object.
+        key = (id(inner), name, attributes)
+        opened = alike.get(key)
+        if opened is None:
+            opened = alike[key] = _opened(inner, name, attributes, forms)
+        if opened.path is not None:
+            page.tags[opened.path] += 1
         if name in _RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(source, at)
             at = end.start() if end else len(source)
-        if name not in _VOID and not (m[3] or "").rstrip().endswith("/"):
-            stack.append(_Open(name, path, _is_boilerplate(stack, path, *marked)))
+        if name not in _VOID and not attributes.rstrip().endswith("/"):
+            stack.append(opened)
+            names[name] += 1
     return page
 
 
-def _close(stack: list[_Open], name: str) -> None:
+def _opened(above: _Open, name: str, attributes: str, forms: bool) -> _Open:
+    label, marked, inside = _label(name, attributes)
+    path = None if above.path is None or above.depth >= _DEEPEST else f"{above.path}/{label}" if above.depth else label
+    never = name in _NEVER and not (forms and name == "form")
+    outermost = above.main is None and (name in ("article", "main") or "[role=main]" in label)
+    if outermost and not inside:
+        # A wrapper with a telling class, or a form, may hold the whole page; only other elements that never hold main text keep it out.
+        # A telling id or part of a class decides in a marked wrapper only, as of a comment among comments.
+        boilerplate = above.never or name == "article" and marked and above.boilerplate
+    elif outermost or above.main is not None:
+        boilerplate = never or inside or above.boilerplate
+    else:
+        boilerplate = never or name == "header" or marked and name not in ("html", "body") or above.boilerplate
+    main = above.main if above.main is not None else (path or label) if outermost else None
+    return _Open(name, path, above.depth + 1, main, boilerplate, above.never or never and name != "form", above.heading or name in _HEADINGS)
+
+
+def _pop(stack: list[_Open], names: Counter, to: int) -> None:
+    for e in stack[to:]:
+        names[e.name] -= 1
+    del stack[to:]
+
+
+def _close(stack: list[_Open], names: Counter, name: str) -> None:
     """An end tag closes its element and what is open in it; a stray inline one closes nothing beyond a block."""
-    names = [e.name for e in stack]
-    if name in names:
-        last = len(names) - 1 - names[::-1].index(name)
-        if name not in _INLINE or all(n in _INLINE for n in names[last + 1 :]):
-            del stack[last:]
+    if names[name] <= 0:
+        return
+    k = len(stack) - 1
+    while stack[k].name != name:
+        if name in _INLINE and stack[k].name not in _INLINE:
+            return
+        k -= 1
+    _pop(stack, names, k)
 
 
-def _close_implied(stack: list[_Open], name: str) -> None:
+def _close_implied(stack: list[_Open], names: Counter, name: str) -> None:
     """A start tag ends the paragraph, item or cell before it; inline elements left open do not keep those open."""
     ended = _CLOSES.get(name, ()) + (("p",) if name in _CLOSE_P else ())
     k = len(stack)
-    while k and ended and (stack[k - 1].name in _INLINE or stack[k - 1].name in ended):
+    while k and any(names[e] > 0 for e in ended) and (stack[k - 1].name in _INLINE or stack[k - 1].name in ended):
         k -= 1
         if stack[k].name in ended:
-            del stack[k:]
+            _pop(stack, names, k)
 
 
-def _is_boilerplate(stack: list[_Open], path: tuple[str, ...], marked: bool, marked_inside: bool) -> bool:
-    name, depth, above = path[-1].split("[")[0], _main_depth(path), bool(stack) and stack[-1].boilerplate
-    if depth == len(path) - 1 and not marked_inside:
-        # A wrapper with a telling class, or a form, may hold the whole page; only other elements that never hold main text keep it out.
-        # A telling id or part of a class decides in a marked wrapper only, as of a comment among comments.
-        return bool({e.name for e in stack} & (_NEVER - {"form"})) or name == "article" and marked and above
-    if depth >= 0:
-        return name in _NEVER or marked_inside or above
-    return name in _NEVER or name == "header" or marked and name not in ("html", "body") or above
+def _blocks(page: Page) -> list[tuple[_Open, str, list[tuple[_Open, str]]]]:
+    """The blocks in page order: innermost element of the first piece with text, the block's text, its pieces."""
+    found: dict[int, list[tuple[_Open, str]]] = {}
+    for block, inner, text in page.texts:
+        found.setdefault(block, []).append((inner, text))
+    rows = []
+    for _, pieces in sorted(found.items()):
+        text = _joined(pieces)
+        if text:
+            rows.append((next(e for e, t in pieces if t.strip()), text, pieces))
+    return rows
 
 
-def token_counts(page: Page) -> Counter:
-    """Occurrences of the page's tokens: tag paths, and words outside the main slot with their paths (fixed strings lie there)."""
-    counts = Counter({f"<{path}": n for path, n in page.tags.items()})
-    outside: dict[tuple[str, ...], bool] = {}
-    for _, path, text, _ in page.texts:
-        if path not in outside:
-            outside[path] = _main_depth(path) < 0
-        if outside[path]:
-            at = "/".join(path)
-            counts.update(f"={at}|{w}" for w in html.unescape(text).split())
-    return counts
+def _joined(pieces: list[tuple[_Open, str]]) -> str:
+    text = "".join([t for _, t in pieces])
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def _main_depth(path: tuple[str, ...]) -> int:
-    """Depth of the outermost article or main element, -1 without."""
-    return next((i for i, label in enumerate(path) if label.split("[")[0] in ("article", "main") or "[role=main]" in label), -1)
+def _part(blocks: list[tuple], wanted: Callable[[_Open], bool]) -> list[tuple]:
+    """The blocks' pieces in the elements wanted; blocks without text there go."""
+    found = []
+    for inner, text, pieces in blocks:
+        own = [x for x in pieces if wanted(x[0])]
+        if len(own) < len(pieces):
+            text = _joined(own) if own else ""
+        if text:
+            found.append((inner, text, own))
+    return found
 
 
-@dataclass
+def _block_token(inner: _Open, text: str) -> str:
+    """A block as a token: the path of its element and its words, or their digest if they are long."""
+    return f"={inner.path or '...'}|{text if len(text) <= 80 else hashlib.md5(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
+def token_counts(page: Page) -> tuple[Counter, Counter]:
+    """Occurrences of the page's tokens, tags and blocks, and the numbers of words that its elements hold themselves."""
+    counts, words = Counter({f"<{path}": n for path, n in page.tags.items()}), Counter()
+    for inner, text, pieces in _blocks(page):
+        counts[_block_token(inner, text)] += 1
+        for e, t in pieces:
+            if e.path and not e.boilerplate and t.strip():
+                words[f"#{e.path}"] += len(t.split())
+    return counts, words
+
+
+def _above(path: str):
+    """The path and those of the elements around it, from the inside out."""
+    while path:
+        yield path
+        path = path.rpartition("/")[0]
+
+
+@dataclass(frozen=True)
 class Template:
-    """Nested valid classes of a host: each a set of tag paths and fixed words (as path|word), with the class it lies in (-1: none)."""
-
-    classes: tuple[frozenset[str], ...] = ()
-    parents: tuple[int, ...] = ()
-
-    @staticmethod
-    def nested(classes: list[list[str]]) -> Template:
-        """A class lies in the class with the longest tag path that is a prefix of all its own tokens' paths."""
-        sets = sorted((frozenset(c) for c in classes), key=sorted)
-        owner = {t[1:]: k for k, c in enumerate(sets) for t in c if t[0] == "<"}
-        parents = []
-        for k, tokens in enumerate(sets):
-            paths = [t[1:] if t[0] == "<" else t[1 : t.index("|")] for t in tokens]
-            shared = paths[0].split("/")
-            for path in paths[1:]:
-                own = path.split("/")
-                shared = shared[: next((i for i, (a, b) in enumerate(zip(shared, own)) if a != b), min(len(shared), len(own)))]
-            above = ("/".join(shared[:n]) for n in range(len(shared), 0, -1))
-            parents.append(next((owner[p] for p in above if owner.get(p, k) != k), -1))
-        return Template(tuple(sets), tuple(parents))
-
-    def fixes(self, path: tuple[str, ...], word: str) -> bool:
-        token = f"={'/'.join(path)}|{word}"
-        return any(token in c for c in self.classes)
-
-    @functools.cached_property
-    def main_slots(self) -> frozenset[str]:
-        """Paths of the template's main elements: what they hold beside template tokens is the content slot."""
-        return frozenset(t[1:] for c in self.classes for t in c if t[0] == "<" and _main_depth(tuple(t[1:].split("/"))) == t.count("/"))
-
-
-def extract(page: Page, template: Template = Template()) -> str:
-    """The content blocks of the template's main slots, else of the page's own, else of its body; joined by newlines.
-
-    Boilerplate elements and, outside a main slot, pieces made of the template's fixed words alone are left out.
+    """A host's template: its fixed blocks, the paths of its tags, and the main slot: the tag that holds most of what varies ('': none)."""
+
+    fixed: frozenset[str] = frozenset()
+    main: str = ""
+    n_pages: int = 0
+
+
+def nested(classes: list[list[str]]) -> tuple[list[frozenset[str]], list[int]]:
+    """The classes, and for each the one it lies in (-1: none): the class with the deepest tag that is around all its own tokens."""
+    sets = sorted((frozenset(c) for c in classes), key=sorted)
+    owner = {t[1:]: k for k, c in enumerate(sets) for t in c if t[0] == "<"}
+    parents = []
+    for k, tokens in enumerate(sets):
+        paths = [t[1:] if t[0] == "<" else t[1 : t.index("|")] for t in tokens]
+        shared = paths[0].split("/")
+        for path in paths[1:]:
+            own = path.split("/")
+            shared = shared[: next((i for i, (a, b) in enumerate(zip(shared, own)) if a != b), min(len(shared), len(own)))]
+        parents.append(next((owner[p] for p in _above("/".join(shared)) if owner.get(p, k) != k), -1))
+    return sets, parents
+
+
+def main_slot(classes: list[list[str]], words: dict[str, int], share: float) -> str:
+    """The slot that most of the varying words are in, as the path of the template's tag around it.
+
+    From the outermost classes on, the slot of the nested class that holds ``share`` of the words of the one before is entered;
+    ``words`` are those of elements, less those of the classes' own blocks.
     """
-    shown = [(block, path, text) for block, path, text, dropped in page.texts if not dropped]
-    depths = {path: _main_depth(path) for _, path, _ in shown}
-    within = [x for x in shown if depths[x[1]] >= 0]
-    slots = template.main_slots
-    inside = [x for x in within if "/".join(x[1][: depths[x[1]] + 1]) in slots] or within
-    blocks: dict[int, list[str]] = {}
-    for block, path, text in inside or shown:
-        if not inside and template.classes:
-            words = html.unescape(text).split()
-            if words and all(template.fixes(path, w) for w in words):
-                continue
-        blocks.setdefault(block, []).append(text)
-    lines = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for _, parts in sorted(blocks.items()))
-    return "\n".join(line for line in lines if line)
+    sets, parents = nested(classes)
+    tags = {t[1:]: k for k, c in enumerate(sets) for t in c if t[0] == "<"}
+    volume: Counter = Counter()
+    for path, n in words.items():
+        for p in _above(path):
+            if p in tags:
+                volume[p] += n
+    if not volume:
+        return ""
+
+    def depth(k: int) -> int:
+        n = 0
+        while parents[k] >= 0:
+            k, n = parents[k], n + 1
+        return n
+
+    now, total = "", max(volume.values())
+    for path in sorted(volume, key=lambda p: (p.count("/"), depth(tags[p]))):
+        if (not now or path.startswith(f"{now}/")) and volume[path] >= share * total:
+            now, total = path, volume[path]
+    return now
+
+
+def _template_of(n_pages: int, classes: list[list[str]], words: dict[str, int], op: TemplateDeduction) -> dict:
+    """A template as JSON has it. The words of fixed blocks are the template's and vary with no page."""
+    fixed = sorted({t for c in classes for t in c if t[0] == "="})
+    varying = dict(words)
+    for token in fixed:
+        path, _, text = token[1:].partition("|")
+        if path in varying:
+            varying[path] -= n_pages * len(text.split())
+    main = main_slot(classes, {p: n for p, n in varying.items() if n > 0}, op.main_share)
+    return {"fixed": fixed, "main": main, "n_pages": n_pages}
+
+
+def extract(page: Page, template: Template = Template(), op: TemplateDeduction = TemplateDeduction()) -> str:
+    """The blocks of the page's articles, else of the template's main slot, else of its body, less what the template fixes; joined by newlines."""
+    shown = _part(_blocks(page), lambda e: not e.boilerplate)
+    inside = _part(shown, lambda e: e.main is not None)
+    if inside:
+        shown = inside
+    elif template.main:
+        shown = _part(shown, lambda e: e.path is not None and (e.path == template.main or e.path.startswith(f"{template.main}/"))) or shown
+    lines = [(text, _block_token(e, text) in template.fixed, e.heading) for e, text, _ in shown]
+    size = sum(len(line) for line, *_ in lines)
+    repeated = sum(len(line) for line, fixed, _ in lines if fixed)
+    if inside:
+        # What an article shares with all others of its host by chance, as a heading, stays its own.
+        drop = template.n_pages >= op.repeats and 2 * repeated < size
+        return "\n".join(line for line, fixed, heading in lines if not (drop and fixed and not heading))
+    return "\n".join(line for line, fixed, _ in lines if not (fixed and repeated < size))
 
 
 _VECTOR = "host string, token string, pages bigint, total bigint, least bigint, most bigint, sum_high bigint, sum_low bigint"
@@ -252,7 +371,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[tuple[str, str], list[int]] = {}
         for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "html"))):
-            for token, n in token_counts(read_page(source or "")).items():
+            counts, words = token_counts(read_page(source or ""))
+            for token, n in [*counts.items(), *words.items()]:
                 hashed = (key ^ n * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
                 hashed ^= hashed >> 31
                 old = found.setdefault((host, token), [0, 0, n, n, 0, 0])
@@ -262,7 +382,9 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, op: TemplateDeduction = TemplateDeduction()) -> DataFrame:
-    """``(host, n_pages, classes)`` of hosts with at least ``min_pages`` pages: the valid frequent equivalence classes."""
+    """``(host, n_pages, classes, words)`` of hosts with at least ``min_pages`` pages: the valid frequent equivalence classes, and the
+    words of the elements in at least a tenth of the pages.
+    """
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("key"), "html")
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= op.min_pages)
     parts = rows.mapInArrow(_vectors, _VECTOR)
@@ -270,10 +392,32 @@ def templates(pages: DataFrame, op: TemplateDeduction = TemplateDeduction()) ->
         F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.sum("sum_high").alias("sum_high"), F.sum("sum_low").alias("sum_low"),
     )
-    valid = vectors.where("least = most").join(sizes, "host").where(F.col("pages") >= op.support * F.col("n_pages"))
-    # A frequent class has no more tokens than a page, and a host at most 1 / support times as many in all classes.
-    classes = valid.groupBy("host", "n_pages", "pages", "total", "sum_high", "sum_low").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    return classes.groupBy("host", "n_pages").agg(F.array_sort(F.collect_list("tokens")).alias("classes"))
+    word = F.col("token").startswith("#")
+    # What only a few pages have is frequent nowhere: most blocks are left out before a host's tokens come together.
+    repeated = vectors.where(word | ((F.col("least") == F.col("most")) & (F.col("pages") >= op.support * op.min_pages)))
+    frequent = repeated.join(sizes, "host").where(
+        (word & (F.col("pages") >= 0.1 * F.col("n_pages"))) | (~word & (F.col("pages") >= op.support * F.col("n_pages")))
+    )
+    # A frequent class has no more tokens than a page, and a host at most 1 / support times as many in all classes; of elements with words
+    # it has at most ten times as many as a page.
+    classes = frequent.groupBy("host", "n_pages", word.alias("word"), *[F.when(~word, F.col(c)).alias(c) for c in ("pages", "total", "sum_high", "sum_low")]).agg(
+        F.array_sort(F.collect_list(F.struct("token", F.col("total").alias("n")))).alias("tokens")
+    )
+    return classes.groupBy("host", "n_pages").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("word"), F.col("tokens.token")))).alias("classes"), F.first(F.when(F.col("word"), F.col("tokens")), ignorenulls=True).alias("words"),
+    )
+
+
+def _deducer(op: TemplateDeduction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [
+                json.dumps(_template_of(n, classes, {w["token"][1:]: w["n"] for w in words or ()}, op))
+                for n, classes, words in zip(*(batch.column(c).to_pylist() for c in ("n_pages", "classes", "words")))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(made, pa.string())], ["host", "template"])
+
+    return run
 
 
 _MADE: dict[str, Template] = {}
@@ -285,28 +429,37 @@ def _template(made: str | None) -> Template:
     if made not in _MADE:
         if len(_MADE) > 1000:
             _MADE.clear()
-        _MADE[made] = Template.nested(json.loads(made))
+        found = json.loads(made)
+        _MADE[made] = Template(frozenset(found["fixed"]), found["main"], found["n_pages"])
     return _MADE[made]
 
 
-def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [extract(read_page(h or ""), _template(t)) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())]
-        yield pa.RecordBatch.from_arrays([
-            batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())
-        ], ["page_id", "url", "text", "n_chars"])
+def page_text(source: str, template: Template = Template(), op: TemplateDeduction = TemplateDeduction()) -> str:
+    """The main text of one page; where a form holds everything, forms are read as other elements."""
+    return extract(read_page(source), template, op) or ("<form" in source.lower() and extract(read_page(source, forms=True), template, op)) or ""
+
+
+def _extractor(op: TemplateDeduction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [page_text(h or "", _template(t), op) for h, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())
+            ], ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def main_text(pages: DataFrame, op: TemplateDeduction = TemplateDeduction()) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text. Pages with a null url or one without host share the host ''. Repeated rows are extracted
-    each and count as pages of their host; other columns are not read.
+    each and count as pages of their host (what would take most of a text away is not dropped); other columns are not read.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    made = stored(templates(rows, op).select("host", F.to_json("classes").alias("template")), "templates")
+    made = stored(templates(rows, op).mapInArrow(_deducer(op), "host string, template string"), "templates")
     size = made.agg(F.coalesce(F.sum(F.octet_length("template")), F.lit(0))).first()[0]
     # The texts stay where they are if the templates are small; else both sides are shuffled by host and hot hosts split.
     joined = rows.withColumn("host", host_of(F.col("url"))).join(F.broadcast(made) if size <= op.broadcast_bytes else made, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(_extractor, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "template").mapInArrow(_extractor(op), "page_id bigint, url string, text string, n_chars bigint")
