@@ -1,8 +1,8 @@
 """Logged conversations that are prefixes of longer ones are dropped; the others are rendered with a chat template.
 
 Every turn gets its place in its conversation and a hash of all turns up to it: the exclusive-or of the 128-bit hashes of (place, role, text).
-Places and hashes are running values over blocks of a conversation's turns, then over the blocks' totals, so that one huge conversation
-is spread over many tasks. A conversation is kept if no longer one has its last hash at the same place (an anti-join against the
+Places and hashes are running values over blocks of a conversation's turns, then over the blocks' totals. Blocks are cut by rank, from a
+range partitioning over all turns, so that one huge conversation is spread over many tasks however its turns are numbered. A conversation is kept if no longer one has its last hash at the same place (an anti-join against the
 distinct hashes before a last turn); of equal conversations the one with the smallest id is kept.
 """
 
@@ -17,13 +17,13 @@ from tasksieve.llm.stored import stored
 
 @dataclass(frozen=True)
 class ChatFormat:
-    """Strings around a turn; turns a rendered part holds; turn numbers a block spans."""
+    """Strings around a turn; turns a rendered part holds; ranges all turns are cut into (0: the session's number of shuffle partitions)."""
 
     before_role: str = "<|im_start|>"
     after_role: str = "\n"
     after_text: str = "<|im_end|>\n"
     part_turns: int = 256
-    block_turns: int = 4096
+    ranges: int = 0
 
 
 def _halves(*columns: str) -> tuple[Column, Column]:
@@ -40,9 +40,11 @@ def placed_turns(conversations: DataFrame, op: ChatFormat = ChatFormat()) -> Dat
     rows = conversations.select(
         "conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n")).alias("key"),
         F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    ).distinct().withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / op.block_turns))
-    # A null turn comes first, also before negative numbers.
-    rows = rows.withColumn("block", F.when(F.col("turn").isNull(), F.lit(-(2**62))).otherwise(F.col("block")))
+    ).distinct()
+    # Distinct turns differ in some column, so a range can end anywhere in a conversation. Null turns come first.
+    order = ("key", "turn", "role", "text")
+    ranged = rows.repartitionByRange(op.ranges, *order) if op.ranges else rows.repartitionByRange(*order)
+    rows = stored(ranged.withColumn("block", F.spark_partition_id()), "ranged-turns")
     local = Window.partitionBy("key", "block").orderBy("turn", "role", "text")
     sizes = rows.groupBy("key", "block").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
