@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.llm.chunks import keyed, long_rows, overlapping, short_rows, slices, widened
-from tasksieve.llm.stored import pieces, small_batches
+from tasksieve.llm.stored import pieces, small_batches, tidy
 
 _IDS = "doc_id bigint, ids array<int>"
 
@@ -82,7 +82,7 @@ def _finder(op: ByteBpe, overlap: int):
 
 def _stitched(rows: DataFrame, overlap: int, op: ByteBpe) -> DataFrame:
     found = overlapping(rows, op.chunk, overlap).mapInArrow(
-        _finder(op, overlap), "doc_id bigint, digest string, part int, head array<bigint>, tail array<bigint>"
+        tidy(_finder(op, overlap)), "doc_id bigint, digest string, part int, head array<bigint>, tail array<bigint>"
     )
     once = found.groupBy("doc_id", "digest", "part").agg(F.first(F.struct("head", "tail")).alias("found"))
     whole = once.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("part", "found.head", "found.tail"))).alias("parts"))
@@ -111,13 +111,13 @@ def encode(documents: DataFrame, op: ByteBpe) -> DataFrame:
     """
     small_batches(documents.sparkSession)
     rows = keyed(documents)
-    short = short_rows(rows, op.chunk).mapInArrow(_encoder(op, "doc_id"), _IDS)
+    short = short_rows(rows, op.chunk).mapInArrow(tidy(_encoder(op, "doc_id")), _IDS)
     large = long_rows(rows, op.chunk)
     stitched = widened(large, op.overlap, lambda some, overlap: _stitched(some, overlap, op))
     cuts = stitched.select(F.col("doc_id").alias("id"), F.col("digest").alias("sum"), "cuts")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sum"))
     encoded = slices(large.join(cuts, same)).mapInArrow(
-        _encoder(op, "doc_id", "digest", "part"), "doc_id bigint, digest string, part int, ids array<int>"
+        tidy(_encoder(op, "doc_id", "digest", "part")), "doc_id bigint, digest string, part int, ids array<int>"
     )
     once = encoded.groupBy("doc_id", "digest", "part").agg(F.first("ids").alias("ids"))
     whole = once.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
@@ -137,7 +137,7 @@ def decode(rows: DataFrame, op: ByteBpe) -> DataFrame:
             found = [decode_ids(np.asarray(x or (), np.int64), op) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "bytes"])
 
-    return small_batches(rows.sparkSession) and rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, bytes binary")
+    return small_batches(rows.sparkSession) and rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, bytes binary")
 
 
 def digests(rows: DataFrame, op: ByteBpe, keep_ids: bool = False) -> DataFrame:
@@ -160,5 +160,5 @@ def digests(rows: DataFrame, op: ByteBpe, keep_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return rows.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
-        run, schema
+        tidy(run), schema
     )

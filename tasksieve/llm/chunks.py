@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasksieve.llm.stored import stored
+from tasksieve.llm.stored import stored, tidy
 
 _CHUNK = "doc_id bigint, digest string, n_chars bigint, part int, start bigint, text string"
 
@@ -48,7 +48,7 @@ def overlapping(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     at = part * chunk
                     yield _columns([(doc_id, digest, len(text), part, at, text[at : at + chunk + overlap])], _KINDS)
 
-    return rows.mapInArrow(run, _CHUNK).repartition("doc_id", "digest", "part")
+    return rows.mapInArrow(tidy(run), _CHUNK).repartition("doc_id", "digest", "part")
 
 
 def slices(rows: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def slices(rows: DataFrame) -> DataFrame:
                 for part, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(text)])):
                     yield _columns([(doc_id, digest, len(text), part, a, text[a:b])], _KINDS)
 
-    return rows.select("doc_id", "text", "digest", "cuts").mapInArrow(run, _CHUNK).repartition("doc_id", "digest", "part")
+    return rows.select("doc_id", "text", "digest", "cuts").mapInArrow(tidy(run), _CHUNK).repartition("doc_id", "digest", "part")
 
 
 def widened(rows: DataFrame, overlap: int, attempt: Callable[[DataFrame, int], DataFrame]) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasksieve.llm.stored import small_batches
+from tasksieve.llm.stored import small_batches, tidy
 from tasksieve.llm.words import ALNUM, LOWER, find_words, text_bytes
 
 #: One byte string per step: lower-case and turn every separator into a space.
@@ -59,7 +59,7 @@ def windows(benchmark: DataFrame, op: Decontamination) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["item_id", "window"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return items.mapInArrow(tidy(run), "item_id string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 _BUILT: dict[str, tuple[dict[bytes, int], ahocorasick.Automaton]] = {}
@@ -124,7 +124,7 @@ def _scanner(held, key: str):
 def _scan(rows: DataFrame, shard: list) -> DataFrame:
     patterns = [(r["window"], tuple(r["items"])) for r in shard]
     key = hashlib.sha256("\n".join(sorted(w + ",".join(i) for w, i in patterns)).encode("utf-8", "surrogatepass")).hexdigest()
-    return rows.mapInArrow(_scanner(rows.sparkSession.sparkContext.broadcast(patterns), key), _FOUND)
+    return rows.mapInArrow(tidy(_scanner(rows.sparkSession.sparkContext.broadcast(patterns), key)), _FOUND)
 
 
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, op: Decontamination = Decontamination()) -> DataFrame:

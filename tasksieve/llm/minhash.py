@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tasksieve.llm.components import connected_components
 from tasksieve.llm.idfilter import id_filter, passes, place
-from tasksieve.llm.stored import small_batches, stored
+from tasksieve.llm.stored import small_batches, stored, tidy
 from tasksieve.llm.words import find_words, mix, shingle_sets
 
 _U = np.uint64
@@ -125,7 +125,7 @@ def _full_sets(rows: DataFrame, pairs: DataFrame, op: NearDedup) -> DataFrame:
     """Sets of the documents in pairs, and of a few more; one for each doc_id."""
     wanted = id_filter(pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))), "doc_id")
     placed = rows.where("doc_id IS NOT NULL").select("doc_id", "text", place("doc_id").alias("place"))
-    return stored(placed.mapInArrow(_sets(op.shingle, wanted), "doc_id bigint, elements array<bigint>"), "sets")
+    return stored(placed.mapInArrow(tidy(_sets(op.shingle, wanted)), "doc_id bigint, elements array<bigint>"), "sets")
 
 
 def _possible(op: NearDedup) -> Column:
@@ -182,7 +182,7 @@ def near_duplicates(documents: DataFrame, op: NearDedup = NearDedup()) -> DataFr
     """
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stored(rows.mapInArrow(_sketches(op), _SKETCH), "sketches")
+    sketches = stored(rows.mapInArrow(tidy(_sketches(op)), _SKETCH), "sketches")
     identity = ["n_shingles", "set_sum", "set_xor"]
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy(*identity).agg(F.min("doc_id").alias("rep")), "classes")

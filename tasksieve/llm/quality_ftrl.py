@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tasksieve.llm.stored import pieces, small_batches
+from tasksieve.llm.stored import pieces, small_batches, tidy
 from tasksieve.llm.words import SAME, WORDS_AND_MARKS, Words, find_words, mix
 
 _U = np.uint64
@@ -132,7 +132,7 @@ def fit(documents: DataFrame, labels: DataFrame, op: QualityModel = QualityModel
     # A doc_id that very many rows share is one row of the sample.
     once = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     rows = once.select("text", "label", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(op.shards)).alias("shard"))
-    models = rows.repartition(op.shards, "shard").select("text", "label").mapInArrow(_trainer(op), "slot bigint, weight double")
+    models = rows.repartition(op.shards, "shard").select("text", "label").mapInArrow(tidy(_trainer(op)), "slot bigint, weight double")
     weights = np.zeros((1 << op.bits) + 1)
     summed = dict(models.groupBy("slot").agg(F.sum("weight").alias("weight")).where("abs(weight) > 1e-9").collect())
     taught = summed.pop(-1, 1.0)
@@ -154,7 +154,7 @@ def score(documents: DataFrame, weights: np.ndarray, op: QualityModel = QualityM
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, score double")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, score double")
 
 
 def held_out(column: str = "doc_id"):

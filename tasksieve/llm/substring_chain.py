@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tasksieve.llm.idfilter import id_filter, passes, place
-from tasksieve.llm.stored import small_batches, stored
+from tasksieve.llm.stored import small_batches, stored, tidy
 from tasksieve.llm.words import find_words, gram_hashes, mix
 
 _CHAIN = "doc_id bigint, source bigint, p array<int>, q array<int>"
@@ -48,7 +48,7 @@ class PassageDedup:
     max_gap: int = 48
     reach: int = 64
     bucket_seeds: int = 500_000
-    packed_seeds: int = 1 << 20
+    packed_seeds: int = 1 << 19
     hot_documents: int = 64
 
 
@@ -147,7 +147,7 @@ class _Layout:
 
 def _packer(op: PassageDedup, layout: _Layout):
     """Seeds sorted and packed by bucket. Those of many documents in one go are hot: their bucket gets the one of the smallest
-    doc_id, the occurrences of each travel apart as one row, to a bucket of the task's own."""
+    doc_id, the occurrences of each travel apart as one row, to any bucket beyond."""
 
     def flush(held: list[tuple], apart: int) -> Iterator[pa.RecordBatch]:
         hashes, ids, places = (np.concatenate(c) for c in zip(*held))
@@ -169,7 +169,7 @@ def _packer(op: PassageDedup, layout: _Layout):
         rows = [(int(bucket[a]), None, *_pack(*(c[a:b] for c in columns))) for a, b in zip(cuts, np.append(cuts[1:], len(bucket)))]
         for g in np.unique(group[hot]):
             a, b = starts[g], starts[g + 1] if g + 1 < len(starts) else len(hashes)
-            rows.append((layout.buckets + apart % layout.buckets, int(hashes[a]), *_pack(ids[a:b], places[a:b])))
+            rows.append((layout.buckets + (int(hashes[a]) + apart) % layout.buckets, int(hashes[a]), *_pack(ids[a:b], places[a:b])))
         yield _rows(rows, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,12 +255,12 @@ def _matches(named: DataFrame, op: PassageDedup) -> DataFrame:
     layout = _Layout.of(size, op)
     session = named.sparkSession
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), layout.buckets // 4)
-    packed = named.mapInArrow(_packer(op, layout), _PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    found = stored(packed.mapInArrow(_matcher, _MATCHES), "matches")
+    packed = named.mapInArrow(tidy(_packer(op, layout)), _PACKED).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = stored(packed.mapInArrow(tidy(_matcher), _MATCHES), "matches")
     anchors = found.where(F.col("kind") == _ANCHOR).select("seed", "source", "q")
     hot = found.where(F.col("kind") == _HOT).select("seed", "n", "payload").join(anchors, "seed")
     cold = found.where(F.col("kind") == _COLD).select("source", "q", "n", "payload")
-    return cold.unionByName(hot.select("source", "q", "n", "payload")).mapInArrow(_expand, "doc_id bigint, source bigint, pos int, q int")
+    return cold.unionByName(hot.select("source", "q", "n", "payload")).mapInArrow(tidy(_expand), "doc_id bigint, source bigint, pos int, q int")
 
 
 def chain(points: list[tuple[int, int]], max_gap: int) -> list[list[tuple[int, int]]]:
@@ -491,9 +491,9 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
     named = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     matches = _matches(named, op)
     grouped = matches.groupBy("doc_id").agg(F.collect_list(F.struct("source", "pos", "q")).alias("matches"))
-    chains = stored(grouped.mapInArrow(_chains(op), _CHAIN), "chains")
+    chains = stored(grouped.mapInArrow(tidy(_chains(op)), _CHAIN), "chains")
     involved = id_filter(chains.select("doc_id").unionByName(chains.select(F.col("source").alias("doc_id"))), "doc_id")
-    words = named.select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(_words(involved), "doc_id bigint, words array<int>")
+    words = named.select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(tidy(_words(involved)), "doc_id bigint, words array<int>")
 
     def reached(points: str, side: str) -> list:
         low = F.greatest(F.lit(0), F.get(points, F.lit(0)) - op.reach)
@@ -502,7 +502,7 @@ def repeated_passages(documents: DataFrame, op: PassageDedup = PassageDedup()) -
 
     own = chains.join(words, "doc_id").select("doc_id", "source", "p", "q", *reached("p", "x"))
     both = own.join(words.withColumnRenamed("doc_id", "source"), "source").select("doc_id", "source", "p", "q", "x_low", "x", *reached("q", "y"))
-    return both.mapInArrow(_aligner(op), _PASSAGE).distinct()
+    return both.mapInArrow(tidy(_aligner(op)), _PASSAGE).distinct()
 
 
 def without_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -530,4 +530,4 @@ def without_passages(documents: DataFrame, passages: DataFrame, key: str = "doc_
             columns = [pa.array(texts, pa.string()) if k == place_of else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return rows.mapInArrow(run, rows.drop("_cuts").schema)
+    return rows.mapInArrow(tidy(run), rows.drop("_cuts").schema)

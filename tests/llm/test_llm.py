@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import re
 import struct
 
 import numpy as np
+import pytest
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -101,6 +103,25 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(map(tuple, minhash.near_duplicates(nameless).collect()), key=repr) == [(4, 2, 4, True), (4, 2, 4, True), (None, 2, None, True)]
 
 
+def test_a_cluster_of_one_component_below_the_threshold_meets_nothing(spark, monkeypatch):
+    """Copies of a text that resembles a bucket's smallest one, but not enough, are one component: no element of theirs is expanded."""
+    base = prose(31, 200)
+    outlying = mutated(base, 14, 5)
+    texts = [base] + [outlying[:-1] + [f"end{k}"] for k in range(60)]
+    seen, plain = [], minhash._of_several_parts
+    monkeypatch.setattr(minhash, "_of_several_parts", lambda left, right: seen.append((left.count(), plain(left, right))) or seen[-1][1])
+    found = minhash.near_duplicates(documents(spark, {i: " ".join(w) for i, w in enumerate(texts)}), minhash.NearDedup(bands=60, rows=2)).collect()
+    assert {r["component_id"] for r in found} == {0, 1}
+    assert seen[0][0] > 1000 and seen[0][1].count() == 0
+
+
+def test_rows_that_share_an_id_but_not_the_text_keep_their_links(spark):
+    a, b = " ".join(prose(41, 50)), " ".join(prose(42, 50))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "q r s t")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_sketch_coordinates_agree_as_often_as_sets():
     draw = np.random.default_rng(5)
     common, a, b = (draw.integers(0, 2**63, n).astype(np.uint64) for n in (300, 100, 100))
@@ -254,6 +275,24 @@ def test_benchmark_passages_equal_window_search(spark):
     assert decontaminate.find_benchmark(documents(spark, table), benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_windows_of_items_without_an_id_count(spark):
+    passage = " ".join(prose(1, 15))
+    benchmark = spark.createDataFrame([(None, passage), ("i", "quite short")], "item_id string, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find_benchmark(documents(spark, [passage, "so quite short it is", "none"]), benchmark).collect()}
+    assert [(found[i]["n_hit"], found[i]["items"], found[i]["contaminated"]) for i in range(3)] == [(15, [], True), (2, ["i"], True), (0, [], False)]
+
+
+def test_the_automaton_is_as_large_as_it_is_counted():
+    patterns = [(" " + " ".join(prose(i, 13, 10**9)) + " ", ("x",)) for i in range(3000)]
+    numbers, built = decontaminate._automaton("size", patterns)
+    assert len(built) == 3000 and len(numbers) > 38_900
+    node = built.get_stats()["total_size"] / (13 * 3000)
+    import sys
+
+    names = (sys.getsizeof(numbers) + sum(map(sys.getsizeof, numbers))) / 39_000
+    assert node + names / 1.5 < decontaminate.NODE_BYTES + len(patterns[0][0]) / 13
+
+
 LONG = {
     1: " \n\t " * 3000, 2: "é<|endoftext|>" * 900, 3: "漢字" * 3000, 4: None, 5: "", 6: "é don't 12x  áb " * 700, 7: "a" * 9000, 8: "x<|startoftext|>'s  " * 300, 9: "ok",
 }
@@ -271,6 +310,66 @@ def test_token_counts_equal_the_library(spark):
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
+def test_scores_and_updates_equal_plain_loops():
+    """The update rule written out weight by weight, and scores as sums that do not depend on other texts."""
+    op = quality_ftrl.QualityModel(bits=8, batch=4, epochs=2)
+    draw = np.random.default_rng(2)
+    rows = [(draw.integers(0, 256, n), int(n % 2)) for n in range(1, 30)] + [(np.zeros(0, np.int64), 1)]
+    z, n, w = ([0.0] * 257 for _ in range(3))
+    order = np.random.default_rng(0)
+    for _ in range(op.epochs):
+        shuffled = order.permutation(len(rows))
+        for at in range(0, len(rows), op.batch):
+            g = collections.Counter()
+            chosen = [rows[i] for i in shuffled[at : at + op.batch]]
+            for slots, label in chosen:
+                x = {256: 1.0} | {int(s): op.scale * c / len(slots) for s, c in collections.Counter(slots.tolist()).items()}
+                p = 1 / (1 + np.exp(-sum(w[s] * v for s, v in x.items())))
+                for s, v in x.items():
+                    g[s] += (p - label) * v / len(chosen)
+            for s, own in g.items():
+                z[s] += own - (np.sqrt(n[s] + own * own) - np.sqrt(n[s])) / op.alpha * w[s]
+                n[s] += own * own
+                w[s] = 0.0 if abs(z[s]) <= op.l1 else -(z[s] - np.sign(z[s]) * op.l1) / ((op.beta + np.sqrt(n[s])) / op.alpha + op.l2)
+    np.testing.assert_allclose(quality_ftrl.fit_ftrl(rows, op), w, atol=1e-9)
+    weights = draw.standard_normal(257) * 1e3
+    slots, first = np.concatenate([s for s, _ in rows]), np.append(0, np.cumsum([len(s) for s, _ in rows]))
+    together = quality_ftrl._raw_scores(slots, first, weights, weights[-1], op.scale)
+    for (own, _), score in zip(rows, together):
+        alone = quality_ftrl._raw_scores(own, np.array([0, len(own)]), weights, weights[-1], op.scale)[0]
+        assert alone == score
+        assert score == pytest.approx(weights[-1] + op.scale * sum(weights[own]) / max(1, len(own)))
+
+
+def test_words_are_counted_apart_only_where_the_file_allows_it():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, counts = token_counts._tokenizer(path, 1000), token_counts._Counts(path, 1000, words=50, length=8)
+    assert counts.by_word and not token_counts.splits_at_space(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    file = json.loads(whole.to_str())
+    for part, change in (
+        ("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [file["added_tokens"][0] | {"rstrip": True}]),
+        ("added_tokens", [file["added_tokens"][0] | {"content": "a b"}]), ("normalizer", {"type": "Prepend", "prepend": " "}),
+    ):
+        assert not token_counts.splits_at_space(json.dumps(file | {part: change}))
+    draw, parts = random.Random(3), ["a", "İ", "ǅ", "Σ", "'s", "'", ".", "1", " ", "\t", "\u0301", "\u00a0", "\u2003", "\x85", "\x1c", "é", "e\u0301", "<|endoftext|>", "한", "\u1100\u1161", "<", "\u0338", "x" * 30]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(60))) for _ in range(3000)]
+    assert counts(pa.array(texts)).tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert counts(pa.array(texts).slice(10, 5)).tolist() == counts(pa.array(texts)).tolist()[10:15]
+
+
+def test_chunks_find_the_boundaries_of_the_whole_text():
+    """Zones and the span between them give a chunk's count and boundaries as encoding all of it does."""
+    op = token_counts.TokenCounts(public_tokenizers.path("word_bpe_49k.json"), margin=16)
+    draw = random.Random(4)
+    text = " ".join("".join(draw.choice("abcdeé'1.") for _ in range(draw.randrange(1, 9))) for _ in range(1500))
+    for start, n in ((0, 9000), (700, 9000), (700, 700 + len(text)), (0, len(text))):
+        whole, found = token_counts._stable(text, 16, len(text) - 16, start, op)
+        total, head, tail = token_counts.boundaries(text, start, n, op, 300)
+        assert total == whole
+        assert head == ([x for _, b, x in found if b <= 284] if start else [])
+        assert tail == ([x for a, _, x in found if a >= len(text) - 284] if start + len(text) < n else [])
+
+
 def test_byte_bpe_round_trip(spark):
     op = byte_bpe.ByteBpe(byte_bpe_op().path, byte_bpe_op().pattern, chunk=1500, overlap=200)
     ids = byte_bpe.encode(documents(spark, LONG), op)
@@ -291,7 +390,7 @@ def test_maximal_chats(spark):
     rows = turns(1, "a") + turns(2, "a", "b") + turns(3, "a", "b", "c", start=5) + turns(4, "a", "x") + turns(5, "a", "x") + turns(6, "b")
     rows += turns(6, "b") + turns(None, "z", None) + [(8, None, None, None), (9, 1, "user", "t"), (9, 1, "user", "s")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1))
-    op = chat_snapshots.ChatFormat(part_turns=2, block_turns=2)
+    op = chat_snapshots.ChatFormat(part_turns=2, ranges=9)
     found = sorted(chat_snapshots.maximal_chats(table, op).collect(), key=lambda r: (str(r["conv_id"]), r["part"]))
     kept = {(r["conv_id"], r["n_turns"], r["copies"]) for r in found}
     assert kept == {(3, 3, 1), (4, 2, 2), (6, 1, 1), (None, 2, 1), (8, 1, 1), (9, 2, 1)}
@@ -371,6 +470,82 @@ def test_marks_drop_nothing_of_an_article():
     assert text("<article>A</article><section id=comments><article id=comment-5>B</article><article class=comment>C</article></section>") == "A"
 
 
+def page_text(source):
+    return html_template.page_text(source)
+
+
+def test_a_quote_opens_a_value_only_behind_an_equals_sign():
+    assert page_text('<article><p>One</p><img alt="5" screen"><p>Two</p><p class="x">Three</p></article>') == "One\nTwo\nThree"
+    assert page_text("<p class=it's>Hello world. It's nice</p><p>More</p>") == "Hello world. It's nice\nMore"
+    assert page_text("<p title = 'a > b'>A</p><a href=x\"y>B</a><p data-x=\"<b>\">C</p><p a='unended>D") == "A\nB\nC"
+
+
+def test_names_are_told_as_a_whole():
+    assert page_text("<div class=legal-history><p>A</p></div><div id=content class='post social-science'>B</div><div class=site-header>C</div>") == "A\nB"
+    assert page_text("<body><form action=x><div>Menu of a page</div><p>Text</p><select><option>O</select></form></body>") == "Menu of a page\nText"
+    assert page_text("<article><p>Let <math><mi>x</mi></math> be z</p><div id=comments><p>First!</p></div><section id=related-comments>C</section></article>") == "Let x be z\nC"
+
+
+def test_deep_nesting_takes_linear_time_and_memory():
+    import tracemalloc
+
+    def peak(n):
+        tracemalloc.start()
+        text = page_text("<i>" * n + "<p>x" * 200 + "</b>" * 200 + "<div>" * n + "end" + "</div></i>" * n)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text.endswith("end")
+        return size
+
+    assert peak(40_000) < 6 * peak(10_000) < 600 << 20
+
+
+def host_pages(spark, bodies):
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_the_template_alone_finds_the_main_slot(spark):
+    """No element or name tells menus, notices and text apart here: only what the host's pages share and where their words vary."""
+    texts = [[" ".join(prose(i, 40)), " ".join(prose(50 + i, 30))] for i in range(12)]
+    plain = [
+        f"<div class=a><ul><li>Item {i}<li>Item {i * 7}</ul></div><div class=b><div class=c><p>Read our terms first.</p><h2>Story</h2><p>{x}</p><p>{y}</p></div></div><div class=z>Seen {i} times</div>"
+        for i, (x, y) in enumerate(texts)
+    ]
+    found = {r["page_id"]: r["text"] for r in html_template.main_text(host_pages(spark, plain)).collect()}
+    assert found == {i: f"{x}\n{y}" for i, (x, y) in enumerate(texts)}
+    articles = [f"<div>Menu {i}</div><article><h1>Notes</h1><p>{x}</p><p>Subscribe today, it is free.</p><p>{y}</p></article>" for i, (x, y) in enumerate(texts)]
+    found = {r["page_id"]: r["text"] for r in html_template.main_text(host_pages(spark, articles)).collect()}
+    assert found == {i: f"Notes\n{x}\n{y}" for i, (x, y) in enumerate(texts)}
+    # Few pages, or pages that are copies of each other, lose nothing of an article.
+    for bodies in (articles[:4], [articles[0]] * 12):
+        found = html_template.main_text(host_pages(spark, bodies)).collect()
+        assert all(r["text"].startswith("Notes\n") and "Subscribe" in r["text"] for r in found)
+
+
+def test_classes_equal_a_plain_deduction(spark):
+    draw = random.Random(8)
+    bodies = ["".join(draw.choice(("<p>A</p>", "<p>B</p>", "<ul><li>C</ul>", f"<div class=k>{i}</div>", "<p>A</p><hr>")) for _ in range(6)) + "<b>end</b><p>Z</p>" for i in range(9)]
+    op = html_template.TemplateDeduction(support=0.7)
+    pages = [html_template.token_counts(html_template.read_page(f"<html><body>{b}</body></html>"))[0] for b in bodies]
+    vectors = collections.defaultdict(set)
+    for token in set().union(*pages):
+        vector = tuple(p[token] for p in pages)
+        if sum(n > 0 for n in vector) >= op.support * 9 and len({n for n in vector if n}) == 1:
+            vectors[vector].add(token)
+    found = html_template.templates(host_pages(spark, bodies), op).first()
+    assert sorted(map(sorted, found["classes"])) == sorted(map(sorted, vectors.values()))
+
+
+def test_classes_nest_by_the_deepest_tag_around_them():
+    classes = [["<html", "<html/body"], ["<html/body/div", "=html/body/div|x"], ["=html/body/div/p|y"], ["<html/body/ul/li"]]
+    sets, parents = html_template.nested(classes)
+    place = {min(c): i for i, c in enumerate(sets)}
+    inner = {min(c): parents[i] for i, c in enumerate(sets)}
+    assert inner == {"<html": -1, "<html/body/div": place["<html"], "=html/body/div/p|y": place["<html/body/div"], "<html/body/ul/li": place["<html"]}
+    assert html_template.main_slot(classes, {"html/body/div/p": 70, "html/body/ul/li/a": 20, "html/body": 10}, 0.6) == "html/body/div"
+
+
 def test_page_text(spark):
     shell = (
         "<!DOCTYPE html><html><head><title>T</title><script>var a='<article>no</article>';</script><style>p{{}}</style></head><body class=has-sidebar>"
