@@ -126,3 +126,27 @@ def test_fingerprint_of_tasks(spark, tmp_path):
     rows = t.tasks(spark, SMALL)
     tree = FingerprintTree(spark, str(tmp_path / "tree"))
     assert tree.apply(curation.task_digest(), rows) == curation.dataset_fingerprint(rows).first()[0]
+
+
+def test_a_large_batch_shuffles_its_runs_for_the_files_and_the_joins_on_cases_only(spark, tmp_path, monkeypatch):
+    """No shuffle by suite, no cache, and no mutants' runs while no reference run is there; other suites keep their scores."""
+    from tasksieve.streaming import scores as module
+
+    monkeypatch.setattr(module, "_LISTED", 1)
+    monkeypatch.setattr(module, "_BROADCAST", 1)
+    cases = spark.createDataFrame([(t, f"c{c}", "SUM=1") for t in range(6) for c in range(2)], "task_id long, case_id string, expected_stdout string")
+    mutants = spark.createDataFrame([(t, "m0") for t in range(6)], "task_id long, mutant_id string")
+    log = lambda tasks, program, out: spark.createDataFrame(
+        [(t, f"c{c}", program, 0, out, False) for t in tasks for c in range(2)], "task_id long, case_id string, program_id string, return_code int, stdout string, timed_out boolean"
+    )
+    book, read = SuiteScores(spark, str(tmp_path / "scores"), cases, mutants), []
+    scored = book._scored
+    monkeypatch.setattr(book, "_scored", lambda c, m, runs: read.append(runs) or scored(c, m, runs))
+    book.store(log(range(5), "m0", "SUM=2"), "log-0")
+    assert read[-1].count() == 0
+    book.store(log(range(2, 4), "reference", "SUM=1"), "log-1")
+    assert read[-1].count() == 14 and "Join" not in read[-1]._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.task_id: (r.oracle_valid_count, r.mutants_killed) for r in book.scores().collect()}
+    assert got == {t: (2, 1) if t in (2, 3) else (0, 0) for t in range(6)}
+    want = mutation.suite_scores(cases, mutants, log(range(2, 4), "reference", "SUM=1"), log(range(5), "m0", "SUM=2"))
+    assert sorted(map(tuple, book.scores().collect())) == sorted(map(tuple, want.collect()))
