@@ -30,6 +30,14 @@ def _vector() -> Column:
     return F.array(*[F.coalesce(F.col(name), F.lit(0.0)) for name in sorted(FEATURES)]).alias("x")
 
 
+def measured(tasks: DataFrame) -> DataFrame:
+    """task_id, review_status and the features ``x``, stored: what ``fit`` and ``predict_review_risk`` take in place of tasks,
+    where both are to read the texts only once."""
+    path = scratch_path(tasks.sparkSession, "measured-tasks")
+    extract_features(tasks, "review_status").select("task_id", "review_status", _vector()).write.parquet(path)
+    return tasks.sparkSession.read.parquet(path)
+
+
 class ReviewDetector:
     """fit / predict_review_risk / save / load around a random forest whose trees have no depth limit.
 
@@ -46,7 +54,8 @@ class ReviewDetector:
         label = (F.col("review_status") != "accepted").cast("int")
         # The texts are read once, for a table of numbers.
         path = scratch_path(tasks.sparkSession, "training-rows")
-        extract_features(reviewed, "review_status").select(F.xxhash64("task_id").alias("row"), label.alias("label"), _vector()).write.parquet(path)
+        vectors = reviewed if "x" in tasks.columns else extract_features(reviewed, "review_status").select("task_id", "review_status", _vector())
+        vectors.select(F.xxhash64("task_id").alias("row"), label.alias("label"), "x").write.parquet(path)
         rows = tasks.sparkSession.read.parquet(path)
         found = {row.label: row.n for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows at most
         total = sum(found.values())
@@ -61,7 +70,7 @@ class ReviewDetector:
         """task_id, review_risk: the probability that a task will not be accepted as it is."""
         if self.pieces is None:
             raise RuntimeError("call fit or load first")
-        rows = extract_features(tasks).select("task_id", _vector())
+        rows = tasks.select("task_id", "x") if "x" in tasks.columns else extract_features(tasks).select("task_id", _vector())
         return forest.probabilities(rows, self.pieces, self.forest.trees, "task_id").withColumnRenamed("probability", "review_risk")
 
     def save(self, path: str) -> str:

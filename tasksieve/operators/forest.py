@@ -25,6 +25,8 @@ _U = np.uint64
 _PIECE = "tree int, piece int, feature array<int>, threshold array<double>, low array<int>, high array<int>, value array<double>"
 #: What stands in ``feature`` for a leaf, and for a node that another piece continues (its number in ``low``).
 LEAF, CONTINUED = -1, -2
+#: Bits of a whole number that is sorted.
+_PACKED_BITS = 63
 
 
 @dataclass(frozen=True)
@@ -103,6 +105,11 @@ def grow(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, key: np.ndarray, weights
     features = x.shape[1]
     tries = op.tries or max(1, int(np.sqrt(features)))
     levels: list[tuple[np.ndarray, ...]] = []
+    # Node, place of the value among the feature's values and row fit one whole number as a rule: to sort those is much faster.
+    places = np.empty((features, len(x)), np.int64)
+    for f in range(features):
+        places[f] = np.unique(x[:, f], return_inverse=True)[1].ravel()
+    row_bits, place_bits = int(len(x)).bit_length(), int(places.max(initial=0)).bit_length()
     rows, node, keys, total = np.arange(len(x)), np.zeros(len(x), np.int64), key.copy(), 1
     while len(keys):
         m = len(keys)
@@ -115,10 +122,15 @@ def grow(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, key: np.ndarray, weights
             if not live.any():
                 break
             own = np.flatnonzero(live[node])
-            values = x[rows[own], order[node[own], place]]
-            sort = np.lexsort((values, node[own]))
-            own, values = own[sort], values[sort]
+            at, tried = node[own], order[node[own], place]
+            ranks = places[tried, rows[own]]
+            if m.bit_length() + place_bits + row_bits <= _PACKED_BITS:
+                packed = np.sort((at << (place_bits + row_bits)) | (ranks << row_bits) | own)
+                own = packed & ((1 << row_bits) - 1)
+            else:
+                own = own[np.lexsort((ranks, at))]
             at = node[own]
+            values = x[rows[own], order[at, place]]
             begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             begin = np.repeat(begins, np.diff(np.append(begins, len(at))))
             c0, c1 = np.cumsum(n0[rows[own]]), np.cumsum(n1[rows[own]])
@@ -172,29 +184,40 @@ class Nodes:
 
     @classmethod
     def of(cls, rows: list) -> "Nodes":
-        rows = sorted(rows, key=lambda r: (r["tree"], r["piece"]))
-        starts = np.cumsum([0, *(len(r["feature"]) for r in rows)])
-        begin = {(r["tree"], r["piece"]): int(s) for r, s in zip(rows, starts)}
-        low, high = [], []
-        for r, start in zip(rows, starts):
-            feature, own = np.array(r["feature"]), np.array(r["low"], np.int64)
-            onward = np.array([begin[r["tree"], p] if f == CONTINUED else 0 for f, p in zip(r["feature"], r["low"])], np.int64)
-            low.append(np.where(feature == CONTINUED, onward, own + start))
-            high.append(np.where(feature == CONTINUED, onward, np.array(r["high"], np.int64) + start))
-        joined = [np.concatenate([np.array(r[c]) for r in rows]) for c in ("feature", "threshold", "value")]
-        roots = np.array([begin[r["tree"], 0] for r in rows if r["piece"] == 0], np.int64)
-        return cls(roots, Piece(joined[0].astype(np.int64), joined[1], np.concatenate(low), np.concatenate(high), joined[2]))
+        kinds = [pa.int32(), pa.int32(), *(pa.list_(k) for k in (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()))]
+        names = [c.split()[0] for c in _PIECE.split(", ")]
+        return cls.of_table(pa.table([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)], names))
+
+    @classmethod
+    def of_table(cls, pieces: pa.Table) -> "Nodes":
+        """From the pieces as an Arrow table: the lists of numbers are taken as they lie, not one by one."""
+        pieces = pieces.sort_by([("tree", "ascending"), ("piece", "ascending")]).combine_chunks()
+        tree, piece = (pieces.column(c).to_numpy().astype(np.int64) for c in ("tree", "piece"))
+        lists = [pa.concat_arrays(pieces.column(c).chunks) for c in ("feature", "threshold", "low", "high", "value")]
+        sizes = np.diff(lists[0].offsets.to_numpy())
+        starts = np.cumsum(sizes) - sizes
+        feature, threshold, low, high, value = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+        feature, begin = feature.astype(np.int8 if feature.max() < 128 else np.int32), np.repeat(starts, sizes)
+        onward = np.flatnonzero(feature == CONTINUED)
+        # A piece's place: pieces are sorted by (tree, piece).
+        span = int(max(piece.max(), low[onward].max(initial=0))) + 1
+        goes = starts[np.searchsorted(tree * span + piece, np.repeat(tree, sizes)[onward] * span + low[onward])]
+        low, high = begin + low, begin + high
+        low[onward] = high[onward] = goes
+        small = np.int32 if len(feature) < 2**31 else np.int64
+        return cls(starts[piece == 0], Piece(feature, threshold, low.astype(small), high.astype(small), value))
 
     def leaves(self, x: np.ndarray, root: int, through: bool = True) -> np.ndarray:
         """The node each row ends in: a leaf, or, not going through, one that another piece continues."""
-        p, at, moving = self.nodes, np.full(len(x), root, np.int64), np.arange(len(x))
+        p, at, moving, now = self.nodes, np.full(len(x), root, np.int64), np.arange(len(x)), np.full(len(x), root, np.int64)
         while len(moving):
-            feature = p.feature[at[moving]]
+            feature = p.feature[now]
             goes = feature != LEAF if through else feature >= 0
-            moving, feature = moving[goes], feature[goes]
-            now = at[moving]
+            if not goes.all():
+                at[moving[~goes]] = now[~goes]
+                moving, feature, now = moving[goes], feature[goes], now[goes]
             over = (feature >= 0) & (x[moving, np.maximum(feature, 0)] > p.threshold[now])
-            at[moving] = np.where(over, p.high[now], p.low[now])
+            now = np.where(over, p.high[now], p.low[now])
         return at
 
     def sums(self, x: np.ndarray) -> np.ndarray:
@@ -414,12 +437,16 @@ def train(rows: DataFrame, class_weights: tuple[float, float], op: Forest = Fore
     return spark.read.schema(_PIECE).parquet(path)
 
 
-def probabilities(rows: DataFrame, pieces: DataFrame, trees: int, key: str, block_nodes: int = 4_000_000) -> DataFrame:
+def probabilities(rows: DataFrame, pieces: DataFrame, trees: int, key: str, block_nodes: int = 8_000_000) -> DataFrame:
     """``(key, probability)`` of label 1 for rows (key, x): the mean over the trees.
 
-    Trees are broadcast in blocks of about ``block_nodes`` nodes (40 bytes each), or one tree; the sums of several blocks are added.
+    Trees are broadcast in blocks of about ``block_nodes`` nodes (25 bytes each), or one tree; the sums of several blocks are added.
     """
-    spark = rows.sparkSession
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "scored-rows")
+    # Each block of trees reads the rows again, so what they come from is read once; the number tells rows of one key apart.
+    rows = rows.select(key, "x", F.monotonically_increasing_id().alias("_row"))
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     sizes = pieces.groupBy("tree").agg(F.sum(F.size("feature")).alias("nodes")).orderBy("tree").collect()  # one row a tree
     blocks, total = [[]], 0
     for tree, nodes in sizes:
@@ -435,15 +462,17 @@ def probabilities(rows: DataFrame, pieces: DataFrame, trees: int, key: str, bloc
             for batch in batches:
                 if batch.num_rows:
                     x = _matrix(batch, len(batch.column("x").flatten()) // batch.num_rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(held.value.sums(x))], [key, "total"])
+                    yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("_row"), pa.array(held.value.sums(x))], [key, "_row", "total"])
 
         return run
 
     parts = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast(Nodes.of(pieces.where(F.col("tree").isin(block)).collect()))
-        part = rows.select(key, "x").mapInArrow(scorer(held), f"{key} {kind}, total double")
+    for number, block in enumerate(blocks):
+        held = spark.sparkContext.broadcast(Nodes.of_table(pieces.where(F.col("tree").isin(block)).toArrow()))
+        part = rows.mapInArrow(scorer(held), f"{key} {kind}, _row bigint, total double").withColumn("_block", F.lit(number))
         parts = part if parts is None else parts.unionByName(part)
     if len(blocks) > 1:
-        parts = parts.groupBy(key).agg(F.sum("total").alias("total"))
+        # Added in the order of the blocks: one forest gives one sum, to the last digit.
+        ordered = F.array_sort(F.collect_list(F.struct("_block", "total")))
+        parts = parts.groupBy(key, "_row").agg(F.aggregate(ordered, F.lit(0.0), lambda s, t: s + t["total"]).alias("total"))
     return parts.select(key, (F.col("total") / trees).alias("probability"))

@@ -123,3 +123,31 @@ def test_broadcast_table_and_handed_off_nodes_agree(spark, tmp_path):
     rows, op = rows_of(spark, keys, label, x, str(tmp_path / "rows")), Forest(trees=6)
     whole, handed = (forest.probabilities(rows, forest.train(rows, (1.0, 2.0), op, broadcast_bytes=b), 6, "row").collect() for b in (1 << 20, 0))
     assert sorted(map(tuple, whole)) == sorted(map(tuple, handed))
+
+
+def test_several_blocks_of_trees_read_the_rows_from_a_table_and_keep_rows_of_one_key_apart(spark, tmp_path):
+    keys, label, x = table(300, 6)
+    rows, op = rows_of(spark, keys, label, x, str(tmp_path / "rows")), Forest(trees=6)
+    pieces = forest.train(rows, (1.0, 2.0), op)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    twice = rows.unionByName(rows).mapInArrow(counted, rows.schema)
+    found = forest.probabilities(twice, pieces, op.trees, "row", block_nodes=1).collect()
+    want = {int(k): p for k, p in zip(keys, forest.Nodes.of_table(pieces.toArrow()).sums(x) / op.trees)}
+    assert read.value == 600 and len(found) == 600
+    assert all(r["probability"] == want[r["row"]] for r in found)
+
+
+def test_nodes_sort_the_same_without_room_for_packed_numbers(monkeypatch):
+    keys, label, x = table(500, 8, levels=6)
+    times = draws(keys, 1, 0)
+    own = times > 0
+    grow = lambda: forest.grow(x[own], (times * (label == 0))[own], (times * (label == 1))[own], root_key(1, 0), (1.0, 1.3), Forest())
+    packed = grow()
+    monkeypatch.setattr(forest, "_PACKED_BITS", 0)
+    assert all((getattr(packed, c) == getattr(grow(), c)).all() for c in ("feature", "threshold", "low", "high", "value"))
