@@ -107,3 +107,13 @@ def test_queue_takes_one_task_per_group_by_uncertainty(spark, task, tasks_of):
     assert [q.task_id for q in review_queue.build_review_queue(rows, scores, 1).collect()] == ["near"]
     with pytest.raises(ValueError):
         review_queue.build_review_queue(rows, scores, 0)
+
+
+def test_fit_and_prediction_share_measured_tasks(spark, tasks_of, task):
+    from tasksieve.operators import detector
+
+    rows = tasks_of(*[task(f"t{i}", program="ADD A.\n" * (i % 7), review_status="accepted" if i % 3 else "rejected") for i in range(30)])
+    measured = detector.measured(rows)
+    assert measured.columns == ["task_id", "review_status", "x"]
+    risks = [sorted(map(tuple, detector.ReviewDetector(num_trees=5).fit(r).predict_review_risk(r).collect())) for r in (rows, measured)]
+    assert risks[0] == risks[1] and len(risks[0]) == 30
