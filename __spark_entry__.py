@@ -58,7 +58,7 @@ def _quarantine_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _write_tasks_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = jsonl.write_tasks(t.tasks(spark, sf), scratch_path(spark, "tasks"))
+    path = jsonl.write_tasks(t.tasks(spark, sf), scratch_path(spark, "tasks"), compression="gzip")
     back = jsonl.load_tasks(spark, path).tasks
     return back.select(
         "task_id", "group_id", "title", "specification", "program", "source_url", "license_id", "review_status",

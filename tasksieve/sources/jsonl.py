@@ -66,9 +66,11 @@ def load_tasks(spark: SparkSession, path: str, strict: bool = False) -> LoadedTa
     """
     stage = scratch_path(spark, "records")
     bad = F.col("first_error").isNotNull()
+    # A refused row keeps its raw text and no fields, a sound one its fields and no raw text.
     read_records(scan_lines(spark, path), blank_lines=True).select(
-        "path", F.when(bad, F.col("raw")).alias("raw"), *TASK_FIELDS, "seq", "errors", "first_error"
-    ).write.parquet(stage)
+        "path", F.when(bad, F.col("raw")).alias("raw"), *[F.when(~bad, F.col(c)).alias(c) for c in TASK_FIELDS],
+        "seq", "errors", "first_error",
+    ).write.option("compression", "zstd").parquet(stage)
     lines = spark.read.parquet(stage)
     records = lines.where(~F.coalesce(F.col("first_error") == BLANK_LINE, F.lit(False)))
     repeated = pinned(duplicate_keys(records.where(~bad)).select(F.col("task_id").alias("_id"), "first_seen"))
@@ -95,11 +97,11 @@ def load_tasks(spark: SparkSession, path: str, strict: bool = False) -> LoadedTa
     return LoadedTasks(tasks, quarantine)
 
 
-def write_tasks(tasks: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Write tasks as JSON lines, a folder of part files; refuses an empty collection."""
+def write_tasks(tasks: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> str:
+    """Write tasks as JSON lines, a folder of part files; refuses an empty collection. Compressed files are read by one task each."""
     if tasks.isEmpty():
         raise ValueError("there is no task to write")
-    tasks.select(*TASK_FIELDS).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    tasks.select(*TASK_FIELDS).write.mode(mode).option("ignoreNullFields", "false").option("compression", compression).json(path)
     return path
 
 
