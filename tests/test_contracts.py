@@ -200,3 +200,25 @@ def test_suites(spark):
         assert (found[i].cases is None) == (error is not None)
     cases = contracts.suite_cases(suites).collect()
     assert {(c.task_id, c.case_ord, c.case_id, c.stdin) for c in cases} == {("0", 0, "e", "0\n"), ("1", 0, "e", "")}
+
+
+def test_refused_rows_are_stored_without_fields_and_compressed_files_load(spark, tasks_of, task, tmp_path):
+    from tasksieve.sources import jsonl
+
+    rows = tasks_of(task("a"), task("b", title=" "), task("a"))
+    loaded = jsonl.load_tasks(spark, jsonl.write_tasks(rows.coalesce(1), str(tmp_path / "out"), compression="gzip"))
+    assert [r.task_id for r in loaded.tasks.collect()] == ["a"]
+    assert sorted((r.line_number, r.first_error) for r in loaded.quarantine.collect()) == [(2, "blank:title"), (3, "duplicate_task_id")]
+    stage = spark.read.parquet(*loaded.tasks.inputFiles())
+    assert stage.where("first_error IS NOT NULL").select("task_id", "program", "reference_tests").distinct().collect() == [(None, None, None)]
+    assert any(name.endswith(".gz") for name in spark.read.text(str(tmp_path / "out")).inputFiles())
+
+
+def test_lines_in_order_move_each_text_once(spark):
+    from tasksieve.sources import tables as t
+    from tests.conftest import SMALL
+
+    seen = t.task_lines(spark, SMALL, order=lambda documents: documents.orderBy("doc_id"))
+    assert [r.seq for r in seen.select("seq").collect()] == sorted(r.seq for r in t.task_lines(spark, SMALL).select("seq").collect())
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "raw" not in plan[plan.index("Sort ["):] and "to_json" not in plan[plan.index("Sort ["):]
