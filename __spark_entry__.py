@@ -50,9 +50,12 @@ def _load_tasks(spark: SparkSession, sf: str) -> DataFrame:
 def _quarantine_lines(spark: SparkSession, sf: str) -> DataFrame:
     """File and line of each refused record; every fifth record follows a blank line, 500 records lie in a file."""
     path = scratch_path(spark, "task-files")
-    lines = t.task_lines(spark, sf).select("seq", "raw", F.floor(F.col("seq") / 500).cast("bigint").alias("file"))
+    file = F.floor(F.col("doc_id") / 500).cast("bigint")
+    lines = t.task_lines(spark, sf, order=lambda documents: documents.repartition(file).sortWithinPartitions(file, "doc_id")).select(
+        "seq", "raw", F.floor(F.col("seq") / 500).cast("bigint").alias("file")
+    )
     spaced = lines.withColumn("raw", F.when(F.col("seq") % 5 == 0, F.concat(F.lit("\n"), "raw")).otherwise(F.col("raw")))
-    spaced.repartition("file").sortWithinPartitions("file", "seq").select("raw", "file").write.partitionBy("file").text(path)
+    spaced.select("raw", "file").write.partitionBy("file").option("compression", "gzip").text(path)
     return jsonl.load_tasks(spark, path).quarantine.select(
         F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint").alias("file"), "line_number", "first_error"
     )
