@@ -50,11 +50,12 @@ def _ids(words: Column, vocabulary: int) -> Column:
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(vocabulary)).cast("int"))
 
 
-def chat_tokens(chats: DataFrame, vocabulary: int = 50_000) -> DataFrame:
+def chat_tokens(chats: DataFrame, vocabulary: int = 50_000, max_length: int | None = None) -> DataFrame:
     """Default token source: role marks and white-space words, each hashed to an id.
 
     ``prefix_ids`` covers all messages but the last plus the mark that opens the answer, ``full_ids`` everything. Any
-    other tokenizer can supply these two columns instead.
+    other tokenizer can supply these two columns instead. Where ``max_length`` says what ``encode`` refuses, prompts of so many
+    tokens are counted only, in a third column ``prompt_tokens``, and have no ids.
     """
     def turns(messages: Column) -> Column:
         return F.flatten(F.transform(messages, lambda m: F.concat(
@@ -71,6 +72,11 @@ def chat_tokens(chats: DataFrame, vocabulary: int = 50_000) -> DataFrame:
         turns(before).alias("before"), opening.alias("open"),
         turns(F.slice(messages, F.size(messages), F.lit(1))).alias("answer"),
     )
+    if max_length is not None:
+        counted = F.aggregate(before, F.lit(1), lambda n, m: n + 2 + F.regexp_count(m["content"], F.lit(f"[{VISIBLE}]+")))
+        chats = chats.select(*kept, "messages", settled(counted).alias("prompt_tokens"))
+        words = F.when(~F.coalesce(F.col("prompt_tokens") >= max_length, F.lit(False)), words)
+        kept = [*kept, F.col("prompt_tokens")]
     hashed = chats.select(*kept, settled(words).alias("_words")).select(
         *kept, settled(F.struct(*[_ids(F.col(f"_words.{c}"), vocabulary).alias(c) for c in ("before", "open", "answer")]))
         .alias("_ids")
@@ -82,10 +88,11 @@ def chat_tokens(chats: DataFrame, vocabulary: int = 50_000) -> DataFrame:
 
 
 def encode(tokens: DataFrame, max_length: int = 1024) -> DataFrame:
-    """input_ids, attention_mask, labels (prompt masked) and ``reject_reason`` for rows that cannot be used."""
-    kept = [F.col(c) for c in tokens.columns if c not in ("prefix_ids", "full_ids")]
+    """input_ids, attention_mask, labels (prompt masked) and ``reject_reason`` for rows that cannot be used; ``prompt_tokens``, where the
+    tokens come with it, is the number of prompt tokens."""
+    kept = [F.col(c) for c in tokens.columns if c not in ("prefix_ids", "full_ids", "prompt_tokens")]
     prefix, full = F.col("prefix_ids"), F.col("full_ids")
-    n = F.size(prefix)
+    n = F.col("prompt_tokens") if "prompt_tokens" in tokens.columns else F.size(prefix)
     reason = (
         F.when(F.slice(full, F.lit(1), n) != prefix, "prompt_prefix_mismatch")
         .when(n >= max_length, "prompt_exceeds_max_length")

@@ -213,3 +213,15 @@ def test_training_set_guards(spark, task, tasks_of):
     with pytest.raises(ValueError, match="twice"):
         sft.check_training_set(tasks_of(task(), task()))
     sft.check_training_set(tasks_of(task("a"), task("b")))
+
+
+def test_prompts_too_long_are_counted_without_ids(spark):
+    chats = spark.createDataFrame(
+        [("short", [("user", " a  b\n"), ("assistant", "c")]), ("edge", [("user", "a b c d"), ("assistant", "c")]), ("long", [("user", "a " * 50), ("assistant", "c")])],
+        "task_id string, messages array<struct<role string, content string>>",
+    )
+    whole, counted = sft.encode(sft.chat_tokens(chats), 7), sft.chat_tokens(chats, max_length=7)
+    assert {r.task_id for r in counted.where("full_ids IS NULL").collect()} == {"edge", "long"}
+    again = sft.encode(counted, 7)
+    assert sorted(map(tuple, sft.rejects(again).collect())) == sorted(map(tuple, sft.rejects(whole).collect())) and sft.rejects(again).count() == 2
+    assert [r.asDict() for r in sft.usable(again).collect()] == [r.asDict() for r in sft.usable(whole).collect()]
