@@ -83,9 +83,9 @@ def _validate_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _validate_cases(spark: SparkSession, sf: str) -> DataFrame:
-    value = contracts.parse_json_strictly(F.col("raw"))
-    listed = t.task_lines(spark, sf).select(
-        "seq", F.posexplode(F.try_variant_get(value, "$.reference_tests", "array<variant>")).alias("case_ord", "c")
+    parsed = contracts.parse_json_strictly(t.task_lines(spark, sf), F.col("raw"), "value")
+    listed = parsed.select(
+        "seq", F.posexplode(F.try_variant_get("value", "$.reference_tests", "array<variant>")).alias("case_ord", "c")
     )
     return listed.select("seq", "case_ord", F.coalesce(contracts.case_fault(F.col("c")), F.lit("")).alias("fault"))
 
@@ -285,7 +285,10 @@ def _parse_suites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _output_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
-    suites = contracts.parse_suites(t.model_outputs(spark, sf))
+    """The suites are read for their errors and twice for their cases: they are parsed once, into a table."""
+    path = scratch_path(spark, "suites")
+    contracts.parse_suites(t.model_outputs(spark, sf)).drop("model_output").write.parquet(path)
+    suites = spark.read.parquet(path)
     runs = t.output_runs(spark, sf)
     return (
         suites, contracts.suite_cases(suites), t.mutants(spark, sf), runs.where("program_id = 'reference'"),

@@ -14,17 +14,19 @@ from tasksieve.schema import (
 )
 
 
-def parse_json_strictly(text: Column) -> Column:
-    """The VARIANT of a text that is exactly one JSON value, else NULL.
+def parse_json_strictly(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``, the VARIANT of a text that is exactly one JSON value, else NULL.
 
     Spark's parser stops at the end of the first value and ignores what follows. Parsing the text as the first of two
-    list elements, the second being its own digest, leaves no room for a tail: only then is element 1 the digest.
+    list elements, the second being its own digest, leaves no room for a tail: only then is element 1 the digest. Digest
+    and pair are columns of their own, so each text is hashed once and parsed once.
     """
-    seal = F.md5(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
-    return F.when(
-        F.try_variant_get(pair, "$[1]", "string") == seal, F.try_variant_get(pair, "$[0]", "variant")
+    sealed = rows.select("*", settled(F.md5(text)).alias("_seal"))
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.col("_seal"), F.lit('"]')))
+    value = F.when(
+        F.try_variant_get(F.col("_pair"), "$[1]", "string") == F.col("_seal"), F.try_variant_get(F.col("_pair"), "$[0]", "variant")
     )
+    return sealed.select("*", settled(pair).alias("_pair")).select(*[F.col(c) for c in rows.columns], settled(value).alias(name))
 
 
 def _field(value: Column, name: str, kind: str = "variant") -> Column:
@@ -43,28 +45,41 @@ def _is_list(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
 
 
-def _missing(value: Column, names: tuple[str, ...]) -> Column:
-    return F.array_compact(F.array(*[F.when(_field(value, n).isNull(), F.lit(n)) for n in names]))
+#: The cases of a list by one look-up: of each its fields as VARIANTs, NULL where a field is absent or the case no object.
+_CASE_LIST = f"array<struct<{', '.join(f'{n}: variant' for n in CASE_FIELDS)}>>"
+
+
+def _string(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
+
+
+def _case_rules(case: Column) -> list[Column]:
+    """Conditions that break a test case, given its fields as VARIANTs: missing keys, then types, then blanks."""
+    absent, other, blank = F.lit(False), F.lit(False), F.lit(False)
+    for n in CASE_FIELDS:
+        absent, other = absent | case[n].isNull(), other | ~_is_string(case[n])
+    for n in ("case_id", "expected_stdout"):
+        blank = blank | is_blank(_string(case[n]))
+    return [absent, other, blank]
+
+
+def _case_fault(case: Column) -> Column:
+    absent, other, blank = _case_rules(case)
+    return F.when(absent, "case_missing_fields").when(other, "case_not_strings").when(blank, "case_blank")
 
 
 def case_fault(value: Column) -> Column:
     """First broken rule of one test case: missing keys, then types, then blanks; NULL if sound."""
-    strings = [_is_string(_field(value, n)) for n in CASE_FIELDS]
-    blanks = [is_blank(_field(value, n, "string")) for n in ("case_id", "expected_stdout")]
-    return (
-        F.when(F.size(_missing(value, CASE_FIELDS)) > 0, "case_missing_fields")
-        .when(~(strings[0] & strings[1] & strings[2]), "case_not_strings")
-        .when(blanks[0] | blanks[1], "case_blank")
-    )
+    return _case_fault(F.struct(*[_field(value, n).alias(n) for n in CASE_FIELDS]))
 
 
-def _to_case(value: Column) -> Column:
-    return F.struct(*[_field(value, n, "string").alias(n) for n in CASE_FIELDS])
+def _to_case(case: Column) -> Column:
+    return F.struct(*[_string(case[n]).alias(n) for n in CASE_FIELDS])
 
 
 def _typed(name: str, value: Column) -> Column:
     if name == "reference_tests":
-        return F.transform(F.try_variant_get(value, "$", "array<variant>"), _to_case)
+        return F.transform(F.try_variant_get(value, "$", _CASE_LIST), _to_case)
     if name == "mutants":
         return F.transform(
             F.try_variant_get(value, "$", "array<variant>"),
@@ -136,8 +151,8 @@ def read_records(lines: DataFrame, raw: str = "raw", blank_lines: bool = False)
     kept = [F.col(name) for name in lines.columns]
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(raw)
-    parsed = (lines if blank_lines else lines.where(~is_blank(text))).select(
-        *kept, settled(F.when(F.is_valid_utf8(text), parse_json_strictly(text))).alias("_value")
+    parsed = parse_json_strictly(
+        lines if blank_lines else lines.where(~is_blank(text)), F.when(F.is_valid_utf8(text), text), "_value"
     )
     value = F.col("_value")
     # A parsed value is an object if its text opens with a brace.
@@ -174,11 +189,8 @@ def duplicate_keys(rows: DataFrame, key: str = "task_id", order: tuple[str, ...]
 def suite_slice(output: Column) -> Column:
     """From the first opening to the last closing brace of free text; NULL without such a span."""
     start = F.instr(output, "{")
-    end = F.length(output) - F.instr(F.reverse(output), "}") + 1
-    return F.when(
-        (start > 0) & (F.instr(output, "}") > 0) & (end > start),
-        F.substr(output, start, end - start + 1),
-    )
+    end = F.length(output) - F.length(F.substring_index(output, "}", -1))
+    return F.when((start > 0) & (end > start), F.substr(output, start, end - start + 1))
 
 
 # Messages of the suite report.
@@ -191,39 +203,42 @@ NO_CASES = "generated suite must include at least one test case"
 REPEATED_CASE = "generated case IDs must be unique"
 
 
-def _case_message(value: Column) -> Column:
-    names = F.array_join(F.transform(_missing(value, CASE_FIELDS), lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
-    fault = case_fault(value)
+def _case_message(case: Column) -> Column:
+    absent, other, blank = _case_rules(case)
+    names = F.array_join(F.array_compact(F.array(*[F.when(case[n].isNull(), f"'{n}'") for n in CASE_FIELDS])), ", ")
     return (
-        F.when(fault == "case_missing_fields", F.concat(F.lit("case missing fields: ["), names, F.lit("]")))
-        .when(fault == "case_not_strings", CASE_NOT_STRINGS)
-        .when(fault == "case_blank", CASE_BLANK)
+        F.when(absent, F.concat(F.lit("case missing fields: ["), names, F.lit("]")))
+        .when(other, CASE_NOT_STRINGS).when(blank, CASE_BLANK)
     )
 
 
 def parse_suites(outputs: DataFrame, column: str = "model_output") -> DataFrame:
-    """Generated suites out of free text: adds ``cases`` and ``parse_error`` (exactly one of them is NULL)."""
+    """Generated suites out of free text: adds ``cases`` and ``parse_error`` (exactly one of them is NULL).
+
+    Each output is parsed once, its cases looked up once. Whoever reads the suites more than once should store them.
+    """
     outputs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [F.col(name) for name in outputs.columns]
     sliced = outputs.select(*kept, settled(suite_slice(F.col(column))).alias("_slice"))
-    parsed = sliced.select(*kept, "_slice", settled(parse_json_strictly(F.col("_slice"))).alias("_value"))
+    parsed = parse_json_strictly(sliced, F.col("_slice"), "_value")
     listed = parsed.select(
-        *kept, "_slice", "_value", settled(_field(F.col("_value"), "cases", "array<variant>")).alias("_cases")
+        *kept, "_slice", "_value", settled(_field(F.col("_value"), "cases", _CASE_LIST)).alias("_cases")
     )
-    cases = F.col("_cases")
-    ids = F.transform(cases, lambda c: _field(c, "case_id", "string"))
-    error = F.coalesce(
+    fault = F.coalesce(
         F.when(F.col("_slice").isNull(), NO_OBJECT)
         .when(F.col("_value").isNull(), NOT_JSON)
-        .when(cases.isNull(), NO_CASE_LIST),
-        F.get(F.array_compact(F.transform(cases, _case_message)), F.lit(0)),
-        F.when(F.size(cases) == 0, NO_CASES)
-        .when(F.size(ids) != F.size(F.array_distinct(ids)), REPEATED_CASE),
+        .when(F.col("_cases").isNull(), NO_CASE_LIST)
+        .when(F.size("_cases") == 0, NO_CASES),
+        F.get(F.array_compact(F.transform("_cases", _case_message)), F.lit(0)),
     )
-    judged = listed.select(*kept, "_cases", settled(error).alias("parse_error"))
-    return judged.select(
-        *kept, F.when(F.col("parse_error").isNull(), F.transform(cases, _to_case)).alias("cases"), "parse_error"
+    looked = listed.select(*kept, "_cases", settled(fault).alias("_fault"))
+    typed = looked.select(
+        *kept, "_fault", settled(F.when(F.col("_fault").isNull(), F.transform("_cases", _to_case))).alias("_typed")
     )
+    ids = F.col("_typed")["case_id"]
+    repeated = F.when(F.size(ids) != F.size(F.array_distinct(ids)), REPEATED_CASE)
+    judged = typed.select(*kept, "_typed", settled(F.coalesce(F.col("_fault"), repeated)).alias("parse_error"))
+    return judged.select(*kept, F.when(F.col("parse_error").isNull(), F.col("_typed")).alias("cases"), "parse_error")
 
 
 def suite_cases(suites: DataFrame) -> DataFrame:

@@ -202,6 +202,30 @@ def test_suites(spark):
     assert {(c.task_id, c.case_ord, c.case_id, c.stdin) for c in cases} == {("0", 0, "e", "0\n"), ("1", 0, "e", "")}
 
 
+def test_texts_are_hashed_and_parsed_once_and_scores_read_stored_suites(spark):
+    import __spark_entry__ as registry
+    from tests.conftest import SMALL
+
+    rows = spark.createDataFrame([("t", SUITES[0][0])], "task_id string, model_output string")
+    plan = contracts.parse_suites(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("parseJson"), plan.count("md5(")) == (1, 1)
+    assert "parseJson" not in registry.queries()["score_outputs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_odd_cases_and_braces(spark):
+    good = '{"case_id": "a", "stdin": "", "expected_stdout": "1"}'
+    absent = "case missing fields: ['case_id', 'stdin', 'expected_stdout']"
+    odd = [
+        (f'{{"cases": [null, {good}]}}', absent), (f'{{"cases": [{good}, 7]}}', absent),
+        (f'{{"cases": [{good}, {{"case_id": "b", "stdin": {{}}, "expected_stdout": "x"}}, 7]}}', contracts.CASE_NOT_STRINGS),
+        (f'}} é {{"cases": [{good}]}} é', None), (None, contracts.NO_OBJECT), ("}é{", contracts.NO_OBJECT),
+    ]
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(odd)], "task_id int, model_output string")
+    found = contracts.parse_suites(rows).orderBy("task_id").collect()
+    assert [r.parse_error for r in found] == [error for _, error in odd]
+    assert [tuple(c) for c in found[3].cases] == [("a", "", "1")]
+
+
 def test_refused_rows_are_stored_without_fields_and_compressed_files_load(spark, tasks_of, task, tmp_path):
     from tasksieve.sources import jsonl
 
