@@ -50,9 +50,14 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def head(text: Column) -> Column:
+    """The first 64 bytes, of which the last may be part of a character. A text is not decoded for them, nor its characters counted."""
+    return F.substring(text.cast("binary"), 1, 64).cast("string")
+
+
 def is_blank(text: Column) -> Column:
-    """True for text without a visible character; NULL stays NULL."""
-    return ~text.rlike(f"[{VISIBLE}]")
+    """True for text without a visible character; NULL stays NULL. A text is decoded whole only if no ASCII one is at its head."""
+    return ~(head(text).rlike("[!-~]") | text.rlike(f"[{VISIBLE}]"))
 
 
 def squeeze(text: Column) -> Column:

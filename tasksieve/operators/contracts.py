@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tasksieve.functions.text import is_blank, settled
+from tasksieve.functions.text import head, is_blank, settled
 from tasksieve.schema import (
     CASE_FIELDS, MUTANT_FIELDS, REQUIRED_FIELDS, REVIEW_STATUSES, TASK_FIELDS, TEXT_FIELDS,
 )
@@ -37,16 +37,12 @@ def _is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+def _list_of(names: tuple[str, ...]) -> str:
+    return f"array<struct<{', '.join(f'{n}: variant' for n in names)}>>"
 
 
-def _is_list(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
-
-
-#: The cases of a list by one look-up: of each its fields as VARIANTs, NULL where a field is absent or the case no object.
-_CASE_LIST = f"array<struct<{', '.join(f'{n}: variant' for n in CASE_FIELDS)}>>"
+#: The objects of a list by one look-up: of each its fields as VARIANTs, NULL where a field is absent or the element no object.
+_CASE_LIST, _MUTANT_LIST = _list_of(CASE_FIELDS), _list_of(MUTANT_FIELDS)
 
 
 def _string(value: Column) -> Column:
@@ -82,8 +78,8 @@ def _typed(name: str, value: Column) -> Column:
         return F.transform(F.try_variant_get(value, "$", _CASE_LIST), _to_case)
     if name == "mutants":
         return F.transform(
-            F.try_variant_get(value, "$", "array<variant>"),
-            lambda m: F.struct(*[_field(m, n, "string").alias(n) for n in MUTANT_FIELDS]),
+            F.try_variant_get(value, "$", _MUTANT_LIST),
+            lambda m: F.struct(*[_string(m[n]).alias(n) for n in MUTANT_FIELDS]),
         )
     text = F.try_variant_get(value, "$", "string")
     return F.coalesce(text, F.lit("")) if name == "review_notes" else text
@@ -95,18 +91,19 @@ def _is_empty(value: Column) -> Column:
     return F.when(_is_string(value), text == "").otherwise(text.isin("", "0", "0.0", "-0.0", "false", "[]", "{}"))
 
 
-def _faults(fields: Column) -> Column:
-    """All broken rules of an object, given its fields as VARIANTs, in the order in which they are looked at."""
+def _faults(fields: Column, lists: Column) -> Column:
+    """All broken rules of an object, given its fields as VARIANTs, in the order in which they are looked at.
+
+    ``lists`` has its ``tests`` and ``mutants`` as lists, NULL where the field is none, and the ``ids`` of the tests.
+    """
     missing = F.array_compact(F.array(*[F.when(fields[n].isNull(), F.lit(n)) for n in REQUIRED_FIELDS]))
-    tests = F.try_variant_get(fields["reference_tests"], "$", "array<variant>")
-    mutants = F.try_variant_get(fields["mutants"], "$", "array<variant>")
-    ids = F.transform(tests, lambda c: _field(c, "case_id", "string"))
+    tests, mutants, ids = lists["tests"], lists["mutants"], lists["ids"]
 
     def fault(condition: Column, code: str) -> Column:
         return F.when(F.coalesce(condition, F.lit(False)), F.lit(code))
 
     tail = [
-        fault(~_is_list(fields["mutants"]), "mutants_not_list"),
+        fault(mutants.isNull(), "mutants_not_list"),
         fault(
             ~(_is_string(fields["review_status"])
               & F.try_variant_get(fields["review_status"], "$", "string").isin(*REVIEW_STATUSES)),
@@ -120,7 +117,7 @@ def _faults(fields: Column) -> Column:
         fault(F.size(tests) == 0, "no_tests"),
         fault(F.size(ids) != F.size(F.array_distinct(ids)), "duplicate_case_ids"),
         fault(
-            F.exists(mutants, lambda m: ~_is_object(m) | _is_empty(_field(m, "mutant_id")) | _is_empty(_field(m, "source"))),
+            F.exists(mutants, lambda m: _is_empty(m["mutant_id"]) | _is_empty(m["source"])),
             "mutant_fields",
         ),
         fault(
@@ -130,8 +127,8 @@ def _faults(fields: Column) -> Column:
     ]
     no_codes = F.array().cast("array<string>")
     complete = F.concat(
-        F.array(fault(~_is_list(fields["reference_tests"]), "tests_not_list")),
-        F.coalesce(F.array_distinct(F.array_compact(F.transform(tests, case_fault))), no_codes),
+        F.array(fault(tests.isNull(), "tests_not_list")),
+        F.coalesce(F.array_distinct(F.array_compact(F.transform(tests, _case_fault))), no_codes),
         F.array(*tail),
     )
     return F.when(
@@ -142,33 +139,52 @@ def _faults(fields: Column) -> Column:
 BLANK_LINE = "blank_line"
 
 
+def _opening(text: Column) -> Column:
+    """The first bytes of a text, the whole text if they are white space: a pattern that looks at its first visible character
+    then need not have all of it decoded."""
+    first = head(text)
+    return F.when(first.rlike(r"[^ \t\r\n]"), first).otherwise(text)
+
+
 def read_records(lines: DataFrame, raw: str = "raw", blank_lines: bool = False) -> DataFrame:
     """Add the typed task fields, ``errors`` (all codes) and ``first_error`` to a table of JSON texts.
 
-    Blank lines are skipped, or, where ``blank_lines`` asks for them, kept with the one code ``BLANK_LINE``. A row whose ``errors`` is empty satisfies the contract. Each line is parsed once, each
-    field looked up once; the typed fields are a plain projection on top, so unused ones are never built.
+    Blank lines are skipped, or, where ``blank_lines`` asks for them, kept with the one code ``BLANK_LINE``. A row whose ``errors`` is empty satisfies the contract. Each line is checked and parsed once, each
+    field and list looked up once; the typed fields are a plain projection on top, so unused ones are never built.
     """
     kept = [F.col(name) for name in lines.columns]
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(raw)
-    parsed = parse_json_strictly(
-        lines if blank_lines else lines.where(~is_blank(text)), F.when(F.is_valid_utf8(text), text), "_value"
+    # What the text alone tells. A parsed value is an object if its text opens with a brace.
+    shape = (
+        F.when(is_blank(text), BLANK_LINE).when(~F.is_valid_utf8(text), "bad_encoding")
+        .when(~_opening(text).rlike(r"^[ \t\r\n]*\{"), "not_object")
     )
+    shaped = lines.select(*kept, settled(shape).alias("_shape"))
+    if not blank_lines:
+        shaped = shaped.where(text.isNotNull() & ~F.equal_null("_shape", F.lit(BLANK_LINE)))
+    hopeless = F.col("_shape").isin(BLANK_LINE, "bad_encoding")
+    parsed = parse_json_strictly(shaped, F.when(~F.coalesce(hopeless, F.lit(False)), text), "_value")
     value = F.col("_value")
-    # A parsed value is an object if its text opens with a brace.
-    state = (
-        F.when(is_blank(text), BLANK_LINE).when(~F.is_valid_utf8(text), "bad_encoding").when(value.isNull(), "json_decode")
-        .when(~text.rlike(r"^[ \t\r\n]*\{"), "not_object")
-    )
+    state = F.when(hopeless, F.col("_shape")).when(value.isNull(), "json_decode").otherwise(F.col("_shape"))
     split = parsed.select(
         *kept,
         settled(F.struct(state.alias("state"), *[_field(value, n).alias(n) for n in TASK_FIELDS])).alias("_fields"),
     )
     fields = F.col("_fields")
-    judged = split.select(
+    listed = split.select(*kept, "_fields", settled(F.struct(
+        F.try_variant_get(fields["reference_tests"], "$", _CASE_LIST).alias("tests"),
+        F.try_variant_get(fields["mutants"], "$", _MUTANT_LIST).alias("mutants"),
+    )).alias("_found"))
+    found = F.col("_found")
+    lists = listed.select(*kept, "_fields", settled(F.struct(
+        found["tests"].alias("tests"), found["mutants"].alias("mutants"),
+        F.transform(found["tests"], lambda c: _string(c["case_id"])).alias("ids"),
+    )).alias("_lists"))
+    judged = lists.select(
         *kept, "_fields",
         settled(
-            F.when(fields["state"].isNotNull(), F.array(fields["state"])).otherwise(_faults(fields))
+            F.when(fields["state"].isNotNull(), F.array(fields["state"])).otherwise(_faults(fields, F.col("_lists")))
         ).alias("errors"),
     )
     return judged.select(

@@ -212,6 +212,24 @@ def test_texts_are_hashed_and_parsed_once_and_scores_read_stored_suites(spark):
     assert "parseJson" not in registry.queries()["score_outputs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_checked_once_and_decoded_whole_only_if_their_head_tells_nothing(spark, task):
+    from tasksieve.functions.text import is_blank
+    from tasksieve.sources import tables as t
+    from tests.conftest import SMALL
+
+    rows = spark.createDataFrame([(0, "{}")], "seq long, raw string")
+    plan = contracts.read_records(rows).select("seq", "errors")._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count(".isValid()"), plan.count("parseJson"), plan.count("md5(")) == (1, 1, 1)
+    plan = t.task_lines(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator") == 12
+    good = json.dumps(task(), ensure_ascii=False)
+    lines = [" " * 200 + good, "\n" * 64 + "[" + good + "]", " " * 63 + "é" + good, " " * 100, "\u3000" * 40, "\u3000" * 40 + "x", "\u2003" * 22, "é" * 99]
+    assert judge(spark, *lines) == [[], ["not_object"], ["json_decode"], ["json_decode"], ["json_decode"]]
+    texts = [*lines, "", "\ufffd", " " * 63 + "\u3000", " " * 63 + "é", "漢", None]
+    seen = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", is_blank(contracts.F.col("s")).alias("blank")).orderBy("i")
+    assert [r.blank for r in seen.collect()] == [None if s is None else not s.strip() for s in texts]
+
+
 def test_odd_cases_and_braces(spark):
     good = '{"case_id": "a", "stdin": "", "expected_stdout": "1"}'
     absent = "case missing fields: ['case_id', 'stdin', 'expected_stdout']"
