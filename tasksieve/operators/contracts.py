@@ -21,12 +21,21 @@ def parse_json_strictly(rows: DataFrame, text: Column, name: str) -> DataFrame:
     list elements, the second being its own digest, leaves no room for a tail: only then is element 1 the digest. Digest
     and pair are columns of their own, so each text is hashed once and parsed once.
     """
+    return _sealed(rows, text).select(
+        *[F.col(c) for c in rows.columns], settled(F.when(_is_whole(), F.try_variant_get("_pair", "$[0]", "variant"))).alias(name)
+    )
+
+
+def _sealed(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``_seal``, the digest of a text, and ``_pair``, the VARIANT of a list of text and digest."""
     sealed = rows.select("*", settled(F.md5(text)).alias("_seal"))
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), F.col("_seal"), F.lit('"]')))
-    value = F.when(
-        F.try_variant_get(F.col("_pair"), "$[1]", "string") == F.col("_seal"), F.try_variant_get(F.col("_pair"), "$[0]", "variant")
-    )
-    return sealed.select("*", settled(pair).alias("_pair")).select(*[F.col(c) for c in rows.columns], settled(value).alias(name))
+    return sealed.select("*", settled(pair).alias("_pair"))
+
+
+def _is_whole() -> Column:
+    """True where the first element of ``_pair`` is the whole text; NULL where there is no pair."""
+    return F.try_variant_get("_pair", "$[1]", "string") == F.col("_seal")
 
 
 def _field(value: Column, name: str, kind: str = "variant") -> Column:
@@ -37,13 +46,16 @@ def _is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _list_of(names: tuple[str, ...]) -> str:
-    return f"array<struct<{', '.join(f'{n}: variant' for n in names)}>>"
+def _list_of(names: tuple[str, ...], kind: str = "variant") -> str:
+    return f"array<struct<{', '.join(f'{n}: {kind}' for n in names)}>>"
 
 
 #: The objects of a list by one look-up: of each its fields as VARIANTs, NULL where a field is absent or the element no object.
 _CASE_LIST, _MUTANT_LIST = _list_of(CASE_FIELDS), _list_of(MUTANT_FIELDS)
 
+#: The same with the bytes of texts: of all JSON values only a string can be read as BINARY, the others give NULL.
+_CASE_TEXTS = _list_of(CASE_FIELDS, "binary")
+
 
 def _string(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
@@ -228,33 +240,37 @@ def _case_message(case: Column) -> Column:
     )
 
 
+def _is_sound(case: Column) -> Column:
+    """True for a case whose fields are all there as texts, id and expected output visible; never NULL."""
+    given = F.lit(True)
+    for n in CASE_FIELDS:
+        given = given & case[n].isNotNull()
+    return given & ~is_blank(case["case_id"]) & ~is_blank(case["expected_stdout"])
+
+
 def parse_suites(outputs: DataFrame, column: str = "model_output") -> DataFrame:
     """Generated suites out of free text: adds ``cases`` and ``parse_error`` (exactly one of them is NULL).
 
-    Each output is parsed once, its cases looked up once. Whoever reads the suites more than once should store them.
+    Each output is parsed once and its cases are read at once as texts. Only where one of them is missing or blank are
+    they looked at one by one for the message. Whoever reads the suites more than once should store them.
     """
     outputs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [F.col(name) for name in outputs.columns]
     sliced = outputs.select(*kept, settled(suite_slice(F.col(column))).alias("_slice"))
-    parsed = parse_json_strictly(sliced, F.col("_slice"), "_value")
-    listed = parsed.select(
-        *kept, "_slice", "_value", settled(_field(F.col("_value"), "cases", _CASE_LIST)).alias("_cases")
-    )
-    fault = F.coalesce(
-        F.when(F.col("_slice").isNull(), NO_OBJECT)
-        .when(F.col("_value").isNull(), NOT_JSON)
-        .when(F.col("_cases").isNull(), NO_CASE_LIST)
-        .when(F.size("_cases") == 0, NO_CASES),
-        F.get(F.array_compact(F.transform("_cases", _case_message)), F.lit(0)),
-    )
-    looked = listed.select(*kept, "_cases", settled(fault).alias("_fault"))
-    typed = looked.select(
-        *kept, "_fault", settled(F.when(F.col("_fault").isNull(), F.transform("_cases", _to_case))).alias("_typed")
+    texts = F.try_variant_get("_pair", "$[0].cases", _CASE_TEXTS).cast(_list_of(CASE_FIELDS, "string"))
+    read = _sealed(sliced, F.col("_slice")).select(*kept, "_slice", "_pair", settled(F.struct(
+        F.coalesce(_is_whole(), F.lit(False)).alias("whole"), texts.alias("cases")
+    )).alias("_read"))
+    cases = F.col("_read")["cases"]
+    messages = F.transform(F.try_variant_get("_pair", "$[0].cases", _CASE_LIST), _case_message)
+    error = (
+        F.when(F.col("_slice").isNull(), NO_OBJECT).when(~F.col("_read")["whole"], NOT_JSON)
+        .when(cases.isNull(), NO_CASE_LIST).when(F.size(cases) == 0, NO_CASES)
+        .when(~F.forall(cases, _is_sound), F.get(F.array_compact(messages), F.lit(0)))
+        .when(F.size(cases["case_id"]) != F.size(F.array_distinct(cases["case_id"])), REPEATED_CASE)
     )
-    ids = F.col("_typed")["case_id"]
-    repeated = F.when(F.size(ids) != F.size(F.array_distinct(ids)), REPEATED_CASE)
-    judged = typed.select(*kept, "_typed", settled(F.coalesce(F.col("_fault"), repeated)).alias("parse_error"))
-    return judged.select(*kept, F.when(F.col("parse_error").isNull(), F.col("_typed")).alias("cases"), "parse_error")
+    judged = read.select(*kept, "_read", settled(error).alias("parse_error"))
+    return judged.select(*kept, F.when(F.col("parse_error").isNull(), cases).alias("cases"), "parse_error")
 
 
 def suite_cases(suites: DataFrame) -> DataFrame:

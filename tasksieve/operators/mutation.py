@@ -50,27 +50,32 @@ def check_timeout(seconds: float | None) -> None:
         raise ValueError(f"a run may take more than 0 and up to 30 seconds, not {seconds}")
 
 
-def run_records(runs: DataFrame, timeout_seconds: float | None = TIMEOUT_SECONDS, label: str = "SUM=") -> DataFrame:
-    """Run rows in report shape; a run beyond ``timeout_seconds`` counts as timed out."""
+def _runs_in_time(runs: DataFrame, timeout_seconds: float | None, stdout: Column | None = None) -> DataFrame:
+    """Run rows with the parts of a late run emptied; ``stdout`` shapes the output, which else stays as it was printed."""
     check_timeout(timeout_seconds)
     late = F.coalesce(F.col("timed_out"), F.lit(False))
     if timeout_seconds is not None and "duration_seconds" in runs.columns:
         late = late | F.coalesce(F.col("duration_seconds") > timeout_seconds, F.lit(False))
-    shaped = {
+    parts = {
         "return_code": F.when(~late, F.col("return_code")),
-        "stdout": F.when(late, "").otherwise(normalize_output(F.col("stdout"), label)),
+        "stdout": F.when(late, "").otherwise(F.col("stdout") if stdout is None else stdout),
         "timed_out": late,
     }
     if "stderr" in runs.columns:
-        shaped["stderr"] = F.when(late, "timeout").otherwise(F.substring("stderr", 1, 4000))
-    return runs.select(*[shaped[c].alias(c) if c in shaped else F.col(c) for c in runs.columns])
+        parts["stderr"] = F.when(late, "timeout").otherwise(F.substring("stderr", 1, 4000))
+    return runs.select(*[parts[c].alias(c) if c in parts else F.col(c) for c in runs.columns])
 
 
-def _as_expected(expected: Column) -> Column:
-    """True for a run that ended well with the expected output; missing parts make it false."""
-    return F.coalesce(
-        ~F.col("timed_out") & (F.col("return_code") == 0) & (F.col("stdout") == expected), F.lit(False)
-    )
+def run_records(runs: DataFrame, timeout_seconds: float | None = TIMEOUT_SECONDS, label: str = "SUM=") -> DataFrame:
+    """Run rows in report shape; a run beyond ``timeout_seconds`` counts as timed out."""
+    return _runs_in_time(runs, timeout_seconds, stdout=normalize_output(F.col("stdout"), label))
+
+
+def _as_expected(expected: Column, label: str) -> Column:
+    """True for a run that ended well with the expected output; missing parts make it false. The output is normalized
+    here, behind the join with the cases, so runs of no case cost nothing."""
+    printed = normalize_output(F.col("stdout"), label)
+    return F.coalesce(~F.col("timed_out") & (F.col("return_code") == 0) & (printed == expected), F.lit(False))
 
 
 def oracle_validity(
@@ -85,7 +90,7 @@ def oracle_validity(
     exchange: the rows already lie by task and case.
     """
     key = [*suite_key(cases), "case_id"]
-    runs = run_records(reference_runs, timeout_seconds, label).select(
+    runs = _runs_in_time(reference_runs, timeout_seconds).select(
         *key, "timed_out", "return_code", "stdout", F.lit(1).alias("_run")
     )
     kept = [*key, *(c for c in ("case_ord",) if c in cases.columns)]
@@ -94,7 +99,7 @@ def oracle_validity(
         named = named & F.col(name).isNotNull()
     expected = cases.where(named).select(*kept, normalize_output(F.col("expected_stdout"), label).alias("expected"))
     tally = expected.join(runs, key, "left").groupBy(*kept, "expected").agg(
-        F.count("_run").alias("reference_run_count"), F.count_if(_as_expected(F.col("expected"))).alias("_good")
+        F.count("_run").alias("reference_run_count"), F.count_if(_as_expected(F.col("expected"), label)).alias("_good")
     )
     valid = (F.col("reference_run_count") > 0) & (F.col("_good") == F.col("reference_run_count"))
     return tally.select(*kept, "expected", settled(valid).alias("oracle_valid"), "reference_run_count")
@@ -106,13 +111,13 @@ def kill_matrix(
     """Recorded runs of mutants on valid cases: the suite, case_id[, case_ord], mutant_id[, mutant_ord], killed and
     ``record_count``, the rows the log holds of the run."""
     key = [*suite_key(validity), "case_id"]
-    runs = run_records(mutant_runs.where(F.col("program_id") != REFERENCE), timeout_seconds, label)
+    runs = _runs_in_time(mutant_runs.where(F.col("program_id") != REFERENCE), timeout_seconds)
     kept = [*key, *(c for c in ("case_ord",) if c in validity.columns)]
     mutant = ["program_id", *(c for c in ("mutant_ord",) if c in mutant_runs.columns)]
     tally = (
         validity.where("oracle_valid").select(*kept, "expected").join(runs, key)
         .groupBy(*kept, *mutant).agg(
-            F.count(F.lit(1)).alias("record_count"), F.count_if(~_as_expected(F.col("expected"))).alias("_off")
+            F.count(F.lit(1)).alias("record_count"), F.count_if(~_as_expected(F.col("expected"), label)).alias("_off")
         )
     )
     return tally.select(
@@ -216,7 +221,10 @@ def score_outputs(
 ) -> DataFrame:
     """Scores of parsed model outputs; an output that did not parse keeps its error, no valid case and no score."""
     key = suite_key(suites)
-    scores = suite_scores(cases, mutants, reference_runs, mutant_runs, timeout_seconds)
+    parsed = suites.where("parse_error IS NULL").select("task_id")
+    # Mutants of tasks without a suite score nothing. Dealing the rest anew lets a task that holds many be cut up in the join.
+    scored = mutants.join(parsed, "task_id", "left_semi").repartition("task_id", "mutant_id")
+    scores = suite_scores(cases, scored, reference_runs, mutant_runs, timeout_seconds)
     return suites.select(*key, "parse_error").join(scores, key, "left").withColumn(
         "oracle_valid_count", F.coalesce("oracle_valid_count", F.lit(0))
     )

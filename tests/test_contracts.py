@@ -212,6 +212,19 @@ def test_texts_are_hashed_and_parsed_once_and_scores_read_stored_suites(spark):
     assert "parseJson" not in registry.queries()["score_outputs"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_only_strings_are_texts_of_a_case_and_cases_are_read_at_once(spark):
+    others = ["1", "-0.5", "1e300", "123456789012345678901234567890", "1.25e-9", "true", "null", "{}", "[]", '["x"]', '{"x": "y"}']
+    texts = ['""', '" "', '"1"', '"true"', '"null"', '"2026-01-01"', '"\\u00e9\\n"']
+    odd = [f'{{"cases": [{{"case_id": "a", "stdin": {v}, "expected_stdout": "1", "more": [1]}}]}}' for v in (*others, *texts)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "task_id int, model_output string")
+    suites = contracts.parse_suites(rows)
+    found = suites.orderBy("task_id").collect()
+    assert [r.parse_error for r in found] == [contracts.CASE_NOT_STRINGS] * len(others) + [None] * len(texts)
+    assert [r.cases[0].stdin for r in found[len(others):]] == [json.loads(v) for v in texts]
+    # One list of fields and one of messages is made of the cases, the latter for faulty ones only.
+    assert suites._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
 def test_lines_are_checked_once_and_decoded_whole_only_if_their_head_tells_nothing(spark, task):
     from tasksieve.functions.text import is_blank
     from tasksieve.sources import tables as t

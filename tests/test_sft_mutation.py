@@ -149,6 +149,29 @@ def test_reports_from_model_output(spark, tables, tmp_path):
     assert back["u"]["mutation_score"] is None and back["u"]["generated_case_count"] is None
 
 
+def test_outputs_are_normalized_behind_the_join_and_mutants_without_a_suite_stay_out(spark, tables):
+    cases, mutants, ref, log = tables
+    suites = spark.createDataFrame([("t", None), ("off", contracts.NOT_JSON), ("none", None), ("none", None), (None, None)],
+                                   "task_id string, parse_error string")
+    kept = cases.join(suites.where("parse_error IS NULL").distinct(), "task_id").drop("parse_error")
+    lost = mutants.unionByName(spark.createDataFrame([("off", "m9", 0), (None, "m9", 0), ("off", "m9", 0)], mutants.schema))
+    scored = mutation.score_outputs(suites, kept, lost, ref, log)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    for joined in (mutation.oracle_validity(cases, ref), mutation.kill_matrix(cases.selectExpr(
+        "task_id", "case_id", "expected_stdout AS expected", "true AS oracle_valid"), log)):
+        above, below = joined._jdf.queryExecution().optimizedPlan().toString().split(" Join ", 1)
+        assert "replace(stdout#" in above and "replace(stdout#" not in below
+    alone = {r.task_id: r.asDict() for r in mutation.suite_scores(kept, mutants, ref, log).collect()}
+    found = scored.collect()
+    assert len(found) == 5
+    for row in found:
+        want = alone.get(row.task_id) or {"oracle_valid_count": 0}
+        assert {k: v for k, v in row.asDict().items() if v is not None and k not in ("task_id", "parse_error")} == {
+            k: v for k, v in want.items() if v is not None and k != "task_id"
+        }
+
+
 def test_target_and_prompt_text(spark, task, tasks_of):
     record = task(reference_tests=[{"case_id": "é", "stdin": "1\n\"\x1f", "expected_stdout": "SUM=3"}])
     row = sft.sft_messages(tasks_of(record)).first()
