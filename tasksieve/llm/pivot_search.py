@@ -412,7 +412,8 @@ def top_products(embeddings: DataFrame, query: str, op: PivotSearch = PivotSearc
     home = stored(blocks.mapInArrow(_at_home(op), _HOME), "home-answers")
     batches = home.mapInArrow(_traveller(_boxes(blocks), op), _BATCH)
     asked = batches.select("dim", "tile", "n", *[F.col(c).alias(f"q_{c}") for c in ("keys", "vectors", "table", "scores", "ids", "rows")])
-    met = blocks.select("dim", "tile", "x", "first", "distances", "low", "high").join(asked, ["dim", "tile"])
+    # The planner takes a batch for as small as a home answer and would broadcast them all; they outgrow the driver.
+    met = blocks.select("dim", "tile", "x", "first", "distances", "low", "high").join(asked.hint("merge"), ["dim", "tile"])
     found = stored(met.mapInArrow(_meeting(op), _FOUND), "answers").unionByName(home.select("query", "scores", "ids", "rows"))
     entries = found.select("query", F.explode(F.arrays_zip("scores", "ids", "rows")).alias("e")).select("query", "e.*").where(F.col("rows") != _LAST).distinct()
     order = Window.partitionBy("query").orderBy(F.col("scores").desc(), "ids", "rows")

@@ -170,6 +170,16 @@ def test_bounds_leave_out_most_of_what_is_far(spark):
     assert sum(evaluated) < 500
 
 
+def test_batches_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Their number grows with queries times tiles, which no estimate from the home answers tells."""
+    plans, stored = {}, pivot_search.stored
+    monkeypatch.setattr(pivot_search, "stored", lambda rows, name: plans.update({name: rows._jdf.queryExecution().executedPlan().toString()}) or stored(rows, name))
+    rows = list(enumerate(clustered(5, 60, 4).tolist()))
+    found = answers(pivot_search.top_products(embeddings(spark, rows), "vec_id % 10 = 0", SMALL))
+    assert sorted(found) == expected_top(rows, lambda q: q % 10 == 0, 3)
+    assert "SortMergeJoin" in plans["answers"] and "Broadcast" not in plans["answers"]
+
+
 def test_search_edges(spark):
     one = embeddings(spark, [(0, [1.0, 2.0])])
     assert answers(pivot_search.top_products(one, "true")) == []
