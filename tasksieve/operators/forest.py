@@ -100,58 +100,83 @@ class Piece:
     value: np.ndarray
 
 
-def grow(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, key: np.ndarray, weights: tuple[float, float], op: Forest) -> Piece:
-    """The subtree over rows ``x`` that were drawn n0 times with label 0 or n1 times with label 1, all nodes of a level at once."""
+def ranked(x: np.ndarray) -> np.ndarray:
+    """For each feature the place of every row's value among the feature's values."""
+    places = np.empty((x.shape[1], len(x)), np.int32)
+    for f in range(x.shape[1]):
+        places[f] = np.unique(x[:, f], return_inverse=True)[1].ravel()
+    return places
+
+
+def grow(
+    x: np.ndarray, n0: np.ndarray, n1: np.ndarray, key: np.ndarray, weights: tuple[float, float], op: Forest, places: np.ndarray | None = None,
+) -> Piece:
+    """The subtree over rows ``x`` that were drawn n0 times with label 0 or n1 times with label 1, all nodes of a level at once.
+
+    ``places`` are the rows' columns of ``ranked`` over these rows or more of them."""
     features = x.shape[1]
     tries = op.tries or max(1, int(np.sqrt(features)))
     levels: list[tuple[np.ndarray, ...]] = []
     # Node, place of the value among the feature's values and row fit one whole number as a rule: to sort those is much faster.
-    places = np.empty((features, len(x)), np.int64)
-    for f in range(features):
-        places[f] = np.unique(x[:, f], return_inverse=True)[1].ravel()
+    places = ranked(x) if places is None else places
+    varies = (places != places[:, :1]).any(axis=1)
     row_bits, place_bits = int(len(x)).bit_length(), int(places.max(initial=0)).bit_length()
+    flat, size = places.ravel(), np.int64(len(x))
+    # Both classes' draws in one number: they are looked up and added up together.
+    both, half = n0.astype(np.int64) | (n1.astype(np.int64) << 32), (1 << 32) - 1
     rows, node, keys, total = np.arange(len(x)), np.zeros(len(x), np.int64), key.copy(), 1
     while len(keys):
-        m = len(keys)
-        t0, t1, n = np.bincount(node, n0[rows], m), np.bincount(node, n1[rows], m), np.bincount(node, minlength=m)
+        m, drawn = len(keys), both.take(rows)
+        t0, t1, n = np.bincount(node, drawn & half, m), np.bincount(node, drawn >> 32, m), np.bincount(node, minlength=m)
         value = weights[1] * t1 / (weights[0] * t0 + weights[1] * t1)
-        best, feature, threshold = np.full(m, -np.inf), np.full(m, LEAF), np.zeros(m)
+        best, feature, threshold, cut = np.full(m, -np.inf), np.full(m, LEAF), np.zeros(m), np.zeros(m, np.int32)
         open_, seen, order = (t0 > 0) & (t1 > 0) & (n >= 2 * op.min_leaf), np.zeros(m, np.int64), feature_order(keys, features)
         for place in range(features):
             live = open_ & ((seen < tries) | (feature < 0))
             if not live.any():
                 break
+            # A feature with one value in all rows has nothing to be tried.
+            tried = order[:, place]
+            live &= varies[tried]
             own = np.flatnonzero(live[node])
-            at, tried = node[own], order[node[own], place]
-            ranks = places[tried, rows[own]]
+            if not len(own):
+                continue
+            at = node[own]
+            ranks = flat.take(tried[at] * size + rows[own]).astype(np.int64)
             if m.bit_length() + place_bits + row_bits <= _PACKED_BITS:
-                packed = np.sort((at << (place_bits + row_bits)) | (ranks << row_bits) | own)
-                own = packed & ((1 << row_bits) - 1)
+                packed = (at << (place_bits + row_bits)) | (ranks << row_bits) | own
+                packed.sort()
+                own, at = packed & ((1 << row_bits) - 1), packed >> (place_bits + row_bits)
+                ends = packed >> row_bits
             else:
-                own = own[np.lexsort((ranks, at))]
-            at = node[own]
-            values = x[rows[own], order[at, place]]
-            begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            begin = np.repeat(begins, np.diff(np.append(begins, len(at))))
-            c0, c1 = np.cumsum(n0[rows[own]]), np.cumsum(n1[rows[own]])
-            steps = np.flatnonzero((at[1:] == at[:-1]) & (values[1:] > values[:-1]))
-            seen[np.unique(at[steps])] += 1
-            left = steps - begin[steps] + 1
-            steps = steps[(left >= op.min_leaf) & (n[at[steps]] - left >= op.min_leaf)]
+                sorted_ = np.lexsort((ranks, at))
+                own, at, ends = own[sorted_], at[sorted_], None
+                ranks = ranks[sorted_]
+            begins = np.zeros(m, np.int64)
+            begins[live] = np.cumsum(n[live]) - n[live]
+            steps = np.flatnonzero((at[1:] == at[:-1]) & (ends[1:] > ends[:-1] if ends is not None else ranks[1:] > ranks[:-1]))
+            k = at[steps]
+            seen[k[np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else k]] += 1
+            left = steps - begins[k] + 1
+            good = (left >= op.min_leaf) & (n[k] - left >= op.min_leaf)
+            steps, k = steps[good], k[good]
             if not len(steps):
                 continue
-            b, k = begin[steps], at[steps]
-            l0 = c0[steps] - np.where(b > 0, c0[b - 1], 0)
-            l1 = c1[steps] - np.where(b > 0, c1[b - 1], 0)
+            b = begins[k]
+            sums = np.cumsum(drawn.take(own))
+            inside = sums[steps] - np.where(b > 0, sums[b - 1], 0)
+            l0, l1 = inside & half, inside >> 32
             score = purity(l0, l1, t0[k] - l0, t1[k] - l1, weights)
             cuts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
             most = np.repeat(np.maximum.reduceat(score, cuts), np.diff(np.append(cuts, len(k))))
             tops = np.flatnonzero(score == most)
             tops = tops[np.append(True, k[tops][1:] != k[tops][:-1])]
             tops = tops[score[tops] > best[k[tops]]]
-            which = k[tops]
-            best[which], feature[which] = score[tops], order[which, place]
-            threshold[which] = between(values[steps[tops]], values[steps[tops] + 1])
+            which, step = k[tops], steps[tops]
+            best[which], feature[which] = score[tops], tried[which]
+            below = rows[own[step]]
+            cut[which] = places[tried[which], below]
+            threshold[which] = between(x[below, tried[which]], x[rows[own[step + 1]], tried[which]])
         split = np.flatnonzero(feature >= 0)
         low, high = np.zeros(m, np.int64), np.zeros(m, np.int64)
         low[split] = total + 2 * np.arange(len(split))
@@ -161,7 +186,12 @@ def grow(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, key: np.ndarray, weights
         rows, node = rows[goes], node[goes]
         number = np.zeros(m, np.int64)
         number[split] = 2 * np.arange(len(split))
-        node = number[node] + (x[rows, feature[node]] > threshold[node])
+        node = number[node] + (flat.take(feature[node] * size + rows) > cut[node])
+        # Rows lie by node, in their order within it: what a node looks up is then close together.
+        if (2 * len(split)).bit_length() + row_bits <= _PACKED_BITS:
+            packed = (node << row_bits) | rows
+            packed.sort()
+            rows, node = packed & ((1 << row_bits) - 1), packed >> row_bits
         total += 2 * len(split)
         keys = np.stack([child_keys(keys[split], 0), child_keys(keys[split], 1)], axis=1).ravel()
     return Piece(*(np.concatenate(c) for c in zip(*levels)))
@@ -182,6 +212,14 @@ class Nodes:
     roots: np.ndarray
     nodes: Piece
 
+    @classmethod
+    def walkable(cls, roots: np.ndarray, feature: np.ndarray, threshold: np.ndarray, low: np.ndarray, value: np.ndarray) -> "Nodes":
+        """A leaf leads to itself, a node continued elsewhere to where; the high child always follows the low one."""
+        ends = np.flatnonzero(feature == LEAF)
+        low = low.astype(np.int32 if len(feature) < 2**31 else np.int64)
+        low[ends] = ends
+        return cls(roots, Piece(feature, np.where(feature < 0, np.inf, threshold), low, low, value))
+
     @classmethod
     def of(cls, rows: list) -> "Nodes":
         kinds = [pa.int32(), pa.int32(), *(pa.list_(k) for k in (pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()))]
@@ -196,28 +234,28 @@ class Nodes:
         lists = [pa.concat_arrays(pieces.column(c).chunks) for c in ("feature", "threshold", "low", "high", "value")]
         sizes = np.diff(lists[0].offsets.to_numpy())
         starts = np.cumsum(sizes) - sizes
-        feature, threshold, low, high, value = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+        feature, threshold, low, _, value = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
         feature, begin = feature.astype(np.int8 if feature.max() < 128 else np.int32), np.repeat(starts, sizes)
         onward = np.flatnonzero(feature == CONTINUED)
         # A piece's place: pieces are sorted by (tree, piece).
         span = int(max(piece.max(), low[onward].max(initial=0))) + 1
         goes = starts[np.searchsorted(tree * span + piece, np.repeat(tree, sizes)[onward] * span + low[onward])]
-        low, high = begin + low, begin + high
-        low[onward] = high[onward] = goes
-        small = np.int32 if len(feature) < 2**31 else np.int64
-        return cls(starts[piece == 0], Piece(feature, threshold, low.astype(small), high.astype(small), value))
-
-    def leaves(self, x: np.ndarray, root: int, through: bool = True) -> np.ndarray:
-        """The node each row ends in: a leaf, or, not going through, one that another piece continues."""
-        p, at, moving, now = self.nodes, np.full(len(x), root, np.int64), np.arange(len(x)), np.full(len(x), root, np.int64)
+        low = begin + low
+        low[onward] = goes
+        return cls.walkable(starts[piece == 0], feature, threshold, low, value)
+
+    def leaves(self, x: np.ndarray, root: int) -> np.ndarray:
+        """The leaf each row ends in. Some steps are taken between two looks at who has arrived."""
+        p, flat, width = self.nodes, np.ascontiguousarray(x).ravel(), x.shape[1]
+        at, moving = np.empty(len(x), np.int64), np.arange(len(x))
+        begin, now = moving * width, np.full(len(x), root, np.int64)
         while len(moving):
-            feature = p.feature[now]
-            goes = feature != LEAF if through else feature >= 0
+            for _ in range(4):
+                now = p.low.take(now) + (flat.take(begin + p.feature.take(now)) > p.threshold.take(now))
+            goes = p.low.take(now) != now
             if not goes.all():
                 at[moving[~goes]] = now[~goes]
-                moving, feature, now = moving[goes], feature[goes], now[goes]
-            over = (feature >= 0) & (x[moving, np.maximum(feature, 0)] > p.threshold[now])
-            now = np.where(over, p.high[now], p.low[now])
+                moving, begin, now = moving[goes], begin[goes], now[goes]
         return at
 
     def sums(self, x: np.ndarray) -> np.ndarray:
@@ -238,12 +276,14 @@ def _matrix(batch: pa.RecordBatch, features: int) -> np.ndarray:
 def _whole_trees(table, features: int, weights: tuple[float, float], op: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, labels, x = table.value
+        places = None
         for batch in batches:
             for tree in batch.column("id").to_pylist():
                 times = draws(keys, op.seed, tree)
                 drawn = np.flatnonzero(times)
                 own, label = times[drawn], labels[drawn]
-                yield _piece_batch(tree, 0, grow(x[drawn], own * (label == 0), own * (label == 1), root_key(op.seed, tree), weights, op))
+                places = ranked(x) if places is None else places
+                yield _piece_batch(tree, 0, grow(x[drawn], own * (label == 0), own * (label == 1), root_key(op.seed, tree), weights, op, places[:, drawn]))
 
     return run
 
@@ -265,7 +305,7 @@ class _Top:
         return len(self.feature) - 1
 
     def nodes(self) -> Nodes:
-        return Nodes(np.zeros(1, np.int64), Piece(*(np.array(c) for c in (self.feature, self.threshold, self.low, self.high, self.value))))
+        return Nodes.walkable(np.zeros(1, np.int64), *(np.array(c) for c in (self.feature, self.threshold, self.low, self.value)))
 
 
 def _counter(tops: dict[int, Nodes], wanted: dict[int, dict[int, int]], cuts: list[np.ndarray], features: int, op: Forest):
@@ -278,7 +318,7 @@ def _counter(tops: dict[int, Nodes], wanted: dict[int, dict[int, int]], cuts: li
             x, keys, labels = _matrix(batch, features), batch.column("row").to_numpy(), batch.column("label").to_numpy()
             binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
             for tree, numbers in wanted.items():
-                times, at = draws(keys, op.seed, tree), tops[tree].leaves(x, 0, through=False)
+                times, at = draws(keys, op.seed, tree), tops[tree].leaves(x, 0)
                 number = np.full(len(tops[tree].nodes.feature), -1, np.int64)
                 number[list(numbers)] = list(numbers.values())
                 own = np.flatnonzero((times > 0) & (number[at] >= 0))
@@ -381,7 +421,7 @@ def _hand_off(rows: DataFrame, grown: dict[int, tuple[_Top, list[int]]], feature
         for batch in batches:
             x, row_keys = _matrix(batch, features), batch.column("row").to_numpy()
             for tree, (nodes, numbers) in routes.items():
-                times, at = draws(row_keys, op.seed, tree), nodes.leaves(x, 0, through=False)
+                times, at = draws(row_keys, op.seed, tree), nodes.leaves(x, 0)
                 number = np.zeros(len(nodes.nodes.feature), np.int32)
                 number[list(numbers)] = list(numbers.values())
                 own = np.flatnonzero((times > 0) & (number[at] > 0))
@@ -411,10 +451,11 @@ def _top_rows(spark: SparkSession, grown: dict[int, tuple[_Top, list[int]]]) ->
     return spark.createDataFrame(rows, _PIECE)
 
 
-def train(rows: DataFrame, class_weights: tuple[float, float], op: Forest = Forest(), broadcast_bytes: int = 32 << 20) -> DataFrame:
+def train(rows: DataFrame, class_weights: tuple[float, float], op: Forest = Forest(), broadcast_bytes: int = 256 << 20) -> DataFrame:
     """The pieces of a forest, stored, from ``rows`` (row bigint, label int, x array<double>) that are stored themselves.
 
-    ``row`` identifies a row; x has one length and neither null nor NaN. Weights multiply the draws of each class.
+    ``row`` identifies a row; x has one length and neither null nor NaN. Weights multiply the draws of each class. Tables of up to
+    ``broadcast_bytes``, eight a number, are broadcast; a task that grows a tree takes about three times as much memory.
     """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "forest")
     n, features = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()

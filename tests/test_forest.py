@@ -151,3 +151,23 @@ def test_nodes_sort_the_same_without_room_for_packed_numbers(monkeypatch):
     packed = grow()
     monkeypatch.setattr(forest, "_PACKED_BITS", 0)
     assert all((getattr(packed, c) == getattr(grow(), c)).all() for c in ("feature", "threshold", "low", "high", "value"))
+
+
+def test_trees_grow_the_same_from_places_among_more_rows():
+    keys, label, x = table(600, 12, levels=4)
+    times = draws(keys, 1, 0)
+    own = np.flatnonzero(times)
+    n0, n1 = (times * (label == 0))[own], (times * (label == 1))[own]
+    alone, given = (forest.grow(x[own], n0, n1, root_key(1, 0), (1.0, 1.3), Forest(), p) for p in (None, forest.ranked(x)[:, own]))
+    assert all((getattr(alone, c) == getattr(given, c)).all() for c in ("feature", "threshold", "low", "high", "value"))
+
+
+def test_a_table_of_some_hundred_thousand_rows_is_grown_whole(spark, tmp_path, monkeypatch):
+    """To hand nodes off costs several times as much: each tree's rows are shuffled and looked through for each level."""
+    monkeypatch.setattr(forest, "_split_large", None)
+    spark.range(300_000).select(
+        F.col("id").alias("row"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.array(*[(F.col("id") % (f + 2)).cast("double") for f in range(13)]).alias("x")
+    ).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    pieces = forest.train(rows, (1.0, 1.0), Forest(trees=2, min_leaf=60_000)).collect()
+    assert [p.tree for p in sorted(pieces)] == [0, 1] and all(p.piece == 0 and len(p.feature) > 1 for p in pieces)
