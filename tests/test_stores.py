@@ -128,6 +128,32 @@ def test_fingerprint_of_tasks(spark, tmp_path):
     assert tree.apply(curation.task_digest(), rows) == curation.dataset_fingerprint(rows).first()[0]
 
 
+def test_a_large_batch_shuffles_its_cases_once_and_a_batch_without_references_none(spark, tmp_path, monkeypatch):
+    """No join by suite before the scores; what has no reference run is not scored anew, and all scores are as those over all runs."""
+    from tasksieve.streaming import scores as module
+
+    monkeypatch.setattr(module, "_LISTED", 1)
+    monkeypatch.setattr(module, "_BROADCAST", 1)
+    cases = spark.createDataFrame([(t, f"c{c}", "SUM=1") for t in range(7) for c in range(2)], "task_id long, case_id string, expected_stdout string")
+    mutants = spark.createDataFrame([(t, f"m{m}") for t in range(7) for m in range(2)], "task_id long, mutant_id string")
+    log = lambda tasks, program, out: spark.createDataFrame(
+        [(t, f"c{c}", program, 0, out, False) for t in tasks for c in range(2)], "task_id long, case_id string, program_id string, return_code int, stdout string, timed_out boolean"
+    )
+    book, given = SuiteScores(spark, str(tmp_path / "scores"), cases, mutants), []
+    scored = book._scored
+    monkeypatch.setattr(book, "_scored", lambda c, m, runs: given.append(c) or scored(c, m, runs))
+    book.store(log(range(6), "m0", "SUM=2"), "log-0")
+    assert book.runs.read(book.runs.manifest(), "scores").count() == 0
+    book.store(log(range(1, 5), "reference", "SUM=1"), "log-1")
+    assert "Join" not in given[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.task_id for r in book.runs.read(book.runs.manifest(), "scores").collect()} == {1, 2, 3, 4}
+    book.store(log(range(4, 7), "m1", "SUM=1"), "log-2")
+    want = mutation.suite_scores(
+        cases, mutants, log(range(1, 5), "reference", "SUM=1"), log(range(6), "m0", "SUM=2").unionByName(log(range(4, 7), "m1", "SUM=1"))
+    )
+    assert sorted(map(tuple, book.scores().collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_a_large_batch_shuffles_its_runs_for_the_files_and_the_joins_on_cases_only(spark, tmp_path, monkeypatch):
     """No shuffle by suite, no cache, and no mutants' runs while no reference run is there; other suites keep their scores."""
     from tasksieve.streaming import scores as module
